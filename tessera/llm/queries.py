@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, simhash, warc
+from tessera.llm import decontam, packing, simhash, warc, wavelet
 from tessera.llm.common import documents
 
 
@@ -61,5 +61,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op6_decontamination": op6_decontamination, "op10_simhash": op10_simhash}
+def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as wavelet matrices and read back."""
+    return wavelet.round_trip(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_wavelet": op2_wavelet,
+    "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
+    "op10_simhash": op10_simhash,
+}
 ORACLES = {"op1_warc": OP1_SQL, "op6_decontamination": OP6_SQL}

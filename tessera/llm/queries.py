@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, packing, simhash, warc, wavelet
+from tessera.llm import decontam, divergence, licenses, packing, simhash, warc, wavelet
 from tessera.llm.common import documents
 
 
@@ -71,11 +71,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on all documents."""
+    found = divergence.quality(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License places and labels of all documents."""
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_wavelet": op2_wavelet,
+    "op3_divergence": op3_divergence,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op6_decontamination": OP6_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, divergence, licenses, packing, simhash, warc, wavelet
+from tessera.llm import decontam, divergence, kneser_ney, langid, licenses, packing, simhash, warc, wavelet
 from tessera.llm.common import documents
 
 
@@ -83,12 +83,25 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    found = kneser_ney.classify(documents(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "n_bytes", "perplexity", "limit", "kept")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_wavelet": op2_wavelet,
     "op3_divergence": op3_divergence,
+    "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
 }

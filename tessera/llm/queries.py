@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, divergence, kneser_ney, langid, licenses, packing, simhash, warc, wavelet
+from tessera.llm import decontam, divergence, fmindex, kneser_ney, langid, licenses, packing, simhash, warc, wavelet
 from tessera.llm.common import documents
 
 
@@ -94,6 +94,11 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "perplexity", "limit", "kept")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words that earlier documents hold."""
+    return fmindex.digests(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_wavelet": op2_wavelet,
@@ -101,6 +106,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_substrings": op7_substrings,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,

@@ -41,13 +41,20 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_grams: int = 2_000_000) -> DataFrame:
-    """doc_id, text_hash, pos, len and items of every place where a benchmark window occurs."""
+    """doc_id, text_hash, pos, len and items of every place where a benchmark window occurs.
+
+    A window of n words holds, at one place that is a multiple of s = (n + 1) // 2, a run of n - s + 1 words; so
+    texts are probed for such runs at every s-th word only, and whole windows are compared where a run is met.
+    """
     grams = benchmark_grams(benchmark, window)
     held = grams.groupBy("len").count().collect()  # a row for each length up to the window
     if not held:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, pos int, len int, items array<long>")
+    parts = F.split("gram", " ")
+    step = F.floor((F.col("len") + 1) / 2).cast("int")
+    runs = grams.select("len", F.explode(_windows(parts, F.col("len") - step + 1)).alias("w")).select(F.col("len").alias("run_len"), F.col("w.gram").alias("run")).distinct()
     if sum(r["count"] for r in held) <= broadcast_grams:
-        grams = F.broadcast(grams)
+        grams, runs = F.broadcast(grams), F.broadcast(runs)
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normal_words(F.col("text")).alias("words"))
     blocks = words.where(F.size("words") > 0).select(
         "doc_id",
@@ -60,13 +67,31 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
         ).alias("block"),
     )
     # A shorter window of the overlap is met twice; hits are sets, so that changes nothing.
-    lengths = sorted(r["len"] for r in held)
-    found = [_windows(F.col("block.words"), n) for n in lengths]
-    windows = blocks.select("doc_id", "text_hash", F.col("block.at").alias("at"), F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("w"))
-    windows = windows.select("doc_id", "text_hash", (F.col("at") + F.col("w.pos")).alias("pos"), F.col("w.gram").alias("gram"))
+    found = [_probes(F.col("block.words"), n) for n in sorted(r["len"] for r in held)]
+    probes = blocks.select("doc_id", "text_hash", F.col("block.at").alias("at"), F.inline(F.concat(*found) if len(found) > 1 else found[0]))
+    met = probes.join(runs, ["run", "run_len"]).select("doc_id", "text_hash", (F.col("at") + F.col("from")).alias("at"), F.explode(_windows(F.col("around"), F.col("run_len"))).alias("w"))
+    windows = met.select("doc_id", "text_hash", (F.col("at") + F.col("w.pos")).alias("pos"), F.col("w.gram").alias("gram"))
     return windows.join(grams, "gram").select("doc_id", "text_hash", "pos", "len", "items")
 
 
+def _probes(words: Column, n: int) -> Column:
+    """Array of (run_len, run, from, around): the run at every s-th word, and the words of all windows of n that hold it there."""
+    s = (n + 1) // 2
+    size = n - s + 1
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size, F.lit(s))).otherwise(F.array().cast("array<int>"))
+
+    def probe(i):
+        first = F.greatest(F.lit(0), i - (s - 1))
+        return F.struct(
+            F.lit(n).alias("run_len"),
+            F.array_join(F.slice(words, i + 1, F.lit(size)), " ").alias("run"),
+            first.alias("from"),
+            F.slice(words, first + 1, i - first + n).alias("around"),
+        )
+
+    return F.transform(starts, probe)
+
+
 def merged(spans: Column) -> Column:
     """Words that sorted spans (pos, len) cover."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

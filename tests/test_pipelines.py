@@ -160,7 +160,7 @@ def test_staged_is_one_shot(spark, folder):
 def test_throttle_stream_is_batch(spark, folder):
     from tessera.operators.control import throttle as batch
 
-    rows = spark.range(300).select(F.col("id"), (F.col("id") % 3).cast("string").alias("key"), (F.col("id") * 97 % 40 * 60 + F.floor(F.col("id") / 40) * 2400).alias("at"), (F.col("id") % 17 != 0).alias("failed"))
+    rows = spark.range(300).select(F.col("id"), (F.col("id") % 3).cast("string").alias("key"), (F.col("id") * 97 % 40 * 60 + F.floor(F.col("id") / 40) * 2400 + 1_000_000).alias("at"), (F.col("id") % 17 != 0).alias("failed"))
     rows.repartition(1).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     query = throttle.throttle_stream(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()

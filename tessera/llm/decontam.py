@@ -132,6 +132,6 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that aren't contaminated, all columns."""
     found = contamination(docs, benchmark, window).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
-    dirty = found.select(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.xxhash64("text") == F.col("d_hash"))
+    dirty = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(dirty, on, "left_anti")

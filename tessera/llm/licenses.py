@@ -3,8 +3,8 @@
 The words of the licence templates get document frequencies over all documents; those in at most ``rare_share`` of
 them are rare. Each text looks up its ``top_words`` rare words of highest IDF: each occurrence meets the postings
 (template, position) of its word, and occurrences whose distance to a template's start is the same support one
-placing of it. A template counts if at least ``least_share`` of its rare positions support a placing and its mandatory
-key phrases stand in the text. Places of fixed base phrases are found beside that.
+placing of it. A template counts if at least ``least_share`` of its rare positions, or of ``top_words`` if that is
+less, support a placing and its mandatory key phrases stand in the text. Places of fixed base phrases are found beside that.
 
 What is shuffled is one row per template word for the frequencies, the supported placings, and a row per document.
 
@@ -114,7 +114,7 @@ def scan(
         .groupBy(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "template")
         .agg(F.max("n").alias("n"))
     )
-    share = F.col("n") / F.element_at(F.array(*[F.lit(max(1, s)) for s in sizes]), F.col("template") + 1)
+    share = F.least(F.lit(1.0), F.col("n") / F.element_at(F.array(*[F.lit(min(max(1, s), top_words)) for s in sizes]), F.col("template") + 1))
     placed = support.withColumn("share", share).where(F.col("share") >= least_share).groupBy("s_id", "s_hash").agg(F.collect_list(F.struct("template", "share")).alias("placed"))
     both = table.join(placed, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")), "left")
 

@@ -190,5 +190,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 4096)
 
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The document of smallest doc_id of each component; rows equal in doc_id and text count once."""
-    first = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -74,7 +74,45 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on all documents."""
     found = divergence.quality(documents(spark, sf_dir).select("doc_id", "text", "lang"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM w)),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM n WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM w) WHERE word IN (COMMON) GROUP BY ALL),
+s AS (SELECT w.doc_id, lang, t, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+[len(regexp_replace(t, '[^a-z]', '', 'g')), len(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), len(regexp_replace(t, '[^A-Z]', '', 'g')), len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')),
+len(regexp_replace(t, '[^0-9]', '', 'g')), len(regexp_replace(t, '[^\x00-\x7F]|[a-zA-Z0-9#*$%&|<>\x20\x09-\x0D]', '', 'g')), len(regexp_replace(t, '[\x00-\x7F]', '', 'g'))] AS c FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+lr AS (SELECT lang, sum(n_words) AS words, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6]), sum(c[7])] AS c FROM s GROUP BY lang),
+wr AS (SELECT s.lang, word, sum(n) / max(words) AS q FROM m JOIN s ON s.doc_id = m.doc_id JOIN lr ON lr.lang IS NOT DISTINCT FROM s.lang GROUP BY s.lang, word),
+qa AS (SELECT lang, sum(q) AS q FROM wr GROUP BY lang),
+x AS (SELECT s.doc_id, n / n_words AS p, q FROM s JOIN m ON m.doc_id = s.doc_id JOIN wr ON wr.lang IS NOT DISTINCT FROM s.lang AND wr.word = m.word),
+xa AS (SELECT doc_id, sum(p) AS p, sum(q) AS q, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2 AS j FROM x GROUP BY doc_id),
+wd AS (SELECT s.doc_id, greatest(0, 1 - coalesce(xa.p, 0)) AS p0, greatest(0, 1 - coalesce(qa.q, 0)) AS q0, coalesce(xa.j, 0) + greatest(0, coalesce(qa.q, 0) - coalesce(xa.q, 0)) / 2 AS j
+FROM s LEFT JOIN xa ON xa.doc_id = s.doc_id LEFT JOIN qa ON qa.lang IS NOT DISTINCT FROM s.lang),
+cd AS (SELECT doc_id, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS j
+FROM (SELECT doc_id, unnest(s.c) / greatest(1, len(t)) AS p, unnest(lr.c) / list_sum(lr.c) AS q FROM s JOIN lr ON lr.lang IS NOT DISTINCT FROM s.lang) GROUP BY doc_id),
+v AS (SELECT s.*, sqrt(greatest(0, cd.j)) AS char_distance,
+sqrt(greatest(0, wd.j + (CASE WHEN p0 > 0 THEN p0 * log2(p0 / ((p0 + q0) / 2)) ELSE 0 END + CASE WHEN q0 > 0 THEN q0 * log2(q0 / ((p0 + q0) / 2)) ELSE 0 END) / 2)) AS word_distance,
+n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s JOIN cd ON cd.doc_id = s.doc_id JOIN wd ON wd.doc_id = s.doc_id)
+SELECT doc_id, n_words, word_chars, CAST(c[4] AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND NOT (len(t) >= 200 AND char_distance > 0.3) AND NOT (n_words >= 50 AND word_distance > 0.45) AS kept FROM v
+""".replace("COMMON", ", ".join(f"'{w}'" for w in divergence.COMMON))
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 50], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d)),
+f AS (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN f ON f.gram = g.gram WHERE first_id < doc_id),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS t, count(*) AS n FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.p = k.p WHERE r.p IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +149,4 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op3_divergence": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_substrings": OP7_SQL}

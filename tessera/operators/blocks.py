@@ -196,3 +196,36 @@ def table_cells(line: Column) -> Column:
     """Cells of a Markdown table line: parted by pipes that aren't escaped."""
     inner = F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", "")
     return F.transform(F.split(inner, r"(?<!\\)\|"), lambda x: F.replace(F.trim(x), F.lit("\\|"), F.lit("|")))
+
+
+def most_frequent(values: DataFrame, keys: Sequence[str], value: str, order: str, out: str) -> DataFrame:
+    """(keys, out): the value met most; of equals the one met first."""
+    counts = values.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(order).alias("_at"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_at", value)).alias(out))
+
+
+def wrapped(text: Column, width: int = 78) -> Column:
+    """Lines of at most ``width`` characters, filled greedily; longer words stand alone."""
+    zero = F.array().cast("array<string>")
+
+    def step(acc, word):
+        last = F.get(acc, F.size(acc) - 1)
+        fits = (F.size(acc) > 0) & (F.length(last) + 1 + F.length(word) <= width)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, word)))).otherwise(F.concat(acc, F.array(word)))
+
+    return F.aggregate(words(text), zero, step)
+
+
+def plain_text(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "block_no", width: int = 78) -> DataFrame:
+    """(keys, text): each document as plain text, titles underlined, lines filled. Blocks have ``number``."""
+    lead = F.when(F.col("kind") == "list", F.concat(F.repeat(F.lit("  "), F.col("level")), F.when(F.col("ordered"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- "))).otherwise("")
+    lead = F.when(F.col("kind") == "quote", "| ").otherwise(lead)
+    filled = F.array_join(wrapped(F.col("text"), width), "\n")
+    body = (
+        F.when(F.col("kind") == "title", F.concat(filled, F.lit("\n"), F.repeat(F.when(F.col("level") <= 1, "=").otherwise("-"), F.least(F.length("text"), F.lit(width)))))
+        .when(F.col("kind") == "rule", F.repeat(F.lit("-"), F.lit(width)))
+        .when(F.col("kind") == "code", F.concat(F.lit("    "), F.replace("text", F.lit("\n"), F.lit("\n    "))))
+        .otherwise(F.concat(lead, filled))
+    )
+    listed = F.array_sort(F.collect_list(F.struct(order, body.alias("_body"))))
+    return blocks.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["_body"]), "\n\n").alias("text"))

@@ -65,3 +65,25 @@ def throttle(attempts: DataFrame, seconds: int = WINDOW_SECONDS, failures: int =
     rows = rows.withColumn("_cleared", F.max(F.when(~F.col("failed"), F.col("_failed"))).over(part.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)))
     recent = F.col("_failed") - F.greatest(F.col("_before"), F.coalesce("_cleared", F.lit(0)))
     return rows.where("own").withColumn("recent", recent).withColumn("refused", F.col("recent") >= failures).drop("slice", "own", "_failed", "_before", "_cleared")
+
+
+def delete_jobs(tables: dict[str, DataFrame], ids: DataFrame, key: str = "job_id") -> dict[str, DataFrame]:
+    """Each table without the rows of the deleted jobs; dependents go with their jobs."""
+    gone = ids.select(key).distinct()
+    return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
+
+
+def decided(anomalies: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Anomalies with what was decided for their key and field, where something was."""
+    known = decisions.select(F.col("key").alias("_key"), F.col("field").alias("_field"), F.col("value").alias("decision"))
+    return anomalies.join(known, (F.col("key") == F.col("_key")) & (F.col("field") == F.col("_field")), "left").drop("_key", "_field")
+
+
+def log_tail(log: DataFrame, at: str, n: int = 10) -> DataFrame:
+    """The latest entries."""
+    return log.orderBy(F.desc(at)).limit(n)
+
+
+def expired(work: DataFrame, at: str, now, days: int = 7) -> DataFrame:
+    """Work left lying for longer than ``days``."""
+    return work.where(F.col(at) < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))

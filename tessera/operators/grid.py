@@ -118,3 +118,56 @@ def record_bands(pieces: DataFrame, starts: DataFrame, book: Sequence[str], pitc
 def is_record_start(x: Column, y: Column, text: Column, header_y: Column, first_band: Column) -> Column:
     """Below the header, in the first band, a record number: 3 to 6 digits, or with dots by threes."""
     return (y < header_y) & (x < first_band) & F.trim(text).rlike(r"^(\d{1,3}(\.\d{3})+|\d{3,6})$")
+
+
+def place_fields(pieces: DataFrame, keys: Sequence[str], placements: Sequence[tuple[str, str, str, int]]) -> DataFrame:
+    """A row per record with the fields that the layout declares.
+
+    placements: (field, label, mode, line). ``line``: the pieces of that line of the band; ``all``: of all its lines;
+    ``number``: of all its lines, joined without spaces. Pieces have label, line and x.
+    """
+    fields = []
+    for field, label, mode, line in placements:
+        inside = (F.col("label") == label) & ((F.col("line") == line) if mode == "line" else F.lit(True))
+        listed = F.array_sort(F.collect_list(F.when(inside, F.struct("line", "x", "text"))))
+        fields.append(F.array_join(F.transform(listed, lambda p: p["text"]), "" if mode == "number" else " ").alias(field))
+    return pieces.groupBy(*keys).agg(*fields)
+
+
+def identity_fields(pieces: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """surname, name, phone and email from the lines of one band, by what they hold.
+
+    A line with ``@`` is part of the email, one of digits and separators part of the phone; of the others the first is
+    the surname, the rest the name.
+    """
+    lines = pieces.where(F.col("label") == label).groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("_p"))
+    text = F.trim(F.array_join(F.transform("_p", lambda p: p["text"]), " "))
+    kind = F.when(F.contains("_text", F.lit("@")), "email").when(F.col("_text").rlike(r"^[+\d][\d\s/().+-]*$"), "phone").otherwise("name")
+    rows = lines.withColumn("_text", text).withColumn("_kind", kind)
+    parts = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.struct("line", "_text")))), lambda p: p["_text"])
+    out = rows.groupBy(*keys).agg(parts("name").alias("_names"), F.array_join(parts("phone"), " ").alias("phone"), F.array_join(parts("email"), "").alias("email"))
+    names = F.coalesce("_names", F.array().cast("array<string>"))
+    return out.select(*keys, F.coalesce(F.get(names, 0), F.lit("")).alias("surname"), F.array_join(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), " ").alias("name"), "phone", "email")
+
+
+def layout(pages: DataFrame, titles: Sequence[tuple[str, str]], book: Sequence[str]) -> DataFrame:
+    """(book, layout): the first layout, by priority, whose title stands on the book's first page; null if none."""
+    named = F.coalesce(*[F.when(F.contains("text", F.lit(title)), name) for name, title in titles], F.lit(None).cast("string"))
+    return pages.where(F.col("page") == 1).groupBy(*book).agg(F.min_by(named, F.lit(0)).alias("layout"))
+
+
+def page_period(pieces: DataFrame, book: Sequence[str]) -> DataFrame:
+    """(book, first, last): the days of the first ``Dal … al …`` of each book, from the top."""
+    pattern = r"(?i)dal\s+(\d{1,2}/\d{1,2}/\d{2,4})\s+al\s+(\d{1,2}/\d{1,2}/\d{2,4})"
+    found = pieces.where(F.col("text").rlike(pattern))
+    first = F.min_by("text", F.struct("page", -F.col("y")))
+    return found.groupBy(*book).agg(first.alias("_t")).select(*book, F.regexp_extract("_t", pattern, 1).alias("first"), F.regexp_extract("_t", pattern, 2).alias("last"))
+
+
+def named_rows(rows: DataFrame, header: Sequence[str] | None, width: int) -> DataFrame:
+    """Dense rows under the repeated header's names, else under ``Colonna n``."""
+    from tessera.operators.mapping import densified, unique_names
+
+    names = unique_names([*(header or []), *[""] * width][:width])
+    dense = rows.withColumn("_cells", densified(F.col("cells"), width))
+    return dense.select(*[c for c in rows.columns if c != "cells"], *[F.get("_cells", F.lit(k)).alias(n) for k, n in enumerate(names)])

@@ -108,3 +108,13 @@ def line_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of part names as lines of one to four pieces."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"), (F.col("p_size") % 4 + 1).alias("pieces"))
     return grid.line_signatures(rows, []).select("p_partkey", "signature", "digit_signature")
+
+
+@query(f"""WITH {_PIECES}, b AS (SELECT *, CASE WHEN x < 130 THEN 'a' WHEN x < 270 THEN 'b' WHEN x < 410 THEN 'c' ELSE 'd' END AS label, CAST(floor(y / 100) AS INT) AS line FROM p)
+SELECT book, page, coalesce(string_agg(text, ' ' ORDER BY line, x, text) FILTER (label = 'a'), '') AS whole, coalesce(string_agg(text, '' ORDER BY line, x, text) FILTER (label = 'b'), '') AS joined,
+coalesce(string_agg(text, ' ' ORDER BY x, text) FILTER (label = 'c' AND line = 2), '') AS third FROM b GROUP BY book, page""")
+def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of records (pages) by band and line: all lines, joined lines, one line."""
+    x = F.col("x")
+    pieces = _pieces(spark, sf_dir).withColumn("label", F.when(x < 130, "a").when(x < 270, "b").when(x < 410, "c").otherwise("d")).withColumn("line", F.floor(F.col("y") / 100).cast("int"))
+    return grid.place_fields(pieces, ["book", "page"], [("whole", "a", "all", 0), ("joined", "b", "number", 0), ("third", "c", "line", 2)])

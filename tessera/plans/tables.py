@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import texts, values
-from tessera.operators import control, corrections, mapping, rollup
+from tessera.operators import blocks, control, corrections, mapping, rollup
 from tessera.operators.mapping import MappedColumn
 from tessera.plans.registry import query, table
 
@@ -347,3 +347,46 @@ def throttle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("key"), F.unix_timestamp("ts").alias("at"), F.col("event_type").isin("error", "view").alias("failed")
     )
     return control.throttle(rows, 86400, 3).select("id", "key", "recent", "refused")
+
+
+@query(f"""WITH {_ANOMALIES} SELECT job_id, reason, a.field, CASE WHEN job_id % 4 = 0 AND a.field = 'Stato' THEN 'visto' END AS decision FROM a""")
+def decisions_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies with decisions of every fourth job's status."""
+    found = _anomalies(spark, sf_dir).withColumn("key", F.col("job_id").cast("string"))
+    made = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").cast("string").alias("key"), F.lit("Stato").alias("field"), F.lit("visto").alias("value"))
+    return control.decided(found, made).select("job_id", "reason", "field", "decision")
+
+
+@query("""SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey""")
+def delete_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left when closed orders are deleted."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "job_id")
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("job_id"))
+    return control.delete_jobs({"lines": lines}, gone)["lines"].groupBy(F.col("job_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 10""")
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten events."""
+    return control.log_tail(table(spark, sf_dir, "events"), "ts").select("event_id", "event_type")
+
+
+@query("""SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAYS""")
+def expired_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events older than a week on a day."""
+    return control.expired(table(spark, sf_dir, "events"), "ts", "2024-01-15 00:00:00").select("event_id")
+
+
+@query("""SELECT l_orderkey, CAST(arg_min(l_quantity, struct_pack(n := -n, a := a, q := l_quantity)) AS DOUBLE) AS usual FROM (SELECT l_orderkey, l_quantity, count(*) AS n, min(l_partkey) AS a FROM lineitem GROUP BY ALL) GROUP BY l_orderkey""")
+def most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantity an order has most often; of equals that of the smallest part."""
+    out = blocks.most_frequent(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", "l_partkey", "usual")
+    return out.withColumn("usual", F.col("usual").cast("double"))
+
+
+@query(r"""WITH w AS (SELECT l_orderkey, sum(len(regexp_extract_all(l_returnflag || ' letto agg. bambino ' || l_linestatus, '(?i)letto agg\.\s*bambino'))) AS beds FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey)
+SELECT l_orderkey, CAST(beds AS BIGINT) AS beds FROM w""")
+def child_beds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of children's beds in an order's first lines."""
+    supplements = F.concat("l_returnflag", F.lit(" letto agg. bambino "), "l_linestatus")
+    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.sum(F.regexp_count(supplements, F.lit(texts.CHILD_BED))).cast("long").alias("beds"))

@@ -140,6 +140,25 @@ def test_grid(spark):
     assert grid.corridors(data, ["book"], corridor=250).count() == 0
 
 
+def test_layout_fields(spark):
+    rows = [("b", 1, 0, "who", 0, 60.0, "ROSSI"), ("b", 1, 0, "who", 1, 60.0, "ANNA"), ("b", 1, 0, "who", 1, 90.0, "MARIA"), ("b", 1, 0, "who", 2, 60.0, "349 123"), ("b", 1, 0, "who", 3, 60.0, "a@b"), ("b", 1, 0, "who", 4, 60.0, ".it@")]
+    pieces = spark.createDataFrame(rows, "book string, page int, record int, label string, line int, x double, text string")
+    assert tuple(grid.identity_fields(pieces, ["book"], "who").first())[1:] == ("ROSSI", "ANNA MARIA", "349 123", "a@b.it@")
+    pages = spark.createDataFrame([("b", 1, 700.0, "Stampa arrivi"), ("b", 1, 650.0, "Dal 01/06/2026 al 30/06/2026"), ("c", 1, 1.0, "altro")], "book string, page int, y double, text string")
+    assert {r.book: r.layout for r in grid.layout(pages.groupBy("book", "page").agg(F.array_join(F.collect_list("text"), " ").alias("text")), [("x", "Stampa x"), ("arrivi", "Stampa arrivi")], ["book"]).collect()} == {"b": "arrivi", "c": None}
+    assert tuple(grid.page_period(pages, ["book"]).first()) == ("b", "01/06/2026", "30/06/2026")
+    sparse = spark.createDataFrame([("b", 1, {0: "x", 2: "z"})], "book string, row int, cells map<int,string>")
+    assert grid.named_rows(sparse, ["Nome", "Nome"], 3).first().asDict() == {"book": "b", "row": 1, "Nome": "x", "Nome (2)": "", "Colonna 3": "z"}
+    starts = spark.createDataFrame([("b", 100.0), ("b", 55.8)], "book string, y double")
+    marks = spark.createDataFrame([("b", 100.0, "a"), ("b", 89.8, "b"), ("b", 56.0, "c"), ("b", 45.0, "d"), ("b", 200.0, "head")], "book string, y double, text string")
+    assert {r.text: (r.record, r.line) for r in grid.record_bands(marks, starts, ["book"]).collect()} == {"a": (0, 0), "b": (0, 1), "c": (1, 0), "d": (1, 1)}
+
+
+def test_plain_text(spark):
+    read = markdown.read_markdown(spark.createDataFrame([(1, "# Uno\n\nuno due tre quattro\n\n1. a\n")], "doc_id long, text string"))
+    assert blocks.plain_text(blocks.list_numbers(read), width=10).first().text == "Uno\n===\n\nuno due\ntre\nquattro\n\n1. a"
+
+
 def test_upsert_deletes(spark):
     now = spark.createDataFrame([("j", "a", "1", False, 1), ("j", "b", "2", False, 1)], "job string, field string, value string, skipped boolean, at int")
     new = spark.createDataFrame([("j", "a", "", False, 2), ("j", "b", "", True, 2), ("j", "c", "3", False, 2)], now.schema)

@@ -37,8 +37,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) ->
         encode, end = encoder(vocabulary, False), struct.pack("<I", end_id)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode.of(text.as_py()) + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1).to_pylist())):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     ids = data[at : at + 4 * capacity]
                     rows.append((doc_id, k, k * capacity, len(ids) // 4, zlib.crc32(ids)))

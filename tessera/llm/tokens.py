@@ -1,13 +1,17 @@
 """Token ids of whole texts by the tokenizers library, with a memo of words in each Python worker.
 
 Both public vocabularies split a text before their merges, and never across the end of a run of other characters than
-white space. So a text's ids are those of its runs in a row; each run is encoded once by the library and then found in
-the memo, which is emptied at ``MEMO_WORDS``.
+white space. So a text's ids are those of its runs in a row. Texts are taken some megabytes at a time: each run that
+isn't in the memo is encoded once by the library, many in one call, and those met twice stay in the memo, which is
+emptied at ``MEMO_WORDS``.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -15,11 +19,18 @@ import numpy as np
 _WS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _RUN = re.compile(rf"[^{_WS}]+")
-_BARE_SPACE = re.compile(rf" (?:[{_WS}]|\Z)")
-_WHITE = re.compile(f"[{_WS}]")
+#: White space other than single spaces and one or two line ends before a word.
+_ODD = re.compile(rf" (?:[{_WS}]|\Z)|[{_WS.replace(' ', '').replace(chr(10), '')}]|\n\n(?:\n|\Z)")
+#: Letters up to Latin-1 and marks after them (not the apostrophe): runs whose parts need no search.
+_LETTERS = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)))
+_SIMPLE = re.compile(rf"(\n?)([{_LETTERS}]*)([!-&(-/:-@\[-`{{-~]*)")
+#: How byte-level vocabularies write bytes: printable ones of Latin-1 as they are, the others from 256 on.
+_AS_IS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b if b in _AS_IS else 256 + sum(x not in _AS_IS for x in range(b)) for b in range(256)}
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 _BLOCK = 20_000
+_BATCH_CHARS = 4 << 20
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -35,61 +46,101 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.plain: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
-
-    def _encode(self, runs: list[str], lead: str, memo: dict[str, bytes]) -> None:
-        """Ids of runs without white space, each after ``lead``: one call a block, cut by offsets."""
-        for at in range(0, len(runs), _BLOCK):
-            block = runs[at : at + _BLOCK]
-            found = self.tokenizer.encode("".join([lead + x for x in block]), add_special_tokens=False)
+        self.merges = self.tokenizer.model.tokenize
+        self.memo: dict[str, bytes] = {}
+
+    def of(self, text: str | None) -> bytes:
+        return self.ids([text])[0]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        batch: list[str] = []
+        size = 0
+        for text in texts:
+            batch.append(text or "")
+            size += len(batch[-1])
+            if size >= _BATCH_CHARS:
+                out += self._batch(batch)
+                batch, size = [], 0
+        return out + self._batch(batch)
+
+    def _runs(self, text: str) -> list[str] | None:
+        """Runs to look up; None if the text has white space that isn't simple.
+
+        Spaced: the first run and those after a line end have it before them, all others mean a space before them.
+        """
+        if not self.spaced:
+            return _RUN.findall(text) if _SEPARATORS.search(text) else text.split()
+        return None if _ODD.search(text) else ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        memo = self.memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        runs = [self._runs(x) if x else [] for x in texts]
+        counts = Counter(chain.from_iterable(filter(None, runs)))
+        fresh = [x for x in counts if x not in memo]
+        self._encode(fresh)
+        get, out = memo.__getitem__, []
+        for text, own in zip(texts, runs):
+            if own is None:
+                out.append(self._whole(text))
+            else:  # the line end before the first run isn't the text's
+                out.append(b"".join(map(get, own))[4 if own and self.spaced else 0 :])
+        for x in fresh:
+            if counts[x] == 1:
+                del memo[x]
+        return out
+
+    def _encode(self, runs: list[str]) -> None:
+        """Ids of runs into the memo: simple ones by their parts, the rest as texts of their own."""
+        parts: dict[str, bytes] = {"": b""}
+        line_end = self._part("\n") if self.spaced else b""
+        hard = []
+        memo, merges, space = self.memo, self.merges, chr(_BYTES[32]) if self.spaced else ""
+        for run in runs:
+            if run.isalpha() and run.isascii():  # most runs: the vocabulary writes ASCII letters as they are
+                memo[run] = array("I", [x.id for x in merges(space + run if self.spaced else run.lower())]).tobytes()
+                continue
+            found = _SIMPLE.fullmatch(run)
+            if not found:
+                hard.append(run)
+                continue
+            lead, letters, marks = found.groups()
+            if not self.spaced:
+                pieces = (letters.lower(), marks)
+            elif lead:
+                pieces = (letters, marks)
+            else:
+                pieces = (" " + letters, marks) if letters else ("", " " + marks)
+            for piece in pieces:
+                if piece not in parts:
+                    parts[piece] = self._part(piece)
+            memo[run] = (line_end if lead else b"") + parts[pieces[0]] + parts[pieces[1]]
+        for at in range(0, len(hard), _BLOCK):
+            block = hard[at : at + _BLOCK]
+            texts = [x if x[0] == "\n" and self.spaced else " " + x for x in block]
+            found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             last = np.fromiter((b for _, b in found.offsets), np.int64, len(ids))
-            ends = np.cumsum([len(lead) + len(x) for x in block])
-            cuts = np.searchsorted(last, ends, side="right").tolist()
+            cuts = np.searchsorted(last, np.cumsum([len(x) for x in texts]), side="right").tolist()
             data, begin = ids.tobytes(), 0
             for run, cut in zip(block, cuts):
                 memo[run] = data[4 * begin : 4 * cut]
                 begin = cut
 
-    def _encode_whole(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            self.plain[chunk] = np.array(found.ids, "<u4").tobytes()
+    def _part(self, piece: str) -> bytes:
+        """Ids of a piece that the vocabulary's pattern takes whole, by the merges alone."""
+        found = self.merges(piece.encode().decode("latin-1").translate(_BYTES))
+        return array("I", [x.id for x in found]).tobytes()
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        return [self.of(x) for x in texts]
-
-    def of(self, text: str | None) -> bytes:
-        for memo in (self.plain, self.after_space):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-        if not text:
-            return b""
-        memo = self.after_space
-        if not self.spaced:
-            runs = _RUN.findall(text) if _SEPARATORS.search(text) else text.split()
-            if missing := [x for x in dict.fromkeys(runs) if x not in memo]:
-                self._encode(missing, " ", memo)
-            return b"".join(map(memo.__getitem__, runs))
-        if _BARE_SPACE.search(text):
-            return self._chunks(text)
-        first, *runs = text.split(" ")
-        if missing := [x for x in dict.fromkeys(runs) if x not in memo and not _WHITE.search(x)]:
-            self._encode(missing, " ", memo)
-        ids = [memo[x] if x in memo else self._chunks(" " + x) for x in runs]
-        return self._chunks(first) + b"".join(ids)
-
-    def _chunks(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
+        """By the pieces that the vocabulary's pattern never joins, each encoded on its own."""
         chunks = _CHUNK.findall(text)
-        out = [self._known(x) for x in chunks]
-        if missing := [x for x, y in zip(chunks, out) if y is None]:
-            self._encode_whole(list(dict.fromkeys(missing)))
-            out = [self._known(x) if y is None else y for x, y in zip(chunks, out)]
-        return b"".join(out)
-
-    def _known(self, chunk: str) -> bytes | None:
-        found = self.after_space.get(chunk[1:]) if chunk[0] == " " else None
-        return self.plain.get(chunk) if found is None else found
+        different = list(dict.fromkeys(chunks))
+        found = self.tokenizer.encode_batch(different, add_special_tokens=False)
+        known = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(different, found)}
+        return b"".join(map(known.__getitem__, chunks))
 
 
 def encoder(path: str, spaced: bool) -> Encoder:

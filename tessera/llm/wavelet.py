@@ -44,9 +44,10 @@ class WaveletMatrix:
         n = len(ids)
         levels = levels or max(1, int(ids.max(initial=0)).bit_length())
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+        after = np.empty_like(now)
         planes, zeros, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
-            ones = (now >> level) & 1 != 0
+            ones = (now & now.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             block = 8 * _BLOCK_WORDS
             words = np.zeros((len(packed) // block + 1) * block, np.uint8)
@@ -56,7 +57,9 @@ class WaveletMatrix:
             planes.append(words)
             ranks.append(np.concatenate([[0], np.cumsum(counts)[:-1]]).astype("<u4"))
             zeros.append(n - int(counts.sum()))
-            now = np.concatenate([now[~ones], now[ones]])
+            now, after = after, now
+            np.compress(~ones, after, out=now[: zeros[-1]])
+            np.compress(ones, after, out=now[zeros[-1] :])
         return cls(n, planes, zeros, ranks)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -207,8 +210,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = encode.of(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0), encode.ids(batch.column(1).to_pylist())):
+                ids += end
                 doc_ids.append(doc_id.as_py())
                 lengths.append(len(ids) // 4)
                 held.append(ids)

@@ -277,7 +277,7 @@ def first_documents(contexts: list[list[bytes]], documents: np.ndarray, window:
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, shard_words: int = 400_000, crowded: int = 2000) -> DataFrame:
     """doc_id, text_hash and spans (begin, end; in words, may overlap) of the words that earlier documents hold."""
     found = written(occurrences(docs, window, gram), "contexts")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = written(found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared-anchors")
     found = written(found.join(shared, "anchor", "left_semi"), "shared-contexts")
     distinct = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("at"), F.min("windows").alias("windows"))
     crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("anchor", F.lit(True).alias("single"))
@@ -342,8 +342,8 @@ def kept_words(n: int, spans: list[dict]) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, window: int, **options) -> DataFrame:
-    spans = removed_spans(docs, window, **options).select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spans")
-    return docs.join(spans, (F.col("doc_id") == F.col("s_id")) & (F.hash("text") == F.col("s_hash")), "left").drop("s_id", "s_hash")
+    spans = removed_spans(docs, window, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    return docs.join(spans, (F.col("doc_id") == F.col("__id")) & (F.hash("text") == F.col("__hash")), "left").drop("__id", "__hash")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -362,7 +362,7 @@ def digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(rows, window, **options).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(rows, window, **options).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -376,7 +376,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, of = batch.schema.get_field_index("text"), batch.schema.get_field_index("spans")
+            at, of = batch.schema.get_field_index("text"), batch.schema.get_field_index("__spans")
             texts: list[str | None] = []
             stay = []
             for text, spans in zip(batch.column(at), batch.column(of)):
@@ -389,7 +389,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
                 texts.append(value)
                 stay.append(not spans.is_valid or bool(value))
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns) if k != of]
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "spans"]).filter(pa.array(stay))
+            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "__spans"]).filter(pa.array(stay))
 
     out = _with_spans(docs, window, **options).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -19,8 +19,8 @@ import numpy as np
 _WS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _RUN = re.compile(rf"[^{_WS}]+")
-#: White space other than single spaces and one or two line ends before a word.
-_ODD = re.compile(rf" (?:[{_WS}]|\Z)|[{_WS.replace(' ', '').replace(chr(10), '')}]|\n\n(?:\n|\Z)")
+#: White space other than spaces and line ends.
+_OTHER = re.compile(f"[{_WS.replace(' ', '').replace(chr(10), '')}]")
 #: Letters up to Latin-1 and marks after them (not the apostrophe): runs whose parts need no search.
 _LETTERS = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)))
 _SIMPLE = re.compile(rf"(\n?)([{_LETTERS}]*)([!-&(-/:-@\[-`{{-~]*)")
@@ -28,9 +28,9 @@ _SIMPLE = re.compile(rf"(\n?)([{_LETTERS}]*)([!-&(-/:-@\[-`{{-~]*)")
 _AS_IS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: b if b in _AS_IS else 256 + sum(x not in _AS_IS for x in range(b)) for b in range(256)}
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 _BLOCK = 20_000
-_BATCH_CHARS = 4 << 20
+_BATCH_CHARS = 6 << 20
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -71,7 +71,7 @@ class Encoder:
         """
         if not self.spaced:
             return _RUN.findall(text) if _SEPARATORS.search(text) else text.split()
-        return None if _ODD.search(text) else ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        return None if _odd(text) else ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
@@ -143,6 +143,15 @@ class Encoder:
         return b"".join(map(known.__getitem__, chunks))
 
 
+def _odd(text: str) -> bool:
+    """Whether there is more than single spaces, and one or two line ends, before words."""
+    if "  " in text or " \n" in text or text[-1] == " " or "\n\n\n" in text or text.endswith("\n\n"):
+        return True
+    if text.isascii():
+        return any(x in text for x in "\t\r\x0b\x0c")
+    return _OTHER.search(text) is not None
+
+
 def encoder(path: str, spaced: bool) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if (path, spaced) not in _encoders:

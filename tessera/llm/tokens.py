@@ -28,9 +28,10 @@ _SIMPLE = re.compile(rf"(\n?)([{_LETTERS}]*)([!-&(-/:-@\[-`{{-~]*)")
 _AS_IS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: b if b in _AS_IS else 256 + sum(x not in _AS_IS for x in range(b)) for b in range(256)}
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-MEMO_WORDS = 400_000
+#: Words of the memo and characters of a batch, for spaced vocabularies and for others (which share workers with more).
+MEMO_WORDS = {True: 400_000, False: 200_000}
 _BLOCK = 20_000
-_BATCH_CHARS = 6 << 20
+_BATCH_CHARS = {True: 6 << 20, False: 4 << 20}
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -59,7 +60,7 @@ class Encoder:
         for text in texts:
             batch.append(text or "")
             size += len(batch[-1])
-            if size >= _BATCH_CHARS:
+            if size >= _BATCH_CHARS[self.spaced]:
                 out += self._batch(batch)
                 batch, size = [], 0
         return out + self._batch(batch)
@@ -75,7 +76,7 @@ class Encoder:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
+        if len(memo) > MEMO_WORDS[self.spaced]:
             memo.clear()
         runs = [self._runs(x) if x else [] for x in texts]
         counts = Counter(chain.from_iterable(filter(None, runs)))

@@ -1,18 +1,24 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of the words of trusted text.
 
-The model is over characters folded to ``SYMBOLS`` symbols (letters, runs of the rest by kind, bytes of other scripts
-by their low bits), order 4, so it never has more than SYMBOLS**4 entries, at any size of corpus. All trusted
-documents count, in whole: each task adds up its n-grams, and the counts meet by n-gram. Continuation counts, context
-totals and the interpolated probabilities come from joins of the count tables, sharded by n-gram or context. The
-finished table, bounded as said, is broadcast, and each document is scored in its own task.
+The vocabulary is open: each pair of words that follow each other in a trusted document is counted, with its start and
+end, and a word's continuation count is the number of different words before it. The counts, context totals and
+probabilities are Spark tables that grow with the corpus, joined by word or pair. Below the words stands a spelling
+model, which gives words never met a probability: Kneser-Ney over characters folded to ``SYMBOLS`` symbols, order 4,
+of at most SYMBOLS**4 entries, and therefore broadcast.
+
+A document's bits are those of its words by spelling alone, plus a weight for each of its words and pairs that the
+model holds, so one join by word or pair gives them all: ``weights`` has for a word what its count saves against its
+spelling and its back-off as a context, for a pair what it saves against back-off. Each document's words and pairs
+are counted in its task before they are shuffled; those that make up a ``hot_share`` of the trusted text or more (at
+most 2 / hot_share of them) are broadcast and added in the task, so that no key of the join is hot by them.
 
 A document is rejected if its perplexity is over ``margin`` times the ``quantile`` of the trusted documents of its
 language and length class (powers of two of its bytes, as short texts vary more). A class with fewer than
 ``least_documents`` trusted ones takes the largest limit of its language's classes, a language without any the
 largest of all.
 
-Edge cases: a null or empty text has no perplexity and is rejected; a null lang is a language of its own; without
-trusted text, nothing is rejected but empty texts. Repeated rows get a row each. An empty table gives no rows.
+Edge cases: a null or blank text has no words and no perplexity and is rejected; a null lang is a language of its own; without
+trusted text, nothing is rejected but such texts. Repeated rows get a row each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import SPACES, written
 
 ORDER = 4
 
@@ -107,7 +113,7 @@ def discounts(counts: DataFrame) -> list[float]:
 
 
 def train(trusted: DataFrame) -> np.ndarray | None:
-    """Negative log2 probability of every n-gram's last symbol after the others; None without trusted text."""
+    """The spelling model: negative log2 probability of every n-gram's last symbol after the others; None without trusted text."""
     by_order = {ORDER: written(count_grams(trusted), "grams-4")}
     if not by_order[ORDER].head(1):
         return None
@@ -138,27 +144,180 @@ def train(trusted: DataFrame) -> np.ndarray | None:
     return -np.log2(table).astype(np.float32)
 
 
-def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
-    """All columns but text, with n_bytes and perplexity (null where there is none)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*others).schema
+#: Words that stand for the start and the end of a document, and the bits of an end and of any other word before it is spelled.
+_BEGIN, _END = 0, 1
+_END_BITS, _WORD_BITS = 6.0, float(-np.log2(1 - 2.0**-6))
+_GAP = " " * (ORDER - 1)
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64 bits for each pair of words."""
+    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (second.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits for each word, between those of start and end."""
+    import xxhash
+
+    out = np.empty(len(words) + 2, np.uint64)
+    out[0], out[-1] = _BEGIN, _END
+    out[1:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return out.view(np.int64)
+
+
+def spelling_bits(words: list[bytes], spelling: np.ndarray) -> np.ndarray:
+    """Bits of each word, and last of the end, under the spelling model alone; each word counts with the space after it."""
+    line = FOLDING[np.frombuffer(_GAP.encode() + _GAP.encode().join(words) + b" ", np.uint8)].astype(np.int32)
+    n = len(line) - ORDER + 1
+    code = line[:n].copy()
+    for k in range(1, ORDER):
+        code = code * SYMBOLS + line[k : k + n]
+    sums = np.concatenate([[0.0], np.cumsum(spelling[code], dtype=np.float64)])
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(sizes[:-1] + len(_GAP))])
+    return np.append(sums[starts + sizes + 1] - sums[starts] + _WORD_BITS, _END_BITS)
+
+
+def count_pairs(texts: DataFrame, spelling: np.ndarray) -> DataFrame:
+    """pair, before, word, n and spelled (bits of the word's spelling) over all of ``texts.text``."""
+    held = texts.sparkSession.sparkContext.broadcast(spelling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        names = ["pair", "before", "word", "n", "spelled"]
         for batch in batches:
-            sizes, found = [], []
-            for x in batch.column(len(others)):
-                n, bits = 0, 0.0
-                for code in codes(x.as_py() or ""):
-                    n += len(code)
-                    bits += float(model[code].sum(dtype=np.float64)) if model is not None else 0.0
-                sizes.append(n)
-                found.append(2 ** (bits / n) if n and model is not None else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(sizes, pa.int64()), pa.array(found, pa.float64())], names=[*others, "n_bytes", "perplexity"])
+            found: list[tuple[np.ndarray, ...]] = []
+            size = 0
+            for x in batch.column(0):
+                words = (x.as_py() or "").encode().split()
+                if words:
+                    tokens = word_hashes(words)
+                    pairs, at, n = np.unique(pair_hash(tokens[:-1], tokens[1:]), return_index=True, return_counts=True)
+                    found.append((pairs, tokens[at], tokens[at + 1], n, spelling_bits(words, held.value)[at]))
+                    size += len(pairs)
+                if size > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
+                    found, size = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
+
+    rows = texts.select("text").mapInArrow(run, "pair long, before long, word long, n long, spelled double")
+    first = [F.first(c).alias(c) for c in ("before", "word", "spelled")]
+    return rows.groupBy("pair").agg(*first, F.sum("n").alias("n"))
+
+
+def _cut(d: list[float]) -> Column:
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def probabilities(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Of counted pairs: (pair, before, word, n, p), (word, n, p, backoff), and the weight of the spelling model.
 
-    out = schema.add("n_bytes", "long").add("perplexity", "double")
-    return docs.select(*others, "text").mapInArrow(run, out)
+    A word's n is how often it stands before another; p is null for the start, backoff for the end.
+    """
+    d = discounts(pairs)
+    contexts = pairs.groupBy(F.col("before").alias("context")).agg(F.sum("n").alias("total"), F.sum(_cut(d)).alias("mass")).withColumn("backoff", F.col("mass") / F.col("total"))
+    contexts = written(contexts.select("context", "total", "backoff"), "word-contexts")
+    followers = written(pairs.groupBy("word").agg(F.count("*").alias("n"), F.first("spelled").alias("spelled")), "word-continuations")
+    d1 = discounts(followers)
+    total, mass = followers.agg(F.sum("n"), F.sum(_cut(d1))).first()
+    rest = mass / total
+    known = followers.select("word", ((F.col("n") - _cut(d1)) / total + rest * F.pow(F.lit(2.0), -F.col("spelled"))).alias("p"), "spelled")
+    known = written(known, "word-probabilities")
+    own = (F.col("n") - _cut(d)) / F.col("total")
+    seen = pairs.drop("spelled").join(contexts, pairs.before == contexts.context).join(known.select("word", F.col("p").alias("lower")), "word")
+    seen = seen.select("pair", "before", "word", "n", (own + F.col("backoff") * F.col("lower")).alias("p"), "backoff", "lower")
+    words = known.join(contexts, known.word == contexts.context, "full")
+    words = words.select(F.coalesce("word", "context").alias("word"), F.coalesce("total", F.lit(0)).alias("n"), "p", "backoff", "spelled")
+    return seen, words, rest
+
+
+def weights(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """gram (a word or pair), n and bits: what it adds to a document's bits by spelling; and the bits of leaving the words' counts."""
+    seen, words, rest = probabilities(pairs)
+    unmet = float(-np.log2(rest))
+    pair_bits = F.log2("backoff") + F.log2("lower") - F.log2("p")
+    word_bits = F.coalesce(-F.log2("p") - F.lit(unmet) - F.col("spelled"), F.lit(0.0)) - F.coalesce(F.log2("backoff"), F.lit(0.0))
+    both = seen.select(F.col("pair").alias("gram"), "n", pair_bits.alias("bits")).union(words.select(F.col("word").alias("gram"), "n", word_bits.alias("bits")))
+    return written(both, "word-weights"), unmet
+
+
+def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 0.001) -> DataFrame:
+    """All columns but text, with n_bytes and perplexity (null where there is none) under the model of ``trusted.text``.
+
+    The perplexity is by byte of words and the spaces after them.
+    """
+    spaced = F.regexp_replace("text", SPACES, _GAP)
+    spelling = train(trusted.select(F.concat(F.lit(_GAP), spaced, F.lit(_GAP)).alias("text")))
+    others = [c for c in docs.columns if c != "text"]
+    if spelling is None:
+        return docs.select(*others, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), _has_words().alias("has_words"))
+    spark = docs.sparkSession
+    table, unmet = weights(written(count_pairs(trusted, spelling), "word-pairs"))
+    least = hot_share * (table.agg(F.sum("n")).first()[0] / 2)
+    hot = table.where(F.col("n") >= least).toPandas().sort_values("gram")  # 2 / hot_share rows at most
+    held = spark.sparkContext.broadcast((spelling, unmet, np.append(hot["gram"].to_numpy(np.int64), np.iinfo(np.int64).max), np.append(hot["bits"].to_numpy(np.float64), 0.0)))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling, unmet, grams, bits = held.value
+        for batch in batches:
+            rows = []
+            for x in batch.column(len(others)):
+                data = (x.as_py() or "").encode()
+                words = data.split()
+                if not words:
+                    rows.append((len(data), 0, 0.0, False))
+                    continue
+                tokens = word_hashes(words)
+                total = spelling_bits(words, spelling).sum() + unmet * (len(words) + 1)
+                for line in (tokens, pair_hash(tokens[:-1], tokens[1:])):
+                    at = np.searchsorted(grams, line)
+                    total += bits[at][grams[at] == line].sum()
+                rows.append((len(data), sum(map(len, words)) + len(words), float(total), True))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            made = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], names=[*others, "n_bytes", "spelled_bytes", "own_bits", "has_words"])
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, hot_grams, _ = held.value
+        for batch in batches:
+            keys, grams, counts, size = [], [], [], 0
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = (x.as_py() or "").encode().split()
+                if words:
+                    tokens = word_hashes(words)
+                    for line in (tokens, pair_hash(tokens[:-1], tokens[1:])):
+                        found, n = np.unique(line, return_counts=True)
+                        cold = hot_grams[np.searchsorted(hot_grams, found)] != found
+                        grams.append(found[cold])
+                        counts.append(n[cold].astype(np.int32))
+                        keys.append(np.full(len(grams[-1]), key, np.int64))
+                        size += len(grams[-1])
+                if size > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, grams, counts)], names=["key", "gram", "times"])
+                    keys, grams, counts, size = [], [], [], 0
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, grams, counts)], names=["key", "gram", "times"])
+
+    key = F.xxhash64(*others, "text")
+    others.append("__key")
+    keyed = docs.withColumn("__key", key).select(*others, "text")
+    schema = keyed.drop("text").schema.add("n_bytes", "long").add("spelled_bytes", "long").add("own_bits", "double").add("has_words", "boolean")
+    scored = keyed.mapInArrow(own, schema)
+    grams = docs.select(key.alias("key"), "text").mapInArrow(grams_of, "key long, gram long, times int")
+    met = grams.join(table.where(F.col("n") < least).select("gram", "bits"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("bits")).alias("met"))
+    # Rows that are equal in all columns share a key, and their words were added up together.
+    scored = written(scored, "own-bits")
+    copies = scored.groupBy(F.col("__key").alias("key")).agg(F.count("*").alias("copies"))
+    sums = copies.join(met, "key", "left").select("key", F.coalesce(F.col("met") / F.col("copies"), F.lit(0.0)).alias("met"))
+    out = scored.join(sums, F.col("__key") == F.col("key"))
+    perplexity = F.when(F.col("has_words"), F.pow(F.lit(2.0), (F.col("own_bits") + F.col("met")) / F.col("spelled_bytes")))
+    return out.select(*others[:-1], "n_bytes", perplexity.alias("perplexity"), "has_words")
+
+
+def _has_words() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
 
 
 def _length_class() -> Column:
@@ -185,9 +344,9 @@ def classify(
     ids = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = train(rows.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("text"))
+    texts = rows.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("text")
     rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text")
-    scored = written(score(rows, model), "perplexities")
+    scored = written(score(rows, texts), "perplexities")
     trusted = scored.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
     by_class = written(limits(trusted, quantile, least_documents), "perplexity-limits")
     by_lang = by_class.groupBy(F.col("limit_lang").alias("l2")).agg(F.max("limit").alias("lang_limit"))
@@ -199,7 +358,7 @@ def classify(
     df = df.join(hint(by_class), F.col("lang").eqNullSafe(F.col("limit_lang")) & (F.col("length_class") == F.col("limit_class")), "left")
     df = df.join(hint(by_lang), F.col("lang").eqNullSafe(F.col("l2")), "left")
     limit = margin * F.coalesce("limit", "lang_limit", F.lit(largest).cast("double"))
-    kept = F.when(F.col("n_bytes") == 0, F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= limit, F.lit(True)))
+    kept = F.when(~F.col("has_words"), F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= limit, F.lit(True)))
     return df.select("doc_id", "lang", "text_hash", "n_bytes", "perplexity", limit.alias("limit"), kept.alias("kept"))
 
 

@@ -12,10 +12,12 @@ spelling and its back-off as a context, for a pair what it saves against back-of
 are counted in its task before they are shuffled; those that make up a ``hot_share`` of the trusted text or more (at
 most 2 / hot_share of them) are broadcast and added in the task, so that no key of the join is hot by them.
 
-A document is rejected if its perplexity is over ``margin`` times the ``quantile`` of the trusted documents of its
-language and length class (powers of two of its bytes, as short texts vary more). A class with fewer than
-``least_documents`` trusted ones takes the largest limit of its language's classes, a language without any the
-largest of all.
+A trusted document's words and pairs that no other trusted text has count as unmet for it, as they would for others.
+A document is rejected if its perplexity is over ``margin`` times its limit. As short texts vary more, limits follow
+length: the logarithm of the perplexity is fitted to 1 / sqrt(bytes) over all trusted documents, with a level for each
+language, and its spread to 1 / bytes; the limit lies as many spreads over the fit as the ``quantile`` of the trusted
+documents of the language. So each document has a limit, whatever its length. A language with fewer than
+``least_documents`` trusted ones takes level and quantile of all trusted documents.
 
 Edge cases: a null or blank text has no words and no perplexity and is rejected; a null lang is a language of its own; without
 trusted text, nothing is rejected but such texts. Repeated rows get a row each. An empty table gives no rows.
@@ -214,7 +216,7 @@ def _cut(d: list[float]) -> Column:
 def probabilities(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     """Of counted pairs: (pair, before, word, n, p), (word, n, p, backoff), and the weight of the spelling model.
 
-    A word's n is how often it stands before another; p is null for the start, backoff for the end.
+    A word's n is how often it stands in the texts; p is null for the start, backoff for the end.
     """
     d = discounts(pairs)
     contexts = pairs.groupBy(F.col("before").alias("context")).agg(F.sum("n").alias("total"), F.sum(_cut(d)).alias("mass")).withColumn("backoff", F.col("mass") / F.col("total"))
@@ -229,7 +231,8 @@ def probabilities(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     seen = pairs.drop("spelled").join(contexts, pairs.before == contexts.context).join(known.select("word", F.col("p").alias("lower")), "word")
     seen = seen.select("pair", "before", "word", "n", (own + F.col("backoff") * F.col("lower")).alias("p"), "backoff", "lower")
     words = known.join(contexts, known.word == contexts.context, "full")
-    words = words.select(F.coalesce("word", "context").alias("word"), F.coalesce("total", F.lit(0)).alias("n"), "p", "backoff", "spelled")
+    texts = contexts.where(F.col("context") == _BEGIN).first()["total"]  # as many ends as starts
+    words = words.select(F.coalesce("word", "context").alias("word"), F.coalesce("total", F.lit(texts)).alias("n"), "p", "backoff", "spelled")
     return seen, words, rest
 
 
@@ -246,8 +249,10 @@ def weights(pairs: DataFrame) -> tuple[DataFrame, float]:
 def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 0.001) -> DataFrame:
     """All columns but text, with n_bytes and perplexity (null where there is none) under the model of ``trusted.text``.
 
-    The perplexity is by byte of words and the spaces after them.
+    The perplexity is by byte of words and the spaces after them. Rows whose column ``is_trusted`` is true are part of the
+    model, so words and pairs that no other trusted text has count as unmet for them.
     """
+    docs = docs if "is_trusted" in docs.columns else docs.withColumn("is_trusted", F.lit(False))
     spaced = F.regexp_replace("text", SPACES, _GAP)
     spelling = train(trusted.select(F.concat(F.lit(_GAP), spaced, F.lit(_GAP)).alias("text")))
     others = [c for c in docs.columns if c != "text"]
@@ -257,13 +262,13 @@ def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 0.001) -> Data
     table, unmet = weights(written(count_pairs(trusted, spelling), "word-pairs"))
     least = hot_share * (table.agg(F.sum("n")).first()[0] / 2)
     hot = table.where(F.col("n") >= least).toPandas().sort_values("gram")  # 2 / hot_share rows at most
-    held = spark.sparkContext.broadcast((spelling, unmet, np.append(hot["gram"].to_numpy(np.int64), np.iinfo(np.int64).max), np.append(hot["bits"].to_numpy(np.float64), 0.0)))
+    held = spark.sparkContext.broadcast((spelling, unmet, np.append(hot["gram"].to_numpy(np.int64), np.iinfo(np.int64).max), np.append(hot["bits"].to_numpy(np.float64), 0.0), np.append(hot["n"].to_numpy(np.int64), 0)))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, unmet, grams, bits = held.value
+        spelling, unmet, grams, bits, often = held.value
         for batch in batches:
             rows = []
-            for x in batch.column(len(others)):
+            for own, x in zip(batch.column(others.index("is_trusted")).to_pylist(), batch.column(len(others))):
                 data = (x.as_py() or "").encode()
                 words = data.split()
                 if not words:
@@ -272,18 +277,20 @@ def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 0.001) -> Data
                 tokens = word_hashes(words)
                 total = spelling_bits(words, spelling).sum() + unmet * (len(words) + 1)
                 for line in (tokens, pair_hash(tokens[:-1], tokens[1:])):
-                    at = np.searchsorted(grams, line)
-                    total += bits[at][grams[at] == line].sum()
+                    found, n = np.unique(line, return_counts=True)
+                    at = np.searchsorted(grams, found)
+                    met = (grams[at] == found) & ((n < often[at]) if own else True)
+                    total += (n * bits[at])[met].sum()
                 rows.append((len(data), sum(map(len, words)) + len(words), float(total), True))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             made = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], names=[*others, "n_bytes", "spelled_bytes", "own_bits", "has_words"])
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, hot_grams, _ = held.value
+        hot_grams = held.value[2]
         for batch in batches:
-            keys, grams, counts, size = [], [], [], 0
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            keys, owns, grams, counts, size = [], [], [], [], 0
+            for key, own, x in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
                 words = (x.as_py() or "").encode().split()
                 if words:
                     tokens = word_hashes(words)
@@ -293,20 +300,21 @@ def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 0.001) -> Data
                         grams.append(found[cold])
                         counts.append(n[cold].astype(np.int32))
                         keys.append(np.full(len(grams[-1]), key, np.int64))
+                        owns.append(np.full(len(grams[-1]), own))
                         size += len(grams[-1])
                 if size > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, grams, counts)], names=["key", "gram", "times"])
-                    keys, grams, counts, size = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owns, grams, counts)], names=["key", "own", "gram", "times"])
+                    keys, owns, grams, counts, size = [], [], [], [], 0
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, grams, counts)], names=["key", "gram", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owns, grams, counts)], names=["key", "own", "gram", "times"])
 
     key = F.xxhash64(*others, "text")
     others.append("__key")
     keyed = docs.withColumn("__key", key).select(*others, "text")
     schema = keyed.drop("text").schema.add("n_bytes", "long").add("spelled_bytes", "long").add("own_bits", "double").add("has_words", "boolean")
     scored = keyed.mapInArrow(own, schema)
-    grams = docs.select(key.alias("key"), "text").mapInArrow(grams_of, "key long, gram long, times int")
-    met = grams.join(table.where(F.col("n") < least).select("gram", "bits"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("bits")).alias("met"))
+    grams = docs.select(key.alias("key"), "is_trusted", "text").mapInArrow(grams_of, "key long, own boolean, gram long, times int")
+    met = grams.join(table.where(F.col("n") < least), "gram").where(~F.col("own") | (F.col("times") < F.col("n"))).groupBy("key").agg(F.sum(F.col("times") * F.col("bits")).alias("met"))
     # Rows that are equal in all columns share a key, and their words were added up together.
     scored = written(scored, "own-bits")
     copies = scored.groupBy(F.col("__key").alias("key")).agg(F.count("*").alias("copies"))
@@ -320,18 +328,35 @@ def _has_words() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
 
 
-def _length_class() -> Column:
-    return F.floor(F.log2(F.col("n_bytes"))).cast("int")
-
-
-def limits(trusted: DataFrame, quantile: float, least_documents: int) -> DataFrame:
-    """limit_lang, limit_class (null: the language's largest) and limit, from the trusted documents' scores."""
-    by_class = (
-        trusted.where(F.col("perplexity").isNotNull())
-        .groupBy(F.col("lang").alias("limit_lang"), _length_class().alias("limit_class"))
-        .agg(F.percentile_approx("perplexity", quantile, 10000).alias("limit"), F.count("*").alias("n"))
-    )
-    return by_class.where(F.col("n") >= least_documents).drop("n")
+def _fitted(scored: DataFrame) -> DataFrame:
+    """Rows that have a perplexity, with bits (its logarithm), short (1 / sqrt(bytes)) and lang."""
+    return scored.where("perplexity is not null").select("lang", F.log2("perplexity").alias("bits"), (1 / F.sqrt("n_bytes")).alias("short"))
+
+
+def limits(trusted: DataFrame, quantile: float, least_documents: int) -> tuple[DataFrame, tuple, Column]:
+    """(limit_lang, level, steps) of languages, level and steps of all trusted documents (nulls without any), and the limit over columns level, steps and n_bytes."""
+    rows = _fitted(trusted)
+    slope, n = rows.agg(F.regr_slope("bits", "short"), F.count("*")).first()
+    level = F.avg(F.col("bits") - F.lit(slope or 0.0) * F.col("short")).alias("level")
+    levels = rows.groupBy(F.col("lang").alias("limit_lang")).agg(level, F.count("*").alias("n")).where(F.col("n") >= least_documents).drop("n")
+    levels = written(levels, "perplexity-levels")
+    overall = rows.agg(level).first()[0]
+    rest = F.col("bits") - F.lit(slope or 0.0) * F.col("short") - F.coalesce("level", F.lit(overall).cast("double"))
+    rows = rows.join(levels, F.col("lang").eqNullSafe(F.col("limit_lang")), "left").withColumn("rest", rest)
+    square, short = F.pow("rest", F.lit(2)), F.pow("short", F.lit(2))
+    steep, base, mean, mean_short = rows.agg(F.regr_slope(square, short), F.regr_intercept(square, short), F.avg(square), F.avg(short)).first()
+    if not n:
+        return levels.withColumn("steps", F.lit(0.0)), (None, None), F.lit(None).cast("double")
+    if steep is None or steep < 0:
+        steep, base = 0.0, mean
+    elif base < 0:
+        steep, base = mean / mean_short, 0.0
+    spread = lambda short: F.sqrt(F.greatest(F.lit(1e-12), F.lit(base) + F.lit(steep) * short))
+    steps = lambda rest: F.percentile_approx(rest / spread(short), quantile, 10000).alias("steps")
+    by_lang = rows.where("level is not null").groupBy("limit_lang", "level").agg(steps(F.col("rest")))
+    every = rows.agg(steps(F.col("bits") - F.lit(slope or 0.0) * F.col("short") - F.lit(overall))).first()[0]
+    at = F.col("level") + F.lit(slope or 0.0) / F.sqrt("n_bytes") + F.col("steps") * spread(1 / F.col("n_bytes"))
+    return by_lang, (overall, every), F.pow(F.lit(2.0), at)
 
 
 def classify(
@@ -344,20 +369,16 @@ def classify(
     ids = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("text")
-    rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text")
-    scored = written(score(rows, texts), "perplexities")
-    trusted = scored.join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    by_class = written(limits(trusted, quantile, least_documents), "perplexity-limits")
-    by_lang = by_class.groupBy(F.col("limit_lang").alias("l2")).agg(F.max("limit").alias("lang_limit"))
-    largest = by_class.agg(F.max("limit")).first()[0]
-    # Both tables have a row per language and length class or fewer.
-    small = by_class.count() <= 100_000
-    hint = F.broadcast if small else (lambda df: df)
-    df = scored.withColumn("length_class", _length_class())
-    df = df.join(hint(by_class), F.col("lang").eqNullSafe(F.col("limit_lang")) & (F.col("length_class") == F.col("limit_class")), "left")
-    df = df.join(hint(by_lang), F.col("lang").eqNullSafe(F.col("l2")), "left")
-    limit = margin * F.coalesce("limit", "lang_limit", F.lit(largest).cast("double"))
+    rows = rows.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.col("trusted_id").isNotNull().alias("is_trusted"), "text")
+    scored = written(score(rows, rows.where("is_trusted")), "perplexities")
+    trusted = scored.where("is_trusted")
+    by_lang, (level, steps), limit = limits(trusted, quantile, least_documents)
+    by_lang = written(by_lang, "perplexity-limits")
+    hint = F.broadcast if by_lang.count() <= 100_000 else (lambda df: df)
+    df = scored.join(hint(by_lang), F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
+    df = df.withColumns({"steps": F.when(F.col("level").isNull(), F.lit(steps).cast("double")).otherwise(F.col("steps")), "level": F.coalesce("level", F.lit(level).cast("double"))})
+    limit = F.when(F.col("has_words"), margin * limit)
     kept = F.when(~F.col("has_words"), F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= limit, F.lit(True)))
     return df.select("doc_id", "lang", "text_hash", "n_bytes", "perplexity", limit.alias("limit"), kept.alias("kept"))
 

@@ -83,3 +83,14 @@ def test_word_order_counts(spark):
     trusted = spark.createDataFrame(rows[:30], DOCS).select("text")
     got = {r.doc_id: r.perplexity for r in kneser_ney.score(spark.createDataFrame(rows[30:] + shuffled[30:], DOCS), trusted).collect()}
     assert all(got[100 + k] > 1.3 * got[k] for k in range(30, 40))
+
+
+def test_limits_at_any_length(spark):
+    """Five trusted documents, and junk that is far longer than any of them: each has a limit, and junk goes."""
+    rows, _ = corpus()
+    junk = "zqx " * 5000
+    rows = rows[:5] + [(200, junk, "it"), (201, junk[:400], "it"), (202, junk, "de"), (203, rows[0][1], None)]
+    labels = spark.createDataFrame([(k, 1) for k in range(5)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert all(r.limit is not None for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == {200, 201, 202}

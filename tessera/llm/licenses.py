@@ -1,15 +1,17 @@
 """License scans by a positional index of rare words, with DataFrame functions only.
 
-The words of the licence templates get document frequencies over all documents; those in at most ``rare_share`` of
-them are rare. Each text looks up its ``top_words`` rare words of highest IDF: each occurrence meets the postings
-(template, position) of its word, and occurrences whose distance to a template's start is the same support one
-placing of it. A template counts if at least ``least_share`` of its rare positions, or of ``top_words`` if that is
-less, support a placing and its mandatory key phrases stand in the text. Places of fixed base phrases are found beside that.
-
-What is shuffled is one row per template word for the frequencies, the supported placings, and a row per document.
-
-Edge cases: a null or blank text has no words, no places and empty labels; repeated rows get a row each (documents
-meet their placings by doc_id and a hash of the text). An empty table gives no rows.
+The words of the licence templates get document frequencies over all distinct texts. Each template is indexed by its
+``top_words`` words of highest IDF, however frequent these are. A template whose mandatory key phrases stand in a text
+is a candidate there: each occurrence of an indexed word meets the postings (template, position) of its word, and
+occurrences whose distance to a template's start is the same support one placing of it. A candidate counts if at least
+``least_share`` of its indexed positions support a placing, whatever other templates the text holds. Places of fixed
+base phrases are found beside that.
+
+What is shuffled is a row for each distinct text with template words for the frequencies, the placings of candidates
+with their supports (added up in the task first), and a row per document.
+
+Edge cases: a null or blank text has no words, no places and empty labels; repeated rows get a row each (rows
+are numbered). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,9 +47,11 @@ Template = tuple[str, str, Sequence[str]]
 
 
 def document_frequencies(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
-    """In how many documents each of the given words occurs; one row a word reaches the driver."""
+    """In how many distinct texts each of the given words occurs; one row a word reaches the driver."""
     found = F.array_distinct(F.filter(split_words(ascii_lower(F.col("text")), NON_WORD), lambda w: w.isin(list(words))))
-    rows = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), found.alias("found")).where(F.size("found") > 0)
+    texts = texts.groupBy("text_hash").agg(F.first("found").alias("found"))
+    rows = texts.select(F.explode("found").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     return dict.fromkeys(words, 0) | {r["word"]: r["n"] for r in rows}
 
 
@@ -65,41 +69,38 @@ def _phrase_starts(words: str, phrase: str) -> Column:
 
 
 def scan(
-    docs: DataFrame, templates: Sequence[Template] = TEMPLATES, rare_share: float = 0.1, top_words: int = 8, least_share: float = 0.5
+    docs: DataFrame, templates: Sequence[Template] = TEMPLATES, top_words: int = 8, least_share: float = 0.5
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays) and score."""
-    n_docs = docs.count()
     vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
     df = document_frequencies(docs, vocabulary)
-    rare = sorted((w for w in vocabulary if df[w] <= rare_share * n_docs), key=lambda w: (df[w], w))
-    rank = {w: k for k, w in enumerate(rare, 1)}
-    postings = [(rank[w], t, k) for t, (_, text, _) in enumerate(templates) for k, w in enumerate(text.split()) if w in rank]
+    top = [sorted(set(text.split()), key=lambda w: (df[w], w))[:top_words] for _, text, _ in templates]
+    indexed = sorted({w for words in top for w in words})
+    number = {w: k for k, w in enumerate(indexed, 1)}
+    postings = [(number[w], t, k) for t, (_, text, _) in enumerate(templates) for k, w in enumerate(text.split()) if w in top[t]]
     sizes = [sum(p[1] == t for p in postings) for t in range(len(templates))]
 
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), split_words(ascii_lower(F.col("text")), NON_WORD).alias("words"))
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), split_words(ascii_lower(F.col("text")), NON_WORD).alias("words"))
     words = words.withColumn("line", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     none = F.array().cast("array<int>")
-    found = F.array_distinct(F.filter("words", lambda w: w.isin(rare))) if rare else F.array().cast("array<string>")
-    words = words.withColumn("present", found)
-    by_idf = F.array(*[F.lit(w) for w in rare]) if rare else F.array().cast("array<string>")
-    top = F.slice(F.array_sort(F.transform("present", lambda w: F.array_position(by_idf, w).cast("int"))), 1, top_words)
-    words = words.withColumn("top", F.when(F.size("present") > 0, top).otherwise(none))
+    lookup = F.array(*[F.lit(w) for w in indexed])
     places = F.filter(
-        F.transform("words", lambda w, i: F.struct(F.array_position(by_idf, w).cast("int").alias("word"), i.alias("pos"))),
-        lambda p: F.array_contains(F.col("top"), p["word"]),
+        F.transform("words", lambda w, i: F.struct(F.array_position(lookup, w).cast("int").alias("word"), i.alias("pos"))),
+        lambda p: p["word"] > 0,
     )
     holds = [
         F.when(F.lit(True) if not phrases else _all([F.contains("line", F.lit(f" {p} ")) for p in phrases]), F.lit(t))
         for t, (_, _, phrases) in enumerate(templates)
     ]
     starts = [F.when(F.contains("line", F.lit(f" {p} ")), _phrase_starts("words", p)).otherwise(none) for p, _ in BASE]
+    words = words.withColumn("phrases", F.array_compact(F.array(*holds)))
     table = words.select(
         "doc_id",
-        "text_hash",
+        "row",
         F.size("words").cast("long").alias("n_words"),
         *[s.alias(f"base{k}") for k, s in enumerate(starts)],
-        F.when(F.size("present") > 0, places).otherwise(F.array().cast("array<struct<word:int,pos:int>>")).alias("places"),
-        F.when(F.size("present") > 0, F.array_compact(F.array(*holds))).otherwise(none).alias("phrases"),
+        F.when(F.size("phrases") > 0, places).otherwise(F.array().cast("array<struct<word:int,pos:int>>")).alias("places"),
+        "phrases",
     )
     table = written(table, "license-words")
 
@@ -107,18 +108,19 @@ def scan(
     index = F.broadcast(spark.createDataFrame(postings, "word int, template int, at int"))  # as many rows as the templates have words
     support = (
         table.where(F.size("places") > 0)
-        .select("doc_id", "text_hash", F.inline("places"))
+        .select("row", "phrases", F.inline("places"))
         .join(index, "word")
-        .groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("at")).alias("offset"))
-        .agg(F.count_distinct("at").alias("n"))
-        .groupBy(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "template")
+        .where(F.array_contains("phrases", F.col("template")))
+        .groupBy("row", "template", (F.col("pos") - F.col("at")).alias("offset"))
+        .agg(F.count("*").alias("n"))
+        .groupBy(F.col("row").alias("s_row"), "template")
         .agg(F.max("n").alias("n"))
     )
-    share = F.least(F.lit(1.0), F.col("n") / F.element_at(F.array(*[F.lit(min(max(1, s), top_words)) for s in sizes]), F.col("template") + 1))
-    placed = support.withColumn("share", share).where(F.col("share") >= least_share).groupBy("s_id", "s_hash").agg(F.collect_list(F.struct("template", "share")).alias("placed"))
-    both = table.join(placed, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")), "left")
+    share = F.least(F.lit(1.0), F.col("n") / F.element_at(F.array(*[F.lit(max(1, s)) for s in sizes]), F.col("template") + 1))
+    placed = support.withColumn("share", share).where(F.col("share") >= least_share).groupBy("s_row").agg(F.collect_list(F.struct("template", "share")).alias("placed"))
+    both = table.join(placed, F.col("row") == F.col("s_row"), "left")
 
-    good = F.filter(F.coalesce("placed", F.array().cast("array<struct<template:int,share:double>>")), lambda p: F.array_contains(F.col("phrases"), p["template"]))
+    good = F.coalesce("placed", F.array().cast("array<struct<template:int,share:double>>"))
     all_starts = F.concat(*[F.col(f"base{k}") for k in range(len(BASE))])
     base = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     names = F.array(*[F.lit(name) for name, _, _ in templates])

@@ -4,7 +4,8 @@ Equal windows are brought together by content. Each window's anchor is the 8-wor
 next to each other with the same anchor form a context. Anchors that stand in one document only are dropped, after a
 count that is combined before it is shuffled. Of the contexts left, equal ones are one, with its smallest document;
 they are dealt into shards by anchor, so that equal windows share a shard. An anchor with more than ``crowded``
-different contexts is dealt by single windows instead, so no anchor fills a shard.
+different contexts fills no shard: its single windows are dealt by a 128-bit hash of their words instead, and the
+smallest document of each hash is found before equal windows meet in one task.
 
 Each shard gets an FM-index: the Burrows-Wheeler transform of its contexts, by suffix sorting to the window's depth, in
 a wavelet matrix. Contexts are streamed against it: backward search keeps, at each word, the longest match that
@@ -20,7 +21,7 @@ count. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -282,45 +283,55 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sha
     distinct = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("at"), F.min("windows").alias("windows"))
     crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("anchor", F.lit(True).alias("single"))
     distinct = written(distinct.join(crowds, "anchor", "left").select("anchor", "context", "at", "windows", F.coalesce("single", F.lit(False)).alias("single")), "distinct-contexts")
-    total = distinct.agg(F.sum(F.when(F.col("single"), F.col("windows") * window).otherwise(F.col("windows") + window - 1))).first()[0]
+    total = distinct.where(~F.col("single")).agg(F.sum(F.col("windows") + window - 1)).first()[0]
     shards = max(1, -(-(total or 0) // shard_words))
 
-    wanted = distinct.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash")).agg(
-        F.collect_list(F.struct("anchor", "context", F.col("at.start").alias("start"), "windows", "single")).alias("wanted")
-    )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(single: bool, cut: Callable, schema: str) -> DataFrame:
+        wanted = distinct.where(F.col("single") == single).groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash"))
+        wanted = wanted.agg(F.collect_list(F.struct("anchor", "context", F.col("at.start").alias("start"), "windows")).alias("wanted"))
+        rows = texts.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("doc_id", "text", "wanted")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        names = ["anchor", "context", "skip", "first", "words"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for doc_id, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                    words = text.as_py().encode().split()
+                    for w in want:
+                        rows += [(w["anchor"], w["context"], skip, doc_id, part) for skip, part in cut(words[w["start"] : w["start"] + w["windows"] + window - 1], w["windows"])]
+                    if len(rows) > 4000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+        return rows.mapInArrow(run, schema)
+
+    def whole(words: list[bytes], windows: int) -> list[tuple[int, bytes]]:
+        return [(0, b" ".join(words))]
+
+    def hashed(words: list[bytes], windows: int) -> list[tuple[int, bytes]]:
         import xxhash
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        names = ["shard", "anchor", "context", "skip", "first", "words"]
-        for batch in batches:
-            rows = []
-            for doc_id, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = text.as_py().encode().split()
-                for w in want:
-                    if w["single"]:
-                        for skip in range(w["windows"]):
-                            part = b" ".join(words[w["start"] + skip : w["start"] + skip + window])
-                            rows.append((xxhash.xxh64_intdigest(part) % shards, w["anchor"], w["context"], skip, doc_id, part))
-                    else:
-                        part = b" ".join(words[w["start"] : w["start"] + w["windows"] + window - 1])
-                        rows.append((w["anchor"] % shards, w["anchor"], w["context"], 0, doc_id, part))
-                if len(rows) > 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        return [(k, xxhash.xxh3_128_digest(b" ".join(words[k : k + window]))) for k in range(windows)]
 
     def search(table: pa.Table) -> pa.Table:
         contexts = [x.split(b" ") for x in table.column("words").to_pylist()]
         least = first_documents(contexts, table.column("first").to_numpy(), window)
         return pa.table([table.column("anchor"), table.column("context"), table.column("skip"), pa.array([x.tolist() for x in least], pa.list_(pa.int64()))], names=["anchor", "context", "skip", "least"])
 
-    parts = texts.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("doc_id", "text", "wanted")
-    parts = parts.mapInArrow(cut, "shard long, anchor long, context long, skip int, first long, words binary")
-    least = written(parts.groupBy("shard").applyInArrow(search, "anchor long, context long, skip int, least array<long>"), "first-documents")
+    columns = "anchor long, context long, skip int, first long, words binary"
+    sharded = parts(False, whole, columns).withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    least = written(sharded.groupBy("shard").applyInArrow(search, "anchor long, context long, skip int, least array<long>"), "first-documents")
+    if crowds.head(1):
+        # Equal single windows are brought together by their hash: combined in the tasks, joined back as written tables.
+        single = written(parts(True, hashed, columns), "single-windows")
+        firsts = written(single.groupBy(F.col("words").alias("content")).agg(F.min("first").alias("least")), "distinct-windows")
+        single = single.join(firsts, F.col("words") == F.col("content")).select("anchor", "context", "skip", F.array("least").alias("least"))
+        least = least.union(single)
 
     places = found.join(least, ["anchor", "context"]).where(F.exists("least", lambda d: d < F.col("doc_id")))
     # A stretch of windows that an earlier document holds is one span.

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a memo of words in each Python worker.
 
 Both public vocabularies split a text before their merges, and never across the end of a run of other characters than
-white space. So a text's ids are those of its runs in a row. Texts are taken some megabytes at a time: each run that
+white space. So a text's ids are those of its runs in a row; texts with other white space than single spaces and line
+ends before words, or with the vocabulary's added tokens, are left to the library in larger pieces. Texts are taken some megabytes at a time: each run that
 isn't in the memo is encoded once by the library, many in one call, and those met twice stay in the memo, which is
 emptied at ``MEMO_WORDS``.
 """
@@ -45,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.merges = self.tokenizer.model.tokenize
         self.memo: dict[str, bytes] = {}
@@ -66,10 +67,12 @@ class Encoder:
         return out + self._batch(batch)
 
     def _runs(self, text: str) -> list[str] | None:
-        """Runs to look up; None if the text has white space that isn't simple.
+        """Runs to look up; None if the text holds an added token or white space that isn't simple.
 
         Spaced: the first run and those after a line end have it before them, all others mean a space before them.
         """
+        if any(x in text for x in self.special):
+            return None
         if not self.spaced:
             return _RUN.findall(text) if _SEPARATORS.search(text) else text.split()
         return None if _odd(text) else ("\n" + text).replace("\n", " \n").split(" ")[1:]
@@ -136,7 +139,9 @@ class Encoder:
         return array("I", [x.id for x in found]).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        """By the pieces that the vocabulary's pattern never joins, each encoded on its own."""
+        """By the pieces that the vocabulary's pattern never joins, each encoded on its own; with added tokens at once."""
+        if any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks = _CHUNK.findall(text)
         different = list(dict.fromkeys(chunks))
         found = self.tokenizer.encode_batch(different, add_special_tokens=False)
@@ -146,7 +151,7 @@ class Encoder:
 
 def _odd(text: str) -> bool:
     """Whether there is more than single spaces, and one or two line ends, before words."""
-    if "  " in text or " \n" in text or text[-1] == " " or "\n\n\n" in text or text.endswith("\n\n"):
+    if "  " in text or " \n" in text or text[-1] == " " or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"):
         return True
     if text.isascii():
         return any(x in text for x in "\t\r\x0b\x0c")

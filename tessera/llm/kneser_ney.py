@@ -1,16 +1,18 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of the words of trusted text.
 
 The vocabulary is open: each pair of words that follow each other in a trusted document is counted, with its start and
-end, and a word's continuation count is the number of different words before it. The counts, context totals and
-probabilities are Spark tables that grow with the corpus, joined by word or pair. Below the words stands a spelling
-model, which gives words never met a probability: Kneser-Ney over characters folded to ``SYMBOLS`` symbols, order 4,
-of at most SYMBOLS**4 entries, and therefore broadcast.
-
-A document's bits are those of its words by spelling alone, plus a weight for each of its words and pairs that the
-model holds, so one join by word or pair gives them all: ``weights`` has for a word what its count saves against its
-spelling and its back-off as a context, for a pair what it saves against back-off. Each document's words and pairs
-are counted in its task before they are shuffled; those that make up a ``hot_share`` of the trusted text or more (at
-most 2 / hot_share of them) are broadcast and added in the task, so that no key of the join is hot by them.
+end. The counts are a table that grows with the corpus. Pairs are dealt into shards by their first word, as many shards
+as the text needs (``shard_bytes`` of trusted text each, or four times that of all text), so a shard has all that a first
+word's back-off needs. First words that make up ``hot_share`` of the words or more would fill a shard; their pairs go by
+both words, and their sums (two numbers for each) are broadcast. A word's continuation count, the number of different
+words before it, is kept for the words that make up ``word_share`` of the trusted text or more (at most 1 / word_share,
+broadcast). All other words share what mass is left by their spelling: Kneser-Ney over characters folded to ``SYMBOLS``
+symbols, order 4, of at most SYMBOLS**4 entries, and therefore broadcast.
+
+Scoring is a join by shard: each task counts the pairs of each of its documents, sorts those of a block of documents by
+shard and pair, and packs them (sorted keys as steps, byte by byte, compressed), as rows of plain columns would take
+several times the input on disk. A shard meets its packed pairs with its counts, adds up a number for each document, and
+the numbers of all shards come together by block, where the documents' other columns wait. Words are 32 bits of hash.
 
 A trusted document's words and pairs that no other trusted text has count as unmet for it, as they would for others.
 A document is rejected if its perplexity is over ``margin`` times its limit. As short texts vary more, limits follow
@@ -25,10 +27,15 @@ trusted text, nothing is rejected but such texts. Repeated rows get a row each.
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,12 +113,7 @@ def _add(total: np.ndarray, blocks: list[np.ndarray]) -> None:
 def discounts(counts: DataFrame) -> list[float]:
     """Discounts of n-grams counted once, twice and more often (modified Kneser-Ney, from the counts of counts)."""
     row = counts.agg(*[F.count_if(F.col("n") == k).alias(f"t{k}") for k in (1, 2, 3, 4)]).first()
-    t = [row[f"t{k}"] for k in (1, 2, 3, 4)]
-    if not all(t[:2]):
-        return [0.5, 0.75, 0.75]
-    y = t[0] / (t[0] + 2 * t[1])
-    out = [k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.75 for k in (1, 2, 3)]
-    return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), out)]
+    return discounts_of([row[f"t{k}"] for k in (1, 2, 3, 4)])
 
 
 def train(trusted: DataFrame) -> np.ndarray | None:
@@ -150,23 +152,27 @@ def train(trusted: DataFrame) -> np.ndarray | None:
 _BEGIN, _END = 0, 1
 _END_BITS, _WORD_BITS = 6.0, float(-np.log2(1 - 2.0**-6))
 _GAP = " " * (ORDER - 1)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_LOW = np.uint64(0xFFFFFFFF)
+_ENTRIES = 1 << 21
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64 bits for each pair of words."""
-    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (second.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+def word_blocks(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, in lists for about a megabyte each."""
+    data, at = (text or "").encode(), 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + _BLOCK)
+        end = cut.start() if cut else len(data)
+        if words := data[at:end].split():
+            yield words
+        at = end
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64 bits for each word, between those of start and end."""
+    """32 bits for each word."""
     import xxhash
 
-    out = np.empty(len(words) + 2, np.uint64)
-    out[0], out[-1] = _BEGIN, _END
-    out[1:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return out.view(np.int64)
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
 
 
 def spelling_bits(words: list[bytes], spelling: np.ndarray) -> np.ndarray:
@@ -182,146 +188,368 @@ def spelling_bits(words: list[bytes], spelling: np.ndarray) -> np.ndarray:
     return np.append(sums[starts + sizes + 1] - sums[starts] + _WORD_BITS, _END_BITS)
 
 
-def count_pairs(texts: DataFrame, spelling: np.ndarray) -> DataFrame:
-    """pair, before, word, n and spelled (bits of the word's spelling) over all of ``texts.text``."""
-    held = texts.sparkSession.sparkContext.broadcast(spelling)
+def read_words(text: str | None, spelling: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a text's words between those of start and end; spelling bits of all but the start; bytes of words. Empty without words."""
+    tokens, bits, size = [np.array([_BEGIN], np.uint32)], [], 0
+    for words in word_blocks(text):
+        tokens.append(word_hashes(words))
+        size += sum(map(len, words))
+        if spelling is not None:
+            bits.append(spelling_bits(words, spelling)[:-1])
+    if len(tokens) == 1:
+        return np.zeros(0, np.uint32), np.zeros(0), 0
+    return np.concatenate([*tokens, np.array([_END], np.uint32)]), np.concatenate([*bits, [_END_BITS]]), size
+
+
+def pair_keys(tokens: np.ndarray) -> np.ndarray:
+    """A word and the next one, in 64 bits."""
+    return tokens[:-1].astype(np.uint64) << np.uint64(32) | tokens[1:]
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte by byte of all, compressed."""
+    import zstandard
+
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def opened(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if n else b"", np.uint8).reshape(-1, max(1, n))[:, :n]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def count_words(texts: DataFrame, least_share: float = 0.0, spelling: Broadcast | None = None) -> DataFrame:
+    """word (its hash), n and, with a spelling model, its bits, over ``texts.text``; words under ``least_share`` of each stretch of a task may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pair", "before", "word", "n", "spelled"]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            words, at, n = np.unique(np.concatenate([t for t, _ in held]), return_index=True, return_counts=True)
+            bits = np.concatenate([b for _, b in held])[at]
+            often = n >= least_share * size
+            return pa.RecordBatch.from_arrays([pa.array(words[often].astype(np.int64)), pa.array(n[often]), pa.array(bits[often])], names=["word", "n", "bits"])
+
         for batch in batches:
-            found: list[tuple[np.ndarray, ...]] = []
-            size = 0
             for x in batch.column(0):
-                words = (x.as_py() or "").encode().split()
-                if words:
-                    tokens = word_hashes(words)
-                    pairs, at, n = np.unique(pair_hash(tokens[:-1], tokens[1:]), return_index=True, return_counts=True)
-                    found.append((pairs, tokens[at], tokens[at + 1], n, spelling_bits(words, held.value)[at]))
-                    size += len(pairs)
-                if size > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
-                    found, size = [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
+                tokens, bits, _ = read_words(x.as_py(), spelling and spelling.value)
+                if len(tokens):
+                    held.append((tokens, np.concatenate([[0.0], bits]).astype(np.float32) if spelling else np.zeros(len(tokens), np.float32)))
+                    size += len(tokens)
+                if size > 2 * _ENTRIES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return texts.select("text").mapInArrow(run, "word long, n long, bits float").groupBy("word").agg(F.sum("n").alias("n"), F.max("bits").alias("bits"))
+
+
+class _Sorted:
+    """Numbers looked up by 32-bit hashes."""
 
-    rows = texts.select("text").mapInArrow(run, "pair long, before long, word long, n long, spelled double")
-    first = [F.first(c).alias(c) for c in ("before", "word", "spelled")]
-    return rows.groupBy("pair").agg(*first, F.sum("n").alias("n"))
+    def __init__(self, hashes: np.ndarray, *columns: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.columns = hashes[order].astype(np.uint32), [c[order] for c in columns]
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the hashes, and whether they are there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
-def _cut(d: list[float]) -> Column:
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
+def _shard_of(keys: np.ndarray, hot: _Sorted, shards: int) -> np.ndarray:
+    """Pairs go by their first word; those of hot first words by both."""
+    first = (keys >> np.uint64(32)).astype(np.uint32)
+    mixed = first.astype(np.uint64) + np.where(hot.find(first)[1], keys & _LOW, np.uint64(0))
+    mixed = (mixed ^ (mixed >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
-def probabilities(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """Of counted pairs: (pair, before, word, n, p), (word, n, p, backoff), and the weight of the spelling model.
 
-    A word's n is how often it stands in the texts; p is null for the start, backoff for the end.
+def count_pairs(texts: DataFrame, spelling: Broadcast, words: Broadcast, hot: Broadcast, shards: int) -> DataFrame:
+    """shard, n, keys, counts and spelled: each task's pairs of words of ``texts.text``, packed by shard."""
+    names = ["shard", "n", "keys", "counts", "spelled"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, at, n = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
+            bits = np.concatenate([b for _, b in held])[at].astype(np.float16)
+            return _packed_pairs(keys, n, bits, _shard_of(keys, hot.value, shards), words.value)
+
+        for batch in batches:
+            for x in batch.column(0):
+                tokens, bits, _ = read_words(x.as_py(), spelling.value)
+                if len(tokens):
+                    held.append((pair_keys(tokens), bits))
+                    size += len(bits)
+                if size > _ENTRIES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def _packed_pairs(keys, n, bits, shard, known) -> pa.RecordBatch:
+        rows = []
+        for s in np.unique(shard).tolist():
+            here = shard == s
+            cold = ~known.find((keys[here] & _LOW).astype(np.uint32))[1]
+            rows.append((s, int(here.sum()), squeezed(_steps(keys[here])), squeezed(n[here]), squeezed(bits[here][cold].view(np.uint16))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=names)
+
+    return texts.select("text").mapInArrow(run, "shard int, n long, keys binary, counts binary, spelled binary")
+
+
+def _unpacked(n: int, keys: bytes, counts: bytes, spelled: bytes, words: _Sorted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts and spelling bits (of words that aren't in ``words``)."""
+    keys = np.cumsum(opened(keys, n), dtype=np.uint64)
+    cold = ~words.find((keys & _LOW).astype(np.uint32))[1]
+    bits = np.zeros(n, np.float16)
+    bits[cold] = opened(spelled, int(cold.sum())).astype(np.uint16).view(np.float16)
+    return keys, opened(counts, n).astype(np.int64), bits
+
+
+def merge_pairs(packed: DataFrame, words: Broadcast, hot: Broadcast) -> DataFrame:
+    """The pairs of each shard counted once (kind 0), with what is to be added up over shards.
+
+    Kind 1 has how many pairs were met once, twice, three and four times; kind 2 how many pairs end in a word; kind 3 a hot
+    first word's pairs: their sum, and how many were met once, twice and more often.
     """
-    d = discounts(pairs)
-    contexts = pairs.groupBy(F.col("before").alias("context")).agg(F.sum("n").alias("total"), F.sum(_cut(d)).alias("mass")).withColumn("backoff", F.col("mass") / F.col("total"))
-    contexts = written(contexts.select("context", "total", "backoff"), "word-contexts")
-    followers = written(pairs.groupBy("word").agg(F.count("*").alias("n"), F.first("spelled").alias("spelled")), "word-continuations")
-    d1 = discounts(followers)
-    total, mass = followers.agg(F.sum("n"), F.sum(_cut(d1))).first()
-    rest = mass / total
-    known = followers.select("word", ((F.col("n") - _cut(d1)) / total + rest * F.pow(F.lit(2.0), -F.col("spelled"))).alias("p"), "spelled")
-    known = written(known, "word-probabilities")
-    own = (F.col("n") - _cut(d)) / F.col("total")
-    seen = pairs.drop("spelled").join(contexts, pairs.before == contexts.context).join(known.select("word", F.col("p").alias("lower")), "word")
-    seen = seen.select("pair", "before", "word", "n", (own + F.col("backoff") * F.col("lower")).alias("p"), "backoff", "lower")
-    words = known.join(contexts, known.word == contexts.context, "full")
-    texts = contexts.where(F.col("context") == _BEGIN).first()["total"]  # as many ends as starts
-    words = words.select(F.coalesce("word", "context").alias("word"), F.coalesce("total", F.lit(texts)).alias("n"), "p", "backoff", "spelled")
-    return seen, words, rest
-
-
-def weights(pairs: DataFrame) -> tuple[DataFrame, float]:
-    """gram (a word or pair), n and bits: what it adds to a document's bits by spelling; and the bits of leaving the words' counts."""
-    seen, words, rest = probabilities(pairs)
-    unmet = float(-np.log2(rest))
-    pair_bits = F.log2("backoff") + F.log2("lower") - F.log2("p")
-    word_bits = F.coalesce(-F.log2("p") - F.lit(unmet) - F.col("spelled"), F.lit(0.0)) - F.coalesce(F.log2("backoff"), F.lit(0.0))
-    both = seen.select(F.col("pair").alias("gram"), "n", pair_bits.alias("bits")).union(words.select(F.col("word").alias("gram"), "n", word_bits.alias("bits")))
-    return written(both, "word-weights"), unmet
-
-
-def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 0.001) -> DataFrame:
-    """All columns but text, with n_bytes and perplexity (null where there is none) under the model of ``trusted.text``.
+    names = ["kind", "id", "a", "b", "c", "d", "shard", "n", "keys", "counts", "spelled"]
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(*(r[c] for c in ("n", "keys", "counts", "spelled")), words.value) for r in table.select(["n", "keys", "counts", "spelled"]).to_pylist()]
+        keys, at, row = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(row, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        bits = np.concatenate([p[2] for p in parts])[at]
+        second = (keys & _LOW).astype(np.uint32)
+        found, known = words.value.find(second)
+        ends, end_n = np.unique(found[known], return_counts=True)
+        first = (keys >> np.uint64(32)).astype(np.uint32)
+        is_hot = hot.value.find(first)[1]
+        hot_first, of = np.unique(first[is_hot], return_inverse=True)
+        sums = [np.bincount(of, weights=w, minlength=len(hot_first)).astype(np.int64) for w in (n[is_hot], n[is_hot] == 1, n[is_hot] == 2, n[is_hot] > 2)]
+        none = np.zeros(len(ends), np.int64)
+        kinds = np.repeat([0, 1, 2, 3], [1, 1, len(ends), len(hot_first)])
+        ids = np.concatenate([[0], [0], words.value.hashes[ends].astype(np.int64), hot_first.astype(np.int64)])
+        columns = [np.concatenate([[0], [int((n == k + 1).sum())], end_n if not k else none, sums[k]]) for k in range(4)]
+        blobs = [squeezed(_steps(keys)), squeezed(n), squeezed(bits[~known].view(np.uint16))]
+        rest = len(kinds) - 1
+        return pa.table(
+            [pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(np.full(len(kinds), table["shard"][0].as_py(), np.int32)),
+             pa.array([len(keys)] + [None] * rest, pa.int64()), *(pa.array([b] + [None] * rest, pa.binary()) for b in blobs)],
+            names=names,
+        )
+
+    schema = "kind int, id long, a long, b long, c long, d long, shard int, n long, keys binary, counts binary, spelled binary"
+    return packed.groupBy("shard").applyInArrow(run, schema)
+
+
+def discounts_of(t: list[int]) -> list[float]:
+    """Discounts from how many n-grams were met once, twice, three and four times."""
+    if not all(t[:2]):
+        return [0.5, 0.75, 0.75]
+    y = t[0] / (t[0] + 2 * t[1])
+    out = [k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.75 for k in (1, 2, 3)]
+    return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), out)]
+
+
+class _Shard:
+    """What a shard's pairs and first words add to a document's bits; hot: total and mass of first words whose pairs are in all shards."""
+
+    def __init__(self, row: dict | None, words: _Sorted, hot: _Sorted, d: list[float], rest: float):
+        row = row or {"n": 0, "keys": b"", "counts": b"", "spelled": b""}
+        self.keys, self.n, spelled = _unpacked(row["n"], row["keys"], row["counts"], row["spelled"], words)
+        cut = np.array([0.0, *d])[np.minimum(self.n, 3)]
+        first = (self.keys >> np.uint64(32)).astype(np.uint32)
+        at = np.flatnonzero(np.diff(first.astype(np.int64), prepend=-1))
+        total, mass = (np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (self.n.astype(np.float64), cut))
+        row_of, is_hot = hot.find(first[at])
+        total[is_hot], mass[is_hot] = (c[row_of[is_hot]] for c in hot.columns)
+        size = np.diff(np.append(at, len(first)))
+        found, known = words.find((self.keys & _LOW).astype(np.uint32))
+        lower = np.where(known, words.columns[1][found], spelled.astype(np.float64) - np.log2(rest))
+        back = np.repeat(mass / total, size)
+        self.bits = np.log2(back) - lower - np.log2((self.n - cut) / np.repeat(total, size) + back * 2.0**-lower)
+        cold = ~is_hot
+        self.contexts = _Sorted(
+            np.concatenate([first[at][cold], hot.hashes]),
+            np.concatenate([total[cold], np.full(len(hot.hashes), np.inf)]),
+            np.log2(np.concatenate([total[cold] / mass[cold], hot.columns[0] / hot.columns[1]])),
+        )
+
+    def sums(self, keys: np.ndarray, docs: np.ndarray, times: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Bits to add for each document; own: documents that the model was counted over."""
+        out = np.zeros(len(keys))
+        of_own = own[docs]
+        first = (keys >> np.uint64(32)).astype(np.uint32)
+        at, met = self.contexts.find(first)
+        if of_own.any():
+            mine = np.flatnonzero(of_own)
+            _, group = np.unique(first[mine].astype(np.uint64) << np.uint64(32) | docs[mine].astype(np.uint64), return_inverse=True)
+            met[mine] &= np.bincount(group, weights=times[mine])[group] < self.contexts.columns[0][at[mine]]
+        out[met] += self.contexts.columns[1][at[met]]
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            met &= (self.keys[at] == keys) & ((times < self.n[at]) | ~of_own)
+            out[met] += self.bits[at[met]]
+        return np.bincount(docs, weights=out * times, minlength=len(own))
+
+
+def requests(docs: DataFrame, others: list[str], spelling: Broadcast, words: Broadcast, hot_names: Broadcast, hot: Broadcast, rest: float, shards: int) -> DataFrame:
+    """What the shards are asked: the pairs of each block of a task's documents, packed by shard; and a row (n -1) that holds the block's documents."""
+    names = ["shard", "block", "n", "keys", "docs", "times", "own"]
+    own_at = others.index("is_trusted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, size = TaskContext.get().partitionId(), 0, 0
+        rows: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            block = part << 32 | number
+            keys, times = (np.concatenate(c) for c in zip(*held))
+            doc = np.repeat(np.arange(len(held)), [len(k) for k, _ in held])
+            order = np.argsort(keys, kind="stable")
+            keys, doc, times = keys[order], doc[order], times[order]
+            shard = _shard_of(keys, hot_names.value, shards)
+            whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*others, *_OWN])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema) as writer:
+                writer.write_batch(whole)
+            own = struct.pack("<I", len(rows)) + np.packbits([bool(r[own_at]) for r in rows]).tobytes()
+            out = [(block % shards, block, -1, sink.getvalue().to_pybytes(), None, None, own)]
+            for s in np.unique(shard).tolist():
+                here = shard == s
+                out.append((s, block, int(here.sum()), squeezed(_steps(keys[here])), squeezed(doc[here]), squeezed(times[here]), own))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=names)
+
+        for batch in batches:
+            kinds = [*(batch.schema.field(c).type for c in others), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+            for *values, text in zip(*(c.to_pylist() for c in batch.columns[: len(others)]), batch.column(len(others))):
+                text = text.as_py()
+                tokens, bits, spelled = read_words(text, spelling.value)
+                total, keys = 0.0, pair_keys(tokens)
+                if len(tokens):
+                    found, met = words.value.find(tokens[1:])
+                    if values[own_at]:  # what no other trusted text has counts as unmet
+                        _, of, n = np.unique(tokens[1:], return_inverse=True, return_counts=True)
+                        met &= n[of] < words.value.columns[0][found]
+                        _, of, n = np.unique(tokens[:-1], return_inverse=True, return_counts=True)
+                        row, is_hot = hot.value.find(tokens[:-1])
+                        keys = keys[~is_hot | (n[of] < hot.value.columns[0][row])]
+                    total = float(np.where(met, words.value.columns[1][found], bits - np.log2(rest)).sum())
+                rows.append((*values, len((text or "").encode()), spelled + max(0, len(tokens) - 2), total, len(tokens) > 0))
+                held.append(np.unique(keys, return_counts=True))
+                size += len(held[-1][0])
+                if size > _ENTRIES or len(rows) >= 1 << 15:
+                    yield flush()
+                    number, size, rows, held = number + 1, 0, [], []
+        if rows:
+            yield flush()
+
+    return docs.select(*others, "text").mapInArrow(run, "shard int, block long, n long, keys binary, docs binary, times binary, own binary")
+
+
+_OWN = ["n_bytes", "spelled_bytes", "own_bits", "has_words"]
+
+
+def answers(asked: DataFrame, pairs: DataFrame, words: Broadcast, hot: Broadcast, d: list[float], rest: float) -> DataFrame:
+    """block with sums (of each of its documents) of a shard, or with rows (its documents)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = right.select(["n", "keys", "counts", "spelled"]).to_pylist()
+        shard = _Shard(model[0] if model else None, words.value, hot.value, d, rest)
+        sums: list[bytes | None] = []
+        for r in (r for b in left.to_batches(max_chunksize=16) for r in b.to_pylist()):
+            if r["n"] < 0:
+                sums.append(None)
+                continue
+            n = r["n"]
+            (docs,), bits = struct.unpack("<I", r["own"][:4]), np.frombuffer(r["own"], np.uint8, offset=4)
+            own = np.unpackbits(bits, count=docs).astype(bool)
+            keys = np.cumsum(opened(r["keys"], n), dtype=np.uint64)
+            found = shard.sums(keys, opened(r["docs"], n).astype(np.int64), opened(r["times"], n).astype(np.int64), own)
+            sums.append(found.astype("<f4").tobytes())
+        rows = pc.if_else(pc.less(left["n"], 0), left["keys"], pa.scalar(None, pa.binary()))
+        return pa.table([left["block"], pa.array(sums, pa.binary()), rows], names=["block", "sums", "rows"])
+
+    return asked.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(run, "block long, sums binary, rows binary")
+
+
+def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_share: float = 5e-7, shard_bytes: int = 24 << 20) -> DataFrame:
+    """All columns but text, with n_bytes, perplexity (null where there is none) and has_words, under the model of ``trusted.text``.
 
     The perplexity is by byte of words and the spaces after them. Rows whose column ``is_trusted`` is true are part of the
     model, so words and pairs that no other trusted text has count as unmet for them.
     """
+    spark = docs.sparkSession
     docs = docs if "is_trusted" in docs.columns else docs.withColumn("is_trusted", F.lit(False))
     spaced = F.regexp_replace("text", SPACES, _GAP)
     spelling = train(trusted.select(F.concat(F.lit(_GAP), spaced, F.lit(_GAP)).alias("text")))
     others = [c for c in docs.columns if c != "text"]
     if spelling is None:
         return docs.select(*others, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), _has_words().alias("has_words"))
-    spark = docs.sparkSession
-    table, unmet = weights(written(count_pairs(trusted, spelling), "word-pairs"))
-    least = hot_share * (table.agg(F.sum("n")).first()[0] / 2)
-    hot = table.where(F.col("n") >= least).toPandas().sort_values("gram")  # 2 / hot_share rows at most
-    held = spark.sparkContext.broadcast((spelling, unmet, np.append(hot["gram"].to_numpy(np.int64), np.iinfo(np.int64).max), np.append(hot["bits"].to_numpy(np.float64), 0.0), np.append(hot["n"].to_numpy(np.int64), 0)))
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, unmet, grams, bits, often = held.value
-        for batch in batches:
-            rows = []
-            for own, x in zip(batch.column(others.index("is_trusted")).to_pylist(), batch.column(len(others))):
-                data = (x.as_py() or "").encode()
-                words = data.split()
-                if not words:
-                    rows.append((len(data), 0, 0.0, False))
-                    continue
-                tokens = word_hashes(words)
-                total = spelling_bits(words, spelling).sum() + unmet * (len(words) + 1)
-                for line in (tokens, pair_hash(tokens[:-1], tokens[1:])):
-                    found, n = np.unique(line, return_counts=True)
-                    at = np.searchsorted(grams, found)
-                    met = (grams[at] == found) & ((n < often[at]) if own else True)
-                    total += (n * bits[at])[met].sum()
-                rows.append((len(data), sum(map(len, words)) + len(words), float(total), True))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            made = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], names=[*others, "n_bytes", "spelled_bytes", "own_bits", "has_words"])
-
-    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_grams = held.value[2]
-        for batch in batches:
-            keys, owns, grams, counts, size = [], [], [], [], 0
-            for key, own, x in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
-                words = (x.as_py() or "").encode().split()
-                if words:
-                    tokens = word_hashes(words)
-                    for line in (tokens, pair_hash(tokens[:-1], tokens[1:])):
-                        found, n = np.unique(line, return_counts=True)
-                        cold = hot_grams[np.searchsorted(hot_grams, found)] != found
-                        grams.append(found[cold])
-                        counts.append(n[cold].astype(np.int32))
-                        keys.append(np.full(len(grams[-1]), key, np.int64))
-                        owns.append(np.full(len(grams[-1]), own))
-                        size += len(grams[-1])
-                if size > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owns, grams, counts)], names=["key", "own", "gram", "times"])
-                    keys, owns, grams, counts, size = [], [], [], [], 0
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owns, grams, counts)], names=["key", "own", "gram", "times"])
-
-    key = F.xxhash64(*others, "text")
-    others.append("__key")
-    keyed = docs.withColumn("__key", key).select(*others, "text")
-    schema = keyed.drop("text").schema.add("n_bytes", "long").add("spelled_bytes", "long").add("own_bits", "double").add("has_words", "boolean")
-    scored = keyed.mapInArrow(own, schema)
-    grams = docs.select(key.alias("key"), "is_trusted", "text").mapInArrow(grams_of, "key long, own boolean, gram long, times int")
-    met = grams.join(table.where(F.col("n") < least), "gram").where(~F.col("own") | (F.col("times") < F.col("n"))).groupBy("key").agg(F.sum(F.col("times") * F.col("bits")).alias("met"))
-    # Rows that are equal in all columns share a key, and their words were added up together.
-    scored = written(scored, "own-bits")
-    copies = scored.groupBy(F.col("__key").alias("key")).agg(F.count("*").alias("copies"))
-    sums = copies.join(met, "key", "left").select("key", F.coalesce(F.col("met") / F.col("copies"), F.lit(0.0)).alias("met"))
-    out = scored.join(sums, F.col("__key") == F.col("key"))
-    perplexity = F.when(F.col("has_words"), F.pow(F.lit(2.0), (F.col("own_bits") + F.col("met")) / F.col("spelled_bytes")))
-    return out.select(*others[:-1], "n_bytes", perplexity.alias("perplexity"), "has_words")
+    size = F.sum(F.octet_length("text"))
+    shards = max(1, -(-(trusted.agg(size).first()[0] or 0) // shard_bytes), -(-(docs.agg(size).first()[0] or 0) // (4 * shard_bytes)))
+    held_spelling = spark.sparkContext.broadcast(spelling)
+    counted = written(count_words(trusted, spelling=held_spelling), "trusted-words")
+    total = counted.agg(F.sum("n")).first()[0]
+    often = count_words(docs, hot_share)
+    asked_total = often.agg(F.sum("n")).first()[0] or 0
+    # At most 1 / word_share words and some 2 / hot_share first words, at any size of corpus.
+    kept = counted.where((F.col("n") >= word_share * total) | F.col("word").isin(_BEGIN, _END)).toArrow()
+    first = counted.where(F.col("n") >= hot_share * total).select("word").union(often.where(F.col("n") >= hot_share * asked_total).select("word")).distinct().toArrow()
+    share = spark.sparkContext.broadcast
+    names = share(_Sorted(kept["word"].to_numpy()))
+    hot_names = share(_Sorted(first["word"].to_numpy()))
+
+    packed = count_pairs(trusted, held_spelling, names, hot_names, shards)
+    merged = written(merge_pairs(packed, names, hot_names), "word-pairs")
+    few = merged.where("kind in (1, 3)").groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()
+    d = discounts_of(next([r.a, r.b, r.c, r.d] for r in few if r.kind == 1))
+    hot = _Sorted(*(np.array(c, np.float64) for c in zip(*[(r.id, r.a, d[0] * r.b + d[1] * r.c + d[2] * r.d) for r in few if r.kind == 3] or [()] * 3)) if any(r.kind == 3 for r in few) else (np.zeros(0),) * 3)
+    ends = merged.where("kind = 2").groupBy("id").agg(F.sum("a").alias("n")).toArrow()
+    n = ends["n"].to_numpy()
+    d1 = discounts_of([int((n == k).sum()) for k in (1, 2, 3, 4)])
+    own = (n - np.array([0.0, *d1])[np.minimum(n, 3)]) / merged.where("kind = 0").agg(F.sum("n")).first()[0]
+    rest = float(1 - own.sum())
+    known = _Sorted(kept["word"].to_numpy(), kept["n"].to_numpy(), kept["bits"].to_numpy())
+    at, _ = known.find(ends["id"].to_numpy().astype(np.uint32))
+    words = _Sorted(ends["id"].to_numpy(), known.columns[0][at], -np.log2(own + rest * 2.0 ** -known.columns[1][at].astype(np.float64)))
+    words, hot = share(words), share(hot)
+
+    asked = requests(docs, others, held_spelling, words, hot_names, hot, rest, shards)
+    found = answers(asked, merged.where("kind = 0"), words, hot, d, rest)
+
+    def together(table: pa.Table) -> pa.Table:
+        rows, total = None, 0.0
+        for sums, own in zip(table["sums"], table["rows"]):
+            if own.is_valid:
+                rows = pa.ipc.open_stream(own.as_buffer()).read_all()
+            else:
+                total = total + np.frombuffer(sums.as_buffer(), "<f4").astype(np.float64)
+        bits = (rows["own_bits"].to_numpy() + total) / np.maximum(rows["spelled_bytes"].to_numpy(), 1)
+        perplexity = pa.array(2.0**bits, mask=~rows["has_words"].to_numpy())
+        return rows.select([*others, "n_bytes"]).append_column("perplexity", perplexity).append_column("has_words", rows["has_words"])
+
+    schema = docs.select(*others).schema.add("n_bytes", "long").add("perplexity", "double").add("has_words", "boolean")
+    return found.groupBy("block").applyInArrow(together, schema)
 
 
 def _has_words() -> Column:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import kneser_ney
 
@@ -62,12 +63,12 @@ def corpus():
     return rows, words
 
 
-@pytest.mark.parametrize("hot_share", [0.001, 0.05, 2.0])
-def test_bits(spark, hot_share):
+@pytest.mark.parametrize(("hot_share", "shard_bytes"), [(0.001, 24 << 20), (0.05, 500), (2.0, 500)])
+def test_bits(spark, hot_share, shard_bytes):
     rows, words = corpus()
     others = [(50, "rivermi\t rine\n\nrine x", "it"), (51, "una parola nuova", None), (51, "una parola nuova", None), (52, "lane", "it"), (53, " \n", "it"), (54, None, "it")]
     trusted = spark.createDataFrame(rows, DOCS).select("text")
-    got = sorted(kneser_ney.score(spark.createDataFrame(rows + others, DOCS), trusted, hot_share).collect(), key=lambda r: r.doc_id)
+    got = sorted(kneser_ney.score(spark.createDataFrame(rows + others, DOCS), trusted, hot_share, shard_bytes=shard_bytes).collect(), key=lambda r: r.doc_id)
     spelling = kneser_ney.train(trusted.selectExpr("concat('   ', regexp_replace(text, ' ', '   '), '   ') as text"))
     texts = [t for _, t, _ in rows + others[:4]]
     for r, t, bits in zip(got, texts, plain_bits([t for _, t, _ in rows], spelling, texts)):
@@ -75,6 +76,18 @@ def test_bits(spark, hot_share):
     assert [r.perplexity for r in got[44:]] == [None, None] and len(got) == len(rows + others)
 
 
+def test_own_words(spark):
+    """A trusted document is scored as if what only it holds weren't counted; very long texts go in blocks."""
+    rows, _ = corpus()
+    rows = [*rows, (60, "solo qui " * 3 + rows[0][1], "it"), (61, "lane rine " * 150_000, "it")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("is_trusted", F.lit(True))
+    got = {r.doc_id: r for r in kneser_ney.score(docs, docs.select("text"), shard_bytes=500).collect()}
+    without = {r.doc_id: r for r in kneser_ney.score(docs.withColumn("is_trusted", F.lit(False)), docs.select("text"), shard_bytes=500).collect()}
+    assert got[60].perplexity > 1.2 * without[60].perplexity
+    assert got[5].perplexity == pytest.approx(without[5].perplexity, rel=1e-6)
+    assert got[61].n_bytes == 1_500_000 and got[61].perplexity < 1.2
+
+
 def test_word_order_counts(spark):
     """The same words in another order have the same letters, but pairs that trusted text hasn't."""
     rows, words = corpus()

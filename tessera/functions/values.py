@@ -54,9 +54,9 @@ def date_serial(c: Column) -> Column:
 
 
 def datetime_serial(day: Column, clock: Column) -> Column:
-    """Serial of a d/m/y text with the share of the day of an h:mm text; without a time, the day alone."""
-    hour, minute = (F.regexp_extract(clock, r"^\s*(\d{1,2}):(\d{2})", k).try_cast("int") for k in (1, 2))
-    return date_serial(day) + F.coalesce((hour * 60 + minute) / F.lit(1440.0), F.lit(0.0))
+    """Serial of a d/m/y text with the share of the day of an h:mm:ss text; without such a time, the day alone."""
+    hour, minute, second = (F.regexp_extract(clock, r"^\s*(\d{1,2}):(\d{2}):(\d{2})\s*$", k).try_cast("int") for k in (1, 2, 3))
+    return date_serial(day) + F.coalesce((hour * 3600 + minute * 60 + second) / F.lit(86400.0), F.lit(0.0))
 
 
 def serial_text(c: Column) -> Column:
@@ -117,12 +117,13 @@ def column_letters(c: Column) -> Column:
     def letter(x):
         return F.chr(x + 65)
 
-    one, two = c - 26, c - 26 - 26 * 26
-    return (
-        F.when(c < 26, letter(c))
-        .when(one < 26 * 26, F.concat(letter(F.floor(one / 26)), letter(one % 26)))
-        .otherwise(F.concat(letter(F.floor(two / 676)), letter(F.floor(two / 26) % 26), letter(two % 26)))
-    )
+    # Before the names of k letters stand 26 + 26**2 + ... + 26**(k - 1) shorter ones.
+    out, before = F.lit(None).cast("string"), [sum(26**j for j in range(1, k)) for k in range(1, 8)]
+    for k in range(7, 0, -1):
+        rest = c - before[k - 1]
+        name = F.concat(*[letter(F.floor(rest / 26**j) % 26) for j in reversed(range(k))])
+        out = F.when(rest < 26**k, name).otherwise(out)
+    return out
 
 
 def column_index(letters: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tessera.functions.texts import squeezed, words
 
 PREVIEW_BLOCKS = 40
-MAX_LEVEL = 8
 LIST_ITEM = r"^([-*•·]|\d+[.)])\s+"
 _ITEM_LINE = r"(?m)^([ \t]*(?:[-*•]|\d+[.)])[ \t]+.*)$"
 
@@ -89,14 +88,17 @@ def merged_runs(runs: Column) -> Column:
     return F.flatten(F.transform(F.array(runs), merge))
 
 
-def list_numbers(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "block_no") -> DataFrame:
+def list_numbers(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "block_no", deepest: int | None = None) -> DataFrame:
     """Adds ``number`` to ordered list items, counted by level.
 
     An ordered item starts the levels below it anew; any block that isn't a list starts all; unordered items start none.
+    ``deepest`` is the highest level of an ordered item; it is looked up where it isn't given.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     is_list, ordered = F.col("kind") == "list", F.col("ordered")
-    resets = F.coalesce(*[F.when(F.col("level") == k, F.max(F.when(~is_list | (ordered & (F.col("level") < k)), F.col(order))).over(w)) for k in range(MAX_LEVEL + 1)], F.lit(-1))
+    if deepest is None:
+        deepest = blocks.where(is_list & ordered).agg(F.max("level")).first()[0] or 0
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    resets = F.coalesce(*[F.when(F.col("level") == k, F.max(F.when(~is_list | (ordered & (F.col("level") < k)), F.col(order))).over(w)) for k in range(deepest + 1)], F.lit(-1))
     marked = blocks.withColumn("_reset", resets)
     own = Window.partitionBy(*keys, "level", "_reset", is_list & ordered).orderBy(order)
     return marked.withColumn("number", F.when(is_list & ordered, F.row_number().over(own))).drop("_reset")
@@ -157,24 +159,47 @@ def tagged_lists(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: st
 
 
 def markdown_escaped(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\`*_\[\]])", r"\\$1")
+    """Backslashes and marks escaped; an underscore inside a word is a letter; what would open a block at the start of a line."""
+    c = F.regexp_replace(c, r"[\\`*\[\]]|(?<!\w)_|_(?!\w)", r"\\$0")
+    return F.regexp_replace(c, r"(?m)^(\s*)([#>+-]|\d+\.)(?=\s)", r"$1\\$2")
+
+
+def markdown_runs(runs: Column) -> Column:
+    """Runs (text, bold, italic, code, link) as a line of Markdown."""
+
+    def run(r):
+        out = F.when(r["code"], F.concat(F.lit("`"), r["text"], F.lit("`"))).otherwise(markdown_escaped(r["text"]))
+        for look, mark in (("bold", "**"), ("italic", "*")):
+            out = F.when(r[look], F.concat(F.lit(mark), out, F.lit(mark))).otherwise(out)
+        return F.when(r["link"] != "", F.concat(F.lit("["), out, F.lit("]("), r["link"], F.lit(")"))).otherwise(out)
+
+    return F.trim(F.array_join(F.transform(runs, run), ""))
 
 
 def markdown(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "block_no") -> DataFrame:
-    """(keys, text): each document as Markdown. Blocks have ``number`` where ordered (``list_numbers``)."""
-    plain, level = markdown_escaped(F.col("text")), F.greatest(F.lit(1), F.col("level"))
+    """(keys, text): each document as Markdown. Blocks have ``number`` where ordered (``list_numbers``).
+
+    Where they are there, ``runs`` give the looks of the text, ``rows`` a table's cells, and ``extra`` a fence's language or
+    an image's target.
+    """
+    of = lambda c, other: F.col(c) if c in blocks.columns else other
+    plain, level, extra = markdown_escaped(F.col("text")), F.greatest(F.lit(1), F.col("level")), F.coalesce(of("extra", F.lit("")), F.lit(""))
+    if "runs" in blocks.columns:
+        plain = F.when(F.size("runs") > 0, markdown_runs(F.col("runs"))).otherwise(plain)
     rendered = (
         F.when(F.col("kind") == "title", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), plain))
         .when(F.col("kind") == "list", F.concat(F.repeat(F.lit("  "), F.col("level")), F.when(F.col("ordered"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- "), plain))
         .when(F.col("kind") == "quote", F.concat(F.lit("> "), F.replace(plain, F.lit("\n"), F.lit("\n> "))))
-        .when(F.col("kind") == "code", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
+        .when(F.col("kind") == "code", F.concat(F.lit("```"), extra, F.lit("\n"), F.col("text"), F.lit("\n```")))
+        .when(F.col("kind") == "image", F.concat(F.lit("!["), markdown_escaped(F.col("text")), F.lit("]("), extra, F.lit(")")))
         .when(F.col("kind") == "rule", "---")
-        .otherwise(plain)
     )
+    if "rows" in blocks.columns:
+        rendered = rendered.when((F.col("kind") == "table") & (F.size("rows") > 0), markdown_table(F.transform("rows", lambda r: F.transform(r, markdown_escaped))))
     w = Window.partitionBy(*keys).orderBy(order)
     # Items of one list stand line under line, all other blocks a blank line apart.
     gap = F.when(F.lag("kind").over(w).isNull(), "").when((F.col("kind") == "list") & (F.lag("kind").over(w) == "list"), "\n").otherwise("\n\n")
-    parts = blocks.withColumn("_part", F.concat(gap, rendered))
+    parts = blocks.withColumn("_part", F.concat(gap, rendered.otherwise(plain)))
     listed = F.array_sort(F.collect_list(F.struct(order, "_part")))
     return parts.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["_part"]), "").alias("text"))
 
@@ -229,3 +254,19 @@ def plain_text(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str
     )
     listed = F.array_sort(F.collect_list(F.struct(order, body.alias("_body"))))
     return blocks.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["_body"]), "\n\n").alias("text"))
+
+
+#: What a format can't hold, by format and kind of block, in the words that are shown.
+LOST = {
+    "txt": {"image": "immagini non riportate", "table": "tabelle ridotte a testo", "title": "livelli dei titoli ridotti a due"},
+    "csv": {"image": "immagini non riportate", "title": "titoli non riportati", "list": "elenchi non riportati", "quote": "citazioni non riportate", "code": "codice non riportato"},
+    "md": {},
+}
+
+
+def losses(blocks: DataFrame, format: str, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The loss register: (keys, reason, field, n, severity) of what ``format`` doesn't hold of each document."""
+    reasons = LOST[format]
+    reason = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in reasons.items()], F.lit(None).cast("string"))
+    found = blocks.withColumn("reason", reason).where("reason is not null").groupBy(*keys, "reason").agg(F.count("*").alias("n"))
+    return found.withColumns({"field": F.lit(format.upper()), "severity": F.lit("informativa")})

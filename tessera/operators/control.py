@@ -18,8 +18,9 @@ def job_history(jobs: DataFrame, users: DataFrame, anomalies: DataFrame, limit:
         jobs = jobs.where(F.contains(F.lower("file"), F.lit(search.lower())))
     if to_review:
         jobs = jobs.where("state = 'da_rivedere'")
-    counts = anomalies.groupBy("job_id").agg(F.count("*").alias("n_anomalies"))
     out = jobs.join(users, "user_id").orderBy(F.desc("created"), F.desc("job_id")).limit(limit)
+    shown = F.broadcast(out.select("job_id"))  # ``limit`` rows
+    counts = anomalies.join(shown, "job_id", "left_semi").groupBy("job_id").agg(F.count("*").alias("n_anomalies"))
     return out.join(counts, "job_id", "left").withColumn("n_anomalies", F.coalesce("n_anomalies", F.lit(0)))
 
 

@@ -18,6 +18,25 @@ def estimated_width(c: Column, font: Column) -> Column:
     return F.length(c) * font * 0.5
 
 
+def not_blank(pieces: DataFrame) -> DataFrame:
+    """Without pieces of white space only (any that Unicode knows)."""
+    return pieces.where(F.coalesce("text", F.lit("")).rlike(r"(?U)\S"))
+
+
+def head_sample(pieces: DataFrame, book: Sequence[str], most_pages: int = 300, first_pages: int = 30) -> DataFrame:
+    """The first pages of books with more than ``most_pages``, all of the others; ``sampled`` says which.
+
+    For analyses at a glance: of a sampled book, counts over all pages aren't known (``known_count``).
+    """
+    sizes = pieces.groupBy(*book).agg((F.max("page") > most_pages).alias("sampled"))
+    return pieces.join(sizes, list(book)).where(~F.col("sampled") | (F.col("page") <= first_pages))
+
+
+def known_count(n: Column) -> Column:
+    """A count, null for sampled books."""
+    return F.when(~F.col("sampled"), n)
+
+
 def cluster_rows(pieces: DataFrame, keys: Sequence[str] = ("page",), tolerance: float = 3.0) -> DataFrame:
     """Adds ``row``: pieces from the top down, a new row where y is more than the tolerance below the row's first piece.
 

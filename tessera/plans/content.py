@@ -70,27 +70,42 @@ def reading_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", values.reading_time(F.size(texts.words(F.col("text")))).alias("shown"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'ANNA B.' WHEN turn % 3 = 1 THEN 'Carlo Rossi' ELSE '' END AS speaker, trim(text) AS said FROM conversations WHERE NOT regexp_matches(text, '^[A-Z][A-Z0-9 ]*:|^[->]')""")
+@query(r"""WITH m AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '>> ANNA B.: ' WHEN 1 THEN '<v.loud Carlo Rossi>' ELSE '- ' END || text AS c FROM conversations),
+l AS (SELECT *, trim(regexp_extract(c, '<v(\.[^\s>]+)*\s+([^>]+)>', 2)) AS voice, regexp_replace(trim(c), '^(>>+\s*)?(-\s+)?', '') AS line FROM m),
+n AS (SELECT *, regexp_extract(line, '^(\p{Lu}[\p{Lu}\p{Nd}\s.''’-]{0,28}):\s', 1) AS name FROM l),
+o AS (SELECT *, len(trim(name)) >= 2 AND len(string_split_regex(trim(name), '\s+')) <= 4 AS named FROM n)
+SELECT conv_id, turn, CASE WHEN voice <> '' THEN voice WHEN named THEN trim(name) ELSE '' END AS speaker,
+CASE WHEN voice <> '' THEN trim(regexp_replace(c, '<v[^>]*>', '', 'g')) WHEN named THEN trim(regexp_replace(substr(line, len(name) + 2), '^\s+', '')) ELSE line END AS said FROM o""")
 def speaker_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names before turns, in two notations or none."""
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("^[A-Z][A-Z0-9 ]*:|^[->]"))
+    rows = table(spark, sf_dir, "conversations")
     marked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(">> ANNA B.: "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("<v.loud Carlo Rossi>"), "text")).otherwise(F.concat(F.lit("- "), "text"))
     return rows.select("conv_id", "turn", texts.speaker(marked).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' fine' AS clean FROM conversations WHERE NOT regexp_matches(text, '[<>&\[\]()♪]')""")
+def _decoded(c: str) -> str:
+    """SQL of one round of decoding, for the entities that the tables hold."""
+    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&#8364;", "€"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{value}')"
+    return c
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, '[Musica] <00:00:03.120><c>' || text || '</c> ♪ (applausi) fine' AS c FROM conversations),
+t AS (SELECT conv_id, turn, regexp_replace(c, '<(?:[0-9]{1,3}(?::[0-9]{2}){2}[.,][0-9]{1,3}|/?[A-Za-z][^>]*)>', '', 'g') AS c FROM m),
+p AS (SELECT conv_id, turn, DECODED AS c FROM t)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(c, '[\[(][^\])]{1,40}[\])]|[♪♫]', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM p""".replace("DECODED", _decoded("c")))
 def noise_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with word stamps, tags and scene notes put in, and taken out."""
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[<>&\[\]()♪]"))
     noisy = F.concat(F.lit("[Musica] <00:00:03.120><c>"), "text", F.lit("</c> ♪ (applausi) fine"))
-    return rows.select("conv_id", "turn", texts.without_noise(noisy).alias("clean"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.without_noise(noisy).alias("clean"))
 
 
-@query(r"""SELECT doc_id, 'Prezzo & nota ' || trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents WHERE NOT regexp_matches(text, '[<>&]')""")
+@query(r"""WITH m AS (SELECT doc_id, array_to_string(list_transform(string_split('<b>Prezzo</b> &amp;amp;<br/>nota &amp;#8364;' || chr(10) || text, chr(10)), lambda x: rtrim(x, ' ')), ' ') AS c FROM documents),
+u AS (SELECT doc_id, DECODED AS c FROM m)
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(c, '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS clean FROM u""".replace("DECODED", _decoded(_decoded("c"))))
 def comment_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as portal comments, escaped twice and tagged, cleaned."""
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[<>&]"))
-    return rows.select("doc_id", texts.comment(F.concat(F.lit("<b>Prezzo</b> &amp;amp;<br/>nota\n"), "text")).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.comment(F.concat(F.lit("<b>Prezzo</b> &amp;amp;<br/>nota &amp;#8364;\n"), "text")).alias("clean"))
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '(?i)res\.id|booking\.com|expedia|genius|rate plan|customers:|guests:') AS portal FROM documents""")
@@ -102,6 +117,7 @@ def note_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = r"""m AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^([ \t]*(?:[-*•]|\d+[.)])[ \t]+.*)$', chr(1) || '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g') AS t FROM documents),
 q AS (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS parts FROM m),
 b AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: struct_pack(kind := CASE WHEN regexp_matches(ltrim(regexp_replace(p, '^\n+', ''), ' '), '^([-*•·]|\d+[.)])\s+') THEN 'list' ELSE 'paragraph' END,
+level := CASE WHEN regexp_matches(ltrim(regexp_replace(p, '^\n+', ''), ' '), '^([-*•·]|\d+[.)])\s+') THEN len(regexp_extract(regexp_replace(p, '^\n+', ''), '^([ \t]*)', 1)) // 2 ELSE 0 END, ordered := regexp_matches(ltrim(p, ' '), '^\d'),
 text := trim(regexp_replace(CASE WHEN regexp_matches(ltrim(regexp_replace(p, '^\n+', ''), ' '), '^([-*•·]|\d+[.)])\s+') THEN regexp_replace(ltrim(p, ' '), '^([-*•·]|\d+[.)])\s+', '') ELSE p END, '\s+', ' ', 'g')))), lambda b: b.text <> '') AS bs FROM q),
 x AS (SELECT doc_id, unnest(bs) AS b, unnest(range(len(bs))) AS block_no FROM b)"""
 
@@ -172,7 +188,15 @@ def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("n").cast("long").alias("n_runs"), F.array_max("n").alias("longest"))
 
 
-@query()
+@query(rf"""WITH {_BLOCKS}, y AS (SELECT doc_id, block_no, b.kind AS kind, b.level AS level, b.kind = 'list' AND b.ordered AS ordered, b.text AS text FROM x),
+r AS (SELECT a.doc_id, a.block_no, a.level, max(c.block_no) AS reset FROM y a LEFT JOIN y c ON c.doc_id = a.doc_id AND c.block_no < a.block_no AND (c.kind <> 'list' OR c.ordered AND c.level < a.level) WHERE a.ordered GROUP BY ALL),
+n AS (SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id, level, reset ORDER BY block_no) AS number FROM r),
+s AS (SELECT *, regexp_replace(text, '([\\`*\[\]])', '\\\1', 'g') AS t FROM y),
+u AS (SELECT *, array_to_string(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] = '_' AND NOT (regexp_matches(t[i - 1:i - 1], '[a-zA-Z0-9_]') AND regexp_matches(t[i + 1:i + 1], '[a-zA-Z0-9_]')) THEN '\_' ELSE t[i] END), '') AS v FROM s WHERE contains(t, '_')
+UNION ALL SELECT *, t AS v FROM s WHERE NOT contains(t, '_')),
+e AS (SELECT u.*, number, regexp_replace(v, '^(\s*)([#>+-]|\d+\.)(\s)', '\1\\\2\3') AS plain, lag(kind) OVER (PARTITION BY u.doc_id ORDER BY u.block_no) AS before FROM u LEFT JOIN n ON n.doc_id = u.doc_id AND n.block_no = u.block_no)
+SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN kind = 'list' AND before = 'list' THEN chr(10) ELSE chr(10) || chr(10) END
+|| CASE WHEN kind = 'list' THEN repeat('  ', level) || CASE WHEN ordered THEN number || '. ' ELSE '- ' END ELSE '' END || plain, '' ORDER BY block_no) AS text FROM e GROUP BY doc_id""")
 def md_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown."""
     read = blocks.exploded(table(spark, sf_dir, "documents"), blocks.flat_blocks(F.col("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import escaped
@@ -30,8 +30,18 @@ def write_markdown(blocks: DataFrame, path: str) -> None:
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
-    """A result as one version; older ones stay until this one is whole."""
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    """A result as one version, which it replaces if it is there; other versions stay (see ``drop_versions``)."""
+    df.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Takes away all versions but the latest ``keep``, and returns their numbers. For when the newest is whole."""
+    versions = sorted((r[0] for r in spark.read.parquet(path).select("version").distinct().collect()), reverse=True)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for version in versions[keep:]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"version={version}"), True)
+    return versions[keep:]
 
 
 def latest_version(df: DataFrame) -> DataFrame:
@@ -40,7 +50,6 @@ def latest_version(df: DataFrame) -> DataFrame:
     return df.where(F.col("version") == newest).drop("version")
 
 
-def newest_rows(df: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The newest row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(at))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def evolved(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Additive migration: columns (name and type) that older rows lack are there as nulls; those that exist stay."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})

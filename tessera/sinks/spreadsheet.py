@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterable, Iterator, Mapping
 from datetime import date
+from itertools import chain, islice
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+#: Fixed value: rows that a sheet may have.
+SHEET_ROWS = 1_048_576
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _SHEETS = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 PARTS = {
@@ -67,8 +70,12 @@ def _chain(headers: list[str], rows: Iterable[tuple]) -> Iterator[tuple]:
     yield from rows
 
 
-def write_sheets(df: DataFrame, path: str, kinds: Mapping[str, str] = {}, headers: Mapping[str, str] = {}, first_column: int = 0) -> DataFrame:  # noqa: B006
-    """Writes ``part-N.xlsx`` below ``path``, a folder that all executors see; the result, once evaluated, lists them."""
+def write_sheets(df: DataFrame, path: str, kinds: Mapping[str, str] = {}, headers: Mapping[str, str] = {}, first_column: int = 0, sheet_rows: int = SHEET_ROWS) -> DataFrame:  # noqa: B006
+    """Writes ``part-N-K.xlsx`` below ``path``, a folder that all executors see; the result, once evaluated, lists them.
+
+    A sheet holds SHEET_ROWS rows, header included; a partition with more goes on in further files. A file is put together
+    in the task's memory, compressed.
+    """
     names, of = [headers.get(c, c) for c in df.columns], [kinds.get(c, "text") for c in df.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,18 +83,17 @@ def write_sheets(df: DataFrame, path: str, kinds: Mapping[str, str] = {}, header
 
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        n = 0
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        for number, first in enumerate(rows):
+            n = 0
 
-        def rows():
-            nonlocal n
-            for batch in batches:
-                for row in zip(*[c.to_pylist() for c in batch.columns]):
-                    n += 1
+            def sheet(first=first):
+                nonlocal n
+                for n, row in enumerate(chain([first], islice(rows, sheet_rows - 2)), 1):
                     yield row
 
-        data = workbook(names, rows(), of, first_column)
-        if n:
-            name = f"part-{TaskContext.get().partitionId():05d}.xlsx"
+            data = workbook(names, sheet(), of, first_column)
+            name = f"part-{TaskContext.get().partitionId():05d}-{number:03d}.xlsx"
             with fs.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n_rows"])

@@ -12,23 +12,32 @@ from tessera.operators.mapping import unique_names
 
 BOM = chr(0xFEFF)
 DELIMITERS = (";", ",", "\t", "|")
+SNIFFED = 8192
 
 
 def sniff(path: str, first_line: str) -> str:
     """The delimiter: tab by the file's name, else the most frequent; of equals the earlier, ``;`` if there is none."""
     if path.lower().endswith((".tsv", ".tab")):
         return "\t"
-    counts = [first_line.count(d) for d in DELIMITERS]
+    counts = [first_line[:SNIFFED].count(d) for d in DELIMITERS]
     return DELIMITERS[counts.index(max(counts))]
 
 
 def read_delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All columns as text, with the header's names; the header is all that the driver reads."""
+    """All columns as text, with the header's names, and ``ordinal``, by which rows stand as in their files.
+
+    The header is all that the driver reads. Several files must have the same header: where its names differ from each
+    other and from nothing, Spark compares each file's with them and fails on others.
+    """
     first = spark.read.text(path).first()
-    line = (first["value"] if first else "").lstrip(BOM)[:8192]
+    line = (first["value"] if first else "").lstrip(BOM)
     sep = sniff(path, line)
-    names = unique_names(next(csv.reader([line], delimiter=sep), []))
-    schema = ", ".join(f"c{k} string" for k in range(len(names)))
-    reader = spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("header", True).option("enforceSchema", True)
-    df = reader.option("multiLine", multi_line).csv(path).toDF(*names)
-    return df.select(*[F.coalesce(printable(F.col(f"`{c}`")), F.lit("")).alias(c) for c in names])
+    csv.field_size_limit(max(csv.field_size_limit(), len(line) + 1))
+    given = next(csv.reader([line], delimiter=sep), [])
+    names = unique_names(given)
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("header", True).option("multiLine", multi_line)
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    df = reader.schema(schema).option("enforceSchema", given != names).option("columnPruning", False).csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    ordinal = unique_names([*names, "ordinal"])[-1]
+    return df.select(*[F.coalesce(printable(F.col(f"`{n.replace('`', '``')}`")), F.lit("")).alias(n) for n in names], place.alias(ordinal))

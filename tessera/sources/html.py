@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,29 +9,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKIPPED = {"script", "style", "head", "noscript", "template", "svg"}
+from tessera.sources.runs import BLOCK_SCHEMA, Run, batch, merged, plain, squeezed
+
+SKIPPED = {"script", "style", "noscript", "template", "svg"}
+#: What may stand in a head without ending it.
+HEAD = {"title", "meta", "link", "base", *SKIPPED}
+LOOKS = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code", "kbd": "code", "samp": "code"}
 TITLES = {f"h{k}": k for k in range(1, 7)}
 FLOWS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "body", "html", "figure", "address", "form", "dl", "dt", "dd"}
-BLOCK_SCHEMA = "doc_id long, block_no int, kind string, level int, ordered boolean, text string, rows array<array<string>>, extra string"
 
 
 class _Blocks(HTMLParser):
-    """Collects (kind, level, ordered, text, rows, extra)."""
+    """Collects (kind, level, ordered, text, rows, extra, runs)."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.out: list[tuple] = []
-        self.words: list[str] = []
+        self.runs: list[Run] = []
         self.skip = 0
+        self.head = False
         self.lists: list[bool] = []
         self.open: list[str] = []
+        self.looks: list[str] = []
+        self.links: list[str] = []
         self.table: list[list[str]] | None = None
 
+    def say(self, text: str) -> None:
+        on = {LOOKS[t] for t in self.looks}
+        self.runs.append(Run(text, "bold" in on, "italic" in on, "code" in on, self.links[-1] if self.links else None))
+
     def flush(self) -> None:
-        raw = "".join(self.words)
-        self.words = []
         kind = next((t for t in reversed(self.open) if t in TITLES or t in ("li", "blockquote", "pre")), "")
-        text = raw.strip("\n") if kind == "pre" else re.sub(r"\s+", " ", raw).strip()
+        raw, self.runs = self.runs, []
+        runs = merged([Run(plain(raw).strip("\n"))]) if kind == "pre" else squeezed(raw)
+        text = plain(runs)
         if not text.strip():
             return
         if self.table is not None:
@@ -41,22 +51,30 @@ class _Blocks(HTMLParser):
             return
         name = {"li": "list", "blockquote": "quote", "pre": "code"}.get(kind, "title" if kind in TITLES else "paragraph")
         level = TITLES.get(kind, max(0, len(self.lists) - 1) if name == "list" else 0)
-        self.out.append((name, level, bool(self.lists and self.lists[-1]) and name == "list", text, None, ""))
+        self.out.append((name, level, bool(self.lists and self.lists[-1]) and name == "list", text, None, "", runs))
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+        elif tag not in HEAD:  # a head's end tag may be missing
+            self.head = False
         if tag in SKIPPED:
             self.skip += 1
-        if self.skip:
+        if self.skip or self.head:
             return
         if tag == "br":
-            self.words.append("\n" if "pre" in self.open else " ")
+            self.say("\n" if "pre" in self.open else " ")
+        elif tag in LOOKS:
+            self.looks.append(tag)
+        elif tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
         elif tag == "hr":
             self.flush()
-            self.out.append(("rule", 0, False, "", None, ""))
+            self.out.append(("rule", 0, False, "", None, "", []))
         elif tag == "img":
             self.flush()
             names = dict(attrs)
-            self.out.append(("image", 0, False, names.get("alt") or "", None, names.get("src") or ""))
+            self.out.append(("image", 0, False, names.get("alt") or "", None, names.get("src") or "", []))
         elif tag == "table" and self.table is None:
             self.flush()
             self.table = []
@@ -76,16 +94,22 @@ class _Blocks(HTMLParser):
             self.flush()
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.head = False
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
             return
-        if self.skip:
+        if self.skip or self.head:
             return
-        if tag == "table" and self.table is not None:
+        if tag in LOOKS and tag in self.looks:
+            del self.looks[len(self.looks) - 1 - self.looks[::-1].index(tag)]
+        elif tag == "a":
+            self.links = self.links[:-1]
+        elif tag == "table" and self.table is not None:
             self.flush()
             rows, self.table = [r for r in self.table if any(r)], None
             if rows:
-                self.out.append(("table", 0, False, " ".join(c for r in rows for c in r if c), rows, ""))
+                self.out.append(("table", 0, False, " ".join(c for r in rows for c in r if c), rows, "", []))
         elif tag in ("ul", "ol"):
             self.flush()
             self.lists = self.lists[:-1]
@@ -97,8 +121,8 @@ class _Blocks(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
-        if not self.skip:
-            self.words.append(data)
+        if not self.skip and not self.head:
+            self.say(data)
 
 
 def page_blocks(html: str | None) -> list[tuple]:
@@ -111,14 +135,10 @@ def page_blocks(html: str | None) -> list[tuple]:
 
 
 def read_html(pages: DataFrame) -> DataFrame:
-    """Blocks of ``pages(doc_id, html)``."""
+    """Blocks of ``pages(doc_id, html)``, with runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.list_(pa.string())), pa.string())
-        names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
-        for batch in batches:
-            rows = [(d, k, *b) for d, h in zip(batch.column(0).to_pylist(), batch.column(1)) for k, b in enumerate(page_blocks(h.as_py()))]
-            columns = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
+        for part in batches:
+            yield batch([(d, k, *b) for d, h in zip(part.column(0).to_pylist(), part.column(1)) for k, b in enumerate(page_blocks(h.as_py()))])
 
     return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "html").mapInArrow(run, BLOCK_SCHEMA)

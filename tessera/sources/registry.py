@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessera.operators import blocks
 from tessera.sources import captions, delimited, html, markdown, spreadsheet
 
-#: Bytes that a file of a kind may have.
-LIMITS = {"table": 15 << 20, "document": 15 << 20, "captions": 5 << 20}
+#: Bytes that a file may have where sizes are checked, by extension.
+LIMITS = {**dict.fromkeys(("csv", "tsv", "tab", "xlsx", "html", "htm", "xhtml", "md", "markdown", "txt"), 15 << 20), **dict.fromkeys(("srt", "vtt", "sbv"), 5 << 20)}
 REFUSED = {
     "doc": "old Word files: save as text, Markdown or HTML",
     "docx": "Word files: save as HTML or Markdown",
@@ -46,12 +46,32 @@ def extension(path: str) -> str:
     return path.rstrip("/*").rpartition(".")[2].lower()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Reads a file by its extension; ValueError says what to do with those that aren't read."""
+def register(extensions: str | list[str], reader: Callable[[SparkSession, str], DataFrame], limit: int | None = None) -> None:
+    """Adds or replaces the reader of some extensions, with the bytes that such a file may have."""
+    for kind in [extensions] if isinstance(extensions, str) else extensions:
+        READERS[kind.lower()] = reader
+        LIMITS.pop(kind.lower(), None)
+        if limit is not None:
+            LIMITS[kind.lower()] = limit
+
+
+def read(spark: SparkSession, path: str, checked: bool = False) -> DataFrame:
+    """Reads a file by its extension; ValueError says what to do with those that aren't read.
+
+    checked: files over the limit of their kind, and files without anything to read, are refused too. Tables need a header,
+    documents a block.
+    """
     kind = extension(path)
     if kind not in READERS:
         raise ValueError(REFUSED.get(kind, f"nothing reads .{kind} files; known are {', '.join(sorted(READERS))}"))
-    return READERS[kind](spark, path)
+    if checked and kind in LIMITS:
+        large = too_large(spark, path, LIMITS[kind]).orderBy("path").first()
+        if large:
+            raise ValueError(f"{large['path']} has {large['length']} bytes; .{kind} files may have {LIMITS[kind]}")
+    df = READERS[kind](spark, path)
+    if checked and not (len(df.columns) > 2 if kind in ("csv", "tsv", "tab") else df.head(1)):
+        raise ValueError(f"{path} has " + ("fewer than two columns" if kind in ("csv", "tsv", "tab") else "nothing to read"))
+    return df
 
 
 def too_large(spark: SparkSession, path: str, limit: int) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 ATTEMPTS = 4
 LEAST_FILES = 1
@@ -24,15 +26,40 @@ def ingest(
 
 
 def run(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, files_per_stage: int = 60, **options) -> list[dict]:
-    """``ingest`` to its end; a stage that fails is tried again with half the files. Returns the stages' progress."""
-    progress: list[dict] = []
-    for attempt in range(1, ATTEMPTS + 1):
-        query = ingest(spark, source, schema, out, checkpoint, transform, files_per_stage, **options)
-        try:
-            query.awaitTermination()
-            return progress + [{"stage": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]
-        except Exception:
-            if attempt == ATTEMPTS:
-                raise
-            files_per_stage = max(LEAST_FILES, files_per_stage // 2)
-    return progress
+    """``ingest`` to its end; a stage that fails is tried again with half the files. Returns all stages' progress.
+
+    A stage whose rows can't be read or changed fails the query; what can't be planned at all is raised at once.
+    """
+    progress: dict[int, dict] = {}
+    ours: set[str] = set()
+
+    class Stages(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            if str(event.progress.id) in ours:
+                progress[event.progress.batchId] = {"stage": event.progress.batchId, "rows": event.progress.numInputRows}
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Stages()
+    spark.streams.addListener(listener)
+    try:
+        for attempt in range(1, ATTEMPTS + 1):
+            query = ingest(spark, source, schema, out, checkpoint, transform, files_per_stage, **options)
+            ours.add(str(query.id))
+            try:
+                query.awaitTermination()
+                break
+            except StreamingQueryException:
+                if attempt == ATTEMPTS:
+                    raise
+                files_per_stage = max(LEAST_FILES, files_per_stage // 2)
+            finally:  # the listener hears of stages a little later; the query knows its last hundred
+                progress |= {p["batchId"]: {"stage": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress if p["numInputRows"]}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    return [progress[k] for k in sorted(progress) if progress[k]["rows"]]

@@ -23,6 +23,7 @@ def one(spark, column):
         (texts.signature, "  Pagina   1 ", "pagina 1"), (texts.escaped, "a<b>&\"'", "a&lt;b&gt;&amp;&quot;&#39;"),
         (texts.room_category, "[ Camera Matrimoniale - Single Use ]", "Camera Matrimoniale"), (texts.room_category, "[ altro ]", None),
         (texts.rtf_escaped, "a{è", "a\\{\\u232?"), (texts.declared_charset, '<meta charset="ISO-8859-1">', "iso-8859-1"),
+        (texts.unescaped, "&#8364; &uuml; &#xe8; &amp;lt; &nosuch; a&b &#0; &", "€ ü è &lt; &nosuch; a&b &#0; &"), (texts.rtf_escaped, "\uff21\U0001f600", "\\u-223?\\u-10179?\\u-8704?"),
         (texts.comment, "&amp;lt;b&amp;gt;ciao&amp;lt;/b&amp;gt;<br>due\n tre", "ciao due tre"),
     ],
 )
@@ -62,6 +63,18 @@ def test_speaker(spark, given, expected):
     assert tuple(one(spark, texts.speaker(F.lit(given)))) == expected
 
 
+def test_datetime_serial(spark):
+    for clock, share in (("12:00:30", 43230 / 86400), ("12:00", 0.0), ("", 0.0), (None, 0.0)):
+        assert one(spark, values.datetime_serial(F.lit("15/01/2024"), F.lit(clock).cast("string"))) == pytest.approx(45306 + share, abs=1e-9)
+
+
+def test_letters_of_all_columns(spark):
+    from tessera.sinks.spreadsheet import letters
+
+    ids = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 12356629]
+    assert [r.x for r in spark.createDataFrame([(k,) for k in ids], "id long").select(values.column_letters(F.col("id")).alias("x")).collect()] == [letters(k) for k in ids]
+
+
 def test_time_ago(spark):
     now = F.lit("2026-01-10 12:00:00").cast("timestamp")
     for moment, shown in (("2026-01-10 11:59:30", "adesso"), ("2026-01-10 11:48:00", "12 min fa"), ("2026-01-10 09:00:00", "3 ore fa"), ("2026-01-07 12:00:00", "3 giorni fa"), ("2025-12-04 12:00:00", "4 dic 2025")):

@@ -12,7 +12,7 @@ from tessera.plans import bookings as plan
 from tessera.sinks import delimited as delimited_sink
 from tessera.sinks import documents as document_sink
 from tessera.sinks import spreadsheet as sheet_sink
-from tessera.sources import captions, html, markdown, registry, spreadsheet
+from tessera.sources import captions, delimited, html, markdown, registry, spreadsheet
 from tessera.streaming import staged, throttle
 
 
@@ -63,13 +63,44 @@ def test_delimited(spark, folder):
     with open(path, "w", encoding="utf-8-sig") as f:
         f.write('codice;descrizione;prezzo;codice\nA1;"Vite ""M4""; zinco";1,50;x\n\nB2;;2,00;y\n')
     df = registry.read(spark, path)
-    assert df.columns == ["codice", "descrizione", "prezzo", "codice (2)"]
-    assert [tuple(r) for r in df.collect()] == [("A1", 'Vite "M4"; zinco', "1,50", "x"), ("B2", "", "2,00", "y")]
+    assert df.columns == ["codice", "descrizione", "prezzo", "codice (2)", "ordinal"]
+    assert [tuple(r)[:4] for r in df.orderBy("ordinal").collect()] == [("A1", 'Vite "M4"; zinco', "1,50", "x"), ("B2", "", "2,00", "y")]
     delimited_sink.write_delimited(spark.createDataFrame([("a", 1234.5)], "n string, v double").coalesce(1), f"{folder}/out", {"v": "currency"})
     part = next(x for x in os.listdir(f"{folder}/out") if x.endswith(".csv"))
     assert open(f"{folder}/out/{part}", encoding="utf-8-sig").read().split() == ["n;v", "a;1234,50"]
 
 
+def test_wide_and_different_headers(spark, folder):
+    names = [f"colonna numero {k:04d}" for k in range(1000)]
+    os.mkdir(f"{folder}/wide")
+    with open(f"{folder}/wide/a.csv", "w") as f:
+        f.write(";".join(names) + "\n" + ";".join(map(str, range(1000))) + "\n")
+    wide = delimited.read_delimited(spark, f"{folder}/wide")
+    assert wide.columns == [*names, "ordinal"] and list(wide.first())[:1000] == [str(k) for k in range(1000)]
+    os.mkdir(f"{folder}/two")
+    for name, head in (("a", "x;y"), ("b", "y;x")):
+        with open(f"{folder}/two/{name}.csv", "w") as f:
+            f.write(f"{head}\n1;2\n")
+    with pytest.raises(Exception, match="header"):
+        delimited.read_delimited(spark, f"{folder}/two").collect()
+    with open(f"{folder}/one.csv", "w") as f:
+        f.write("solo\n1\n")
+    with pytest.raises(ValueError, match="two columns"):
+        registry.read(spark, f"{folder}/one.csv", checked=True)
+    registry.register("dat", delimited.read_delimited, 3)
+    with open(f"{folder}/x.dat", "w") as f:
+        f.write("a;b\n1;2\n")
+    with pytest.raises(ValueError, match="may have 3"):
+        registry.read(spark, f"{folder}/x.dat", checked=True)
+    assert registry.read(spark, f"{folder}/x.dat").drop("ordinal").first() == ("1", "2")
+
+
+def test_long_sheets_go_on(spark, folder):
+    written = sheet_sink.write_sheets(spark.range(7).coalesce(1), f"file://{folder}/x", sheet_rows=4).orderBy("file").collect()
+    assert [r.n_rows for r in written] == [3, 3, 1]
+    assert sorted(r.cells[0] for r in spreadsheet.read_sheets(spark, f"{folder}/x").collect()) == sorted([*map(str, range(7)), "id", "id", "id"])
+
+
 def test_spreadsheet(spark, folder):
     df = spark.sql("SELECT 'uno & due' AS nome, DATE'2025-01-01' AS quando, 12.5D AS quanto UNION ALL SELECT 'due', NULL, 3.0D").coalesce(1).sortWithinPartitions(F.desc("nome"))
     written = sheet_sink.write_sheets(df, f"file://{folder}/xlsx", {"quando": "date", "quanto": "currency"}, first_column=1).collect()
@@ -106,6 +137,45 @@ def test_html(spark):
     found = html.read_html(spark.createDataFrame([(1, page), (2, None), (3, "")], "doc_id long, html string")).orderBy("block_no").collect()
     assert [(b.kind, b.text) for b in found] == [("title", "Titòlo"), ("paragraph", "a b"), ("list", "uno"), ("list", "due"), ("table", "x y"), ("quote", "cit"), ("rule", "")]
     assert found[4].rows == [["x", "y"]]
+    open_head = "<html><head><title>t</title><meta charset=x><body><p>a <b>b <i>c</i></b> <a href='u'>d</a></p>"
+    found = html.read_html(spark.createDataFrame([(1, open_head)], "doc_id long, html string")).collect()
+    assert [(b.kind, b.text) for b in found] == [("paragraph", "a b c d")]
+    assert [tuple(r) for r in found[0].runs] == [("a ", False, False, False, None), ("b ", True, False, False, None), ("c", True, True, False, None), (" ", False, False, False, None), ("d", False, False, False, "u")]
+
+
+@pytest.mark.parametrize(
+    ("line", "expected"),
+    [
+        ("nome_file e 2 * 3 = 6", ["nome_file e 2 * 3 = 6"]), ("**a** _b_ `c*d`", [("a", "b"), " ", ("b", "i"), " ", ("c*d", "c")]),
+        (r"\*x\* [y](http://z)", ["*x* ", ("y", "http://z")]), ("![](p/q.png) *a **b** c*", ["q.png ", ("a ", "i"), ("b", "bi"), (" c", "i")]), ("`aperto", ["`aperto"]), ("", []),
+    ],
+)
+def test_inline_runs(line, expected):
+    def shown(r):
+        looks = "b" * r.bold + "i" * r.italic + "c" * r.code + (r.link or "")
+        return (r.text, looks) if looks else r.text
+
+    assert [shown(r) for r in markdown.runs(line)] == expected
+
+
+def test_markdown_writer(spark):
+    text = "# Uno **due**\n\n[y](http://z) e nome_file \\*\n\n![foto](a.png)\n\n```py\nx_1\n```\n\n| a | b |\n| --- | --- |\n| 1 | 2\\|3 |"
+    read = markdown.read_markdown(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert blocks.markdown(blocks.list_numbers(read)).first().text == text
+    lost = blocks.losses(read, "txt").orderBy("reason").collect()
+    assert [(r.reason, r.n, r.severity) for r in lost] == [("immagini non riportate", 1, "informativa"), ("livelli dei titoli ridotti a due", 1, "informativa"), ("tabelle ridotte a testo", 1, "informativa")]
+
+
+def test_numbers_of_deep_items(spark):
+    rows = [(1, k, kind, 11, True, "x") for k, kind in enumerate(["list", "list", "paragraph", "list"])]
+    found = blocks.list_numbers(spark.createDataFrame(rows, "doc_id long, block_no int, kind string, level int, ordered boolean, text string"))
+    assert [r.number for r in found.orderBy("block_no").collect()] == [1, 2, None, 1]
+
+
+def test_head_sample(spark):
+    pieces = spark.range(400).selectExpr("'a' AS book", "cast(id AS int) + 1 AS page", "'x' AS text").union(spark.sql("SELECT 'b', 1, ' \u00a0'"))
+    found = {r.book: (r.n, r.known) for r in grid.head_sample(pieces, ["book"]).groupBy("book", "sampled").agg(F.count("*").alias("n")).withColumn("known", grid.known_count(F.col("n"))).collect()}
+    assert found == {"a": (30, None), "b": (1, 1)} and grid.not_blank(pieces).count() == 400
 
 
 def test_markdown_round_trip(spark):
@@ -191,4 +261,23 @@ def test_throttle_stream_is_batch(spark, folder):
 def test_versions(spark, folder):
     for k in (1, 2):
         document_sink.write_version(spark.range(k), f"{folder}/v", k)
-    assert document_sink.latest_version(spark.read.parquet(f"{folder}/v")).count() == 2
+    document_sink.write_version(spark.range(2), f"{folder}/v", 2)
+    assert document_sink.latest_version(spark.read.parquet(f"{folder}/v")).count() == 2 and spark.read.parquet(f"{folder}/v").count() == 3
+    assert document_sink.drop_versions(spark, f"{folder}/v") == [1]
+    assert spark.read.parquet(f"{folder}/v").count() == 2
+    assert document_sink.evolved(spark.range(1), {"id": "long", "nuovo": "string"}).first() == (0, None)
+
+
+def test_stages_of_long_runs(spark, folder):
+    spark.range(130).repartition(130).write.option("maxRecordsPerFile", 1).parquet(f"{folder}/in")
+    n = len([x for x in os.listdir(f"{folder}/in") if x.endswith(".parquet")])
+    progress = staged.run(spark, f"{folder}/in", "id long", f"{folder}/out", f"{folder}/c", files_per_stage=1)
+    assert n > 100 and sum(p["rows"] for p in progress) == 130 and len(progress) > 100
+
+
+def test_stage_that_fails(spark, folder):
+    spark.range(4).repartition(4).write.parquet(f"{folder}/in")
+    with open(f"{folder}/in/part-zz.snappy.parquet", "w") as f:
+        f.write("broken")
+    with pytest.raises(Exception):
+        staged.run(spark, f"{folder}/in", "id long", f"{folder}/out", f"{folder}/c", files_per_stage=1)

@@ -188,7 +188,165 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 4096)
     return by_doc.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The document of smallest doc_id of each component; rows equal in doc_id and text count once."""
-    first = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+# Near duplicates by similarity: shingles of five words, a Jaccard similarity of 0.8 or more.
+WIDE, RING, KEYS, KEY_BITS = 256, 16, 128, 22
+_EXPAND = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_PLACES = np.argsort(np.random.default_rng(22).random((KEYS, WIDE)), axis=1)[:, :KEY_BITS]
+
+
+def shingle_hashes(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The words joined by spaces, A-Z in lower case, and the distinct hashes of their shingles (of all words, if they are fewer)."""
+    import xxhash
+
+    words = (text or "").encode().translate(_LOWER).split()
+    joined = b" ".join(words)
+    if not words:
+        return joined, np.zeros(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    size = min(shingle, len(words))
+    starts = [0, *(ends[:-size] + 1).tolist()]
+    found = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
+    return joined, np.unique(found)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """Majority of WIDE bits over distinct shingles."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        h = (hashes[at : at + (1 << 14), None] ^ _EXPAND) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        ones += np.unpackbits((h ^ (h >> np.uint64(29))).view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def most_differing(similarity: float) -> int:
+    """Bits that fingerprints of sets of this Jaccard similarity differ in, but for one pair in a hundred."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * share + 2.33 * np.sqrt(WIDE * share * (1 - share)))
+
+
+def _near(one: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
+    """Which of the fingerprints (rows of 16-bit segments) differ from one in at most ``most`` bits.
+
+    First a chain of four segments in a row must keep within its share of the budget at each of its lengths.
+    """
+    differ = np.bitwise_count(others ^ one).astype(np.int16)
+    chains, good = np.zeros_like(differ), np.ones(differ.shape, bool)
+    for k in range(4):
+        chains += np.roll(differ, -k, axis=1)
+        good &= chains * RING <= (k + 1) * most
+    rows = good.any(axis=1)
+    rows[rows] = differ[rows].sum(axis=1) <= most
+    return rows
+
+
+def _forest(nodes: np.ndarray, prints: np.ndarray, budgets: list[int]) -> set[tuple[int, int]]:
+    """Links of spanning forests at each of the budgets."""
+    out: set[tuple[int, int]] = set()
+    for most in budgets:
+        left, queue = np.arange(len(nodes)), []
+        while len(left):
+            if not queue:
+                queue, left = [left[0]], left[1:]
+            here = queue.pop()
+            near = _near(prints[here], prints[left], most)
+            out.update((int(nodes[here]), int(x)) for x in nodes[left[near]])
+            queue.extend(left[near])
+            left = left[~near]
+    return out
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node) of all documents, and the links (a, b) between nodes whose Jaccard similarity was verified.
+
+    A node is a sequence of words, so copies are one. Nodes meet where one of KEYS samples of KEY_BITS bits of their
+    fingerprints agrees. Of the nodes of a sample, spanning forests at three budgets of differing bits are candidates,
+    after a test of chains of segments; candidates are verified on their shingles. In samples that more than ``bucket_limit``
+    nodes share, the nodes near the smallest one are linked to it, and all are dealt anew by further bits.
+    """
+    spark = docs.sparkSession
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            nodes, wide = [], []
+            for x in batch.column(2):
+                joined, hashes = shingle_hashes(x.as_py(), shingle)
+                nodes.append(_signed(xxhash.xxh3_64_intdigest(joined)))
+                wide.append(wide_fingerprint(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(wide, pa.binary())], names=["doc_id", "text_hash", "node", "wide"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
+                key = bits[:, _PLACES] @ (1 << np.arange(KEY_BITS, dtype=np.int64))
+                key += np.arange(KEYS, dtype=np.int64) << KEY_BITS
+                node = np.repeat(batch.column(0).to_numpy(), KEYS)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key.ravel())], names=["node", "key"])
+
+    budgets = [most_differing(x) for x in (similarity, (1 + similarity) / 2, (3 + similarity) / 4)]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for members in batch.column(0).to_pylist():
+                members.sort(key=lambda m: m["node"])
+                segments = np.frombuffer(b"".join(m["wide"] for m in members), np.uint16).reshape(-1, RING)
+                found |= _forest(np.array([m["node"] for m in members]), segments, budgets)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, RING) for c in batch.columns[2:])
+            near = pa.array(np.bitwise_count(one ^ two).sum(axis=1) <= budgets[0])
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in batch.columns[:2]], names=["a", "b"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            good = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, of_last = a, shingle_hashes(x.as_py(), shingle)[1]
+                other = shingle_hashes(y.as_py(), shingle)[1]
+                both = len(np.intersect1d(of_last, other, assume_unique=True))
+                good.append(both >= similarity * (len(of_last) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    by_doc = written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, wide binary"), "wide-fingerprints")
+    nodes = written(by_doc.groupBy("node").agg(F.first("wide").alias("wide"), F.min(F.struct("doc_id", "text_hash")).alias("at")), "distinct-texts")
+    dealt = nodes.select("node", "wide").mapInArrow(keys, "node long, key long")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(dealt.join(shared, "key").join(nodes.select("node", "wide"), "node"), "similarity-keys")
+    listed = F.collect_list(F.struct("node", "wide")).alias("members")
+    found = members.where(F.col("n") <= bucket_limit).groupBy("key").agg(listed).select("members").mapInArrow(candidates, "a long, b long")
+    crowded = members.where(F.col("n") > bucket_limit)
+    if crowded.head(1):
+        least = crowded.groupBy("key").agg(F.min(F.struct("node", "wide")).alias("least"))
+        pairs = crowded.join(least, "key").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.wide").alias("one"), F.col("wide").alias("two")).where("a <> b")
+        finer = crowded.withColumn("more", F.explode(F.sequence(F.lit(0), F.lit(7)))).groupBy("key", "more", F.substring("wide", F.col("more") * 4 + 1, F.lit(2)).alias("part"))
+        found = found.union(pairs.mapInArrow(stars, "a long, b long")).union(finer.agg(listed).where(F.size("members") > 1).select("members").mapInArrow(candidates, "a long, b long"))
+    found = written(found.distinct(), "similar-candidates")
+    wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "at"), "node")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash"))).groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(texts, "candidate-texts")
+    pairs = found.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
+    links = pairs.select("a", "b", "one", "two").mapInArrow(verified, "a long, b long")
+    return by_doc.select("doc_id", "text_hash", "node"), written(links, "similar-links")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 4096) -> DataFrame:
+    """The document of smallest doc_id of each group that ``similar`` links connect; rows equal in doc_id and text count once.
+
+    Texts without words are one group.
+    """
+    by_doc, links = similar(docs, shingle, similarity, bucket_limit)
+    rooted = by_doc.join(components(links), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"))
+    kept = first.select(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id", "text"])

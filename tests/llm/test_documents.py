@@ -116,11 +116,74 @@ def test_simhash(spark, limit):
     found = simhash.near_duplicates(frame(spark, rows), bucket_limit=limit).collect()
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in found) == expected
     if limit == 4096:
-        kept = simhash.one_of_each(frame(spark, rows))
-        assert len(kept.columns) == 8 and kept.count() == len({e[2] for e in expected})
         assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def _shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_rows(seed=9):
+    """Texts, and copies of some with words changed here and there, so that similarities spread from 0.6 to 1."""
+    rng = random.Random(seed)
+    rows = base_rows()
+    for k in range(40):
+        text = [f"p{rng.randint(0, 900)}" for _ in range(300)]
+        rows.append((300 + 10 * k, " ".join(text), "it"))
+        for j in range(1, 5):
+            other = list(text)
+            for _ in range(rng.randint(0, 9)):
+                other[rng.randrange(300)] = "Altro"
+            rows.append((300 + 10 * k + j, " ".join(other), "it"))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_one_of_each(spark, limit):
+    """Links are right, and few are missed; what stays is one document of each group."""
+    rows = similar_rows()
+    by_doc, links = simhash.similar(frame(spark, rows), bucket_limit=limit)
+    node = defaultdict(set)
+    for r in by_doc.collect():
+        node[r.node].add(r.doc_id)
+    sets = {i: _shingles(t) for i, t, _ in rows}
+    least = {n: min((x for x in ids if x is not None), default=None) for n, ids in node.items()}
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    found = [(least[r.a], least[r.b]) for r in links.collect()]
+    assert found and all(likeness(a, b) >= 0.8 for a, b in found)
+    root = {n: n for n in node}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links.collect():
+        root[find(r.a)] = find(r.b)
+    of = {i: n for n, ids in node.items() for i in ids}
+    pairs = [(300 + 10 * k + a, 300 + 10 * k + b) for k in range(40) for a in range(5) for b in range(a)]
+    alike = [(a, b) for a, b in pairs if 0.8 <= likeness(a, b) < 1]
+    assert len(alike) > 100 and sum(find(of[a]) == find(of[b]) for a, b in alike) >= 0.95 * len(alike)
+    kept = simhash.one_of_each(frame(spark, rows), bucket_limit=limit).collect()
+    expected = sorted(min((least[n] for n in group if least[n] is not None), default=None) for group in _groups(node, find))
+    assert sorted(r.doc_id for r in kept) == expected and len(kept[0]) == 8
+
+
+def _groups(nodes, find):
+    groups = defaultdict(list)
+    for n in nodes:
+        groups[find(n)].append(n)
+    return groups.values()
+
+
+def test_one_of_each_edges(spark):
+    long = " ".join(f"w{k}" for k in range(70_000))
+    rows = [(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "uno", "x"), (4, "uno", "x"), (5, "UNO", "x"), (None, "solo qui e basta", "x"), (6, long, "x"), (7, long + " coda", "x")]
+    assert sorted((r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()), key=str) == [1, 4, 6, None]
+    assert simhash.one_of_each(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_ring_masks_miss_nothing():
     rng = random.Random(5)
     for _ in range(3000):

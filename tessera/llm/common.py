@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         directory = spark.sparkContext._jsc.sc().getCheckpointDir()
         if directory.isDefined():
             found = directory.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.sparkContext.setCheckpointDir(found)
@@ -55,6 +58,6 @@ def split_words(text: Column, separator: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separator), "")
 
 
-def text_key(text: Column) -> Column:
-    """Stands for a whole text in join keys; null has its own value."""
-    return F.sha2(F.concat(F.when(text.isNull(), "0").otherwise("1"), F.coalesce(text, F.lit(""))), 256)
+def listed_files(manifest: DataFrame, column: str) -> DataFrame:
+    """The names in a written manifest, a few to a partition, so that tasks read files in parallel."""
+    return manifest.select(column).repartition(max(1, min(manifest.count(), 10_000)), column)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path
+from tessera.llm.common import listed_files, new_path
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -58,6 +58,11 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
     return pages.join(revisits, on, "left").drop("r_page", "r_digest")
 
 
+def record_id(page_id, digest: str) -> str:
+    """The same for a page and payload in every run, so a revisit can name the record that it refers to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
 def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC/1.1 record: an HTTP response, or a revisit without payload."""
     uri = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
@@ -66,14 +71,14 @@ def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_t
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -93,8 +98,8 @@ def write_archives(
 ) -> DataFrame:
     """Writes what ``mark_revisits`` returns below ``path``; returns the manifest, whose evaluation writes.
 
-    An archive's dictionary comes from its first records, up to ``sample_bytes``. Names follow the partition, so a
-    task that runs again replaces its own files.
+    An archive's dictionary comes from its first records, up to ``sample_bytes``. Names hold the task's attempt: what a lost
+    or second attempt wrote isn't in the manifest, and so isn't read (see ``read_listed``).
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +108,7 @@ def write_archives(
 
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        part, number = TaskContext.get().partitionId(), 0
+        part, attempt, number = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         waiting: list[bytes] = []
         out, press, records, held = io.BytesIO(), None, 0, 0
 
@@ -121,7 +126,7 @@ def write_archives(
             nonlocal out, press, records, number
             if press is None:
                 begin()
-            name = f"part-{part:05d}-{number:05d}.warc.zst"
+            name = f"part-{part:05d}-{attempt}-{number:05d}.warc.zst"
             with fs.open_output_stream(f"{root}/.{name}.tmp") as stream:
                 stream.write(out.getbuffer())
             fs.move(f"{root}/.{name}.tmp", f"{root}/{name}")
@@ -211,46 +216,66 @@ def _http(block: bytes) -> tuple[int, bytes]:
     return int(stated[0]), payload
 
 
+def archive_rows(name: str, data: memoryview, with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """The records of an archive in RECORD_SCHEMA; ValueError if it breaks a rule."""
+    fields = [x.split() for x in RECORD_SCHEMA.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in fields])
+    rows, held = [], 0
+    for record in frames(data):
+        headers, block = parse_record(record)
+        stated, payload = _http(block)
+        kind, digest = headers["WARC-Type"], headers.get("WARC-Payload-Digest", "").removeprefix("sha256:")
+        if kind == "response" and (len(payload) != stated or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError("the payload doesn't fit its length or digest")
+        if kind == "revisit" and (payload or not headers.get("WARC-Refers-To")):
+            raise ValueError("a revisit has a payload or refers to nothing")
+        page, refers = headers.get("WARC-Page-ID"), headers.get("WARC-Refers-To-Page-ID")
+        if kind == "revisit" and refers and headers["WARC-Refers-To"] != record_id(int(refers), digest):
+            raise ValueError("a revisit refers to another record than its page's")
+        rows.append(
+            (int(page) if page else None, kind, headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), int(refers) if refers else None,
+             stated, digest, payload if with_payload else None, name)
+        )
+        held += len(payload)
+        if held > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row per record below ``path`` in RECORD_SCHEMA. Archives that break a rule fail the read."""
+    """A row per record of all archives below ``path`` in RECORD_SCHEMA. Archives that break a rule fail the read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [x.split() for x in RECORD_SCHEMA.split(", ")]
-        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-        schema = pa.schema([(n, kinds[k]) for n, k in fields])
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows, held = [], 0
-                for record in frames(memoryview(content.as_buffer())):
-                    headers, block = parse_record(record)
-                    stated, payload = _http(block)
-                    kind, digest = headers["WARC-Type"], headers.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-                    if kind == "response" and (len(payload) != stated or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError("the payload doesn't fit its length or digest")
-                    if kind == "revisit" and (payload or not headers.get("WARC-Refers-To")):
-                        raise ValueError("a revisit has a payload or refers to nothing")
-                    page, refers = headers.get("WARC-Page-ID"), headers.get("WARC-Refers-To", "").strip("<>").removeprefix("urn:page:")
-                    rows.append(
-                        (int(page) if page else None, kind, headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), int(refers) if refers else None,
-                         stated, digest, payload if with_payload else None, name.as_py())
-                    )
-                    held += len(payload)
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield from archive_rows(name.as_py(), memoryview(content.as_buffer()), with_payload)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
     return files.select("path", "content").mapInArrow(read, RECORD_SCHEMA)
 
 
+def read_listed(manifest: DataFrame, path: str, with_payload: bool = True) -> DataFrame:
+    """``read_archives`` of the archives that a written manifest lists, and of no others."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    yield from archive_rows(name, memoryview(stream.read()), with_payload)
+
+    return listed_files(manifest, "archive").mapInArrow(read, RECORD_SCHEMA)
+
+
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
     """Writes all pages as archives in the shared folder and returns the records read back, without payloads."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     manifest = write_archives(mark_revisits(pages, min_revisit_bytes), f"{path}/archives")
     manifest.write.parquet(f"{path}/manifest")
-    if not spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").head(1):
-        return spark.createDataFrame([], RECORD_SCHEMA)
-    return read_archives(spark, f"{path}/archives", with_payload=False)
+    return read_listed(spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest"), f"{path}/archives", with_payload=False)

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path
+from tessera.llm.common import listed_files, new_path
 from tessera.llm.tokens import encoder, public_path
 
 MAGIC = b"WAVELET1"
@@ -109,6 +109,8 @@ class WaveletMatrix:
         if symbol < 0 or symbol >> self.levels:
             return np.zeros(0, np.int64)
         low, high = self._range(symbol, self.n)
+        if (high - low) * 64 * _BLOCK_WORDS < self.n:  # few: look for each
+            return self._up(symbol, np.arange(low, high))
         at = np.arange(low, high)
         for level in range(self.levels - 1, -1, -1):
             one = (symbol >> (self.levels - 1 - level)) & 1
@@ -118,7 +120,31 @@ class WaveletMatrix:
 
     def select(self, symbol: int, k: int) -> int:
         """Position of occurrence ``k`` (from 0) of a symbol."""
-        return int(self.occurrences(symbol)[k])
+        low, high = self._range(symbol, self.n) if 0 <= symbol >> self.levels < 1 else (0, 0)
+        if not 0 <= k < high - low:
+            raise IndexError(f"symbol {symbol} occurs {high - low} times")
+        return int(self._up(symbol, np.array([low + k]))[0])
+
+    def _up(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """Where positions of the last level, in the stretch of a symbol, come from."""
+        for level in range(self.levels - 1, -1, -1):
+            one = (symbol >> (self.levels - 1 - level)) & 1
+            at = self._place(level, one, at - self.zeros[level] * one)
+        return at
+
+    def _place(self, level: int, one: int, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th (from 0) set or clear bit of a plane: its block by the directory, its place in the block by counting."""
+        bits = 64 * _BLOCK_WORDS
+        ones = self.ranks[level].astype(np.int64)
+        before = ones if one else np.arange(len(ones)) * bits - ones
+        block = np.searchsorted(before, k, side="right") - 1
+        out = np.empty(len(k), np.int64)
+        blocks = self.planes[level].reshape(-1, _BLOCK_WORDS)
+        for a in range(0, len(k), 1 << 12):
+            part = block[a : a + (1 << 12)]
+            held = np.unpackbits(blocks[part].view(np.uint8), axis=1, bitorder="little") == one
+            out[a : a + (1 << 12)] = part * bits + (np.cumsum(held, axis=1, dtype=np.int32) > (k[a : a + (1 << 12)] - before[part])[:, None]).argmax(axis=1)
+        return out
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
@@ -188,7 +214,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
         encode, end = encoder(vocabulary, True), struct.pack("<I", end_id)
-        part, number = TaskContext.get().partitionId(), 0
+        part, attempt, number = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         held: list[bytes] = []
@@ -197,7 +223,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
         def close() -> pa.RecordBatch:
             nonlocal tokens, number
             data = shard_bytes(doc_ids, lengths, np.frombuffer(b"".join(held), "<u4"))
-            name = f"part-{part:05d}-{number:05d}.wavelet"
+            name = f"part-{part:05d}-{attempt}-{number:05d}.wavelet"  # what another attempt wrote isn't in the manifest
             with fs.open_output_stream(f"{root}/.{name}.tmp") as stream:
                 stream.write(data)
             fs.move(f"{root}/.{name}.tmp", f"{root}/{name}")
@@ -226,26 +252,46 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
     return dealt.mapInArrow(write, MANIFEST_SCHEMA)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """file, doc_id, local_start, n_tokens and ids_crc32 of every document in the shards below ``path``."""
+_DOC_SCHEMA = "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+
+
+def shard_rows(name: str, data) -> pa.RecordBatch:
+    """file, doc_id, local_start, n_tokens and ids_crc32 of every document of a shard."""
+    doc_ids, lengths, matrix = open_shard(data)
+    starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    if starts[-1] != matrix.n:
+        raise ValueError("the lengths don't fit the ids")
+    ids = matrix.decode().astype("<u4")
+    sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name] * len(doc_ids)), pa.array(doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64())],
+        names=["file", "doc_id", "local_start", "n_tokens", "ids_crc32"],
+    )
+
+
+def read_shards(manifest: DataFrame, path: str) -> DataFrame:
+    """The rows of the shards below ``path`` that a written manifest lists."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
-                doc_ids, lengths, matrix = open_shard(content.as_buffer())
-                starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                if starts[-1] != matrix.n:
-                    raise ValueError("the lengths don't fit the ids")
-                ids = matrix.decode().astype("<u4")
-                sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-                file = name.as_py().rpartition("/")[2]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(doc_ids)), pa.array(doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64())],
-                    names=["file", "doc_id", "local_start", "n_tokens", "ids_crc32"],
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wavelet").load(path)
-    return files.select("path", "content").mapInArrow(read, "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    yield shard_rows(name, stream.read())
+
+    return listed_files(manifest, "file").mapInArrow(read, _DOC_SCHEMA)
+
+
+def bases(manifest: DataFrame) -> DataFrame:
+    """(file, base): the ids in all files before each. Parts are added up first, so one task has a row for each part only."""
+    parts = manifest.groupBy(F.col("part").alias("b_part")).agg(F.sum("tokens").alias("n"))
+    before = Window.orderBy("b_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("b_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("of_part"))
+    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.join(parts, F.col("part") == F.col("b_part"))
+    return files.select("file", (F.col("of_part") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).alias("base"))
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 4 << 20) -> DataFrame:
@@ -254,9 +300,5 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
     path = new_path(spark, "wavelet")
     write_shards(docs, f"{path}/shards", vocabulary or public_path("byte_bpe_50k.json"), end_id, shard_tokens).write.parquet(f"{path}/manifest")
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest")
-    if not manifest.head(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    found = read_shards(spark, f"{path}/shards").join(bases, "file")
+    found = read_shards(manifest, f"{path}/shards").join(bases(manifest), "file")
     return found.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

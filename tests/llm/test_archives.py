@@ -38,6 +38,32 @@ def test_warc_payloads_and_small_archives(spark):
     assert len(manifest) > 3 and sum(m.records for m in manifest) == 300
     found = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()}
     assert found == {r.page_id: r.html for r in pages.collect()}
+    listed = spark.createDataFrame([(m.archive, m.records, m.bytes) for m in manifest[1:]], warc.MANIFEST_SCHEMA)
+    assert warc.read_listed(listed, path).count() == 300 - manifest[0].records
+
+
+def test_revisits_name_their_record(spark):
+    """The link is the id of the record that holds the payload."""
+    pages = spark.createDataFrame([(k, "u", "z" * 200, None) for k in (3, 1, 2)], PAGES)
+    path = new_path(spark, "warc-links")
+    warc.write_archives(warc.mark_revisits(pages), path).collect()
+    import pyarrow.fs
+
+    fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    heads = {}
+    for file in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+        with fs.open_input_stream(file.path, compression=None) as stream:
+            for record in warc.frames(memoryview(stream.read())):
+                headers, _ = warc.parse_record(record)
+                heads[headers["WARC-Page-ID"]] = headers
+    assert {h["WARC-Refers-To"] for k, h in heads.items() if k != "1"} == {heads["1"]["WARC-Record-ID"]} and heads["1"]["WARC-Type"] == "response"
+    record = warc.record_bytes(2, "u", b"", "d" * 64, 1).replace(b"WARC-Refers-To-Page-ID: 1", b"WARC-Refers-To-Page-ID: 9")
+    import zstandard
+
+    words = b"x" * 20
+    whole = struct.pack("<II", warc.DICTIONARY_MAGIC, len(words)) + words + zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words)).compress(record)
+    with pytest.raises(ValueError, match="another record"):
+        list(warc.archive_rows("a", memoryview(whole), False))
 
 
 def test_warc_checks():
@@ -70,19 +96,25 @@ def test_wavelet_matrix(values):
         places = [k for k, v in enumerate(values) if v == symbol]
         assert m.count(symbol) == len(places) and m.occurrences(symbol).tolist() == places
         assert m.rank(symbol, len(values) // 2) == sum(p < len(values) // 2 for p in places)
+        assert m._up(symbol, np.arange(*m._range(symbol, m.n))).tolist() == places if symbol < 1 << m.levels else not places
         if places:
             assert m.select(symbol, len(places) - 1) == places[-1]
+        with pytest.raises(IndexError):
+            m.select(symbol, len(places))
 
 
 def test_shards(spark):
-    from tessera.llm.tokens import encoder, public_path
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import public_path
 
     rows = [(5, "uno due tre", "x"), (1, None, "x"), (3, "", None), (None, "ciao", "x"), (2, "la la la " * 3000, "x"), (5, "uno due tre", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in wavelet.round_trip(docs, shard_tokens=4).collect())
-    encode, at, expected = encoder(public_path("byte_bpe_50k.json"), True), 0, []
+    tokenizer, at, expected = Tokenizer.from_file(public_path("byte_bpe_50k.json")), 0, []
     for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        data = encode.of(text) + struct.pack("<I", 2)
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        data = struct.pack(f"<{len(ids)}I", *ids)
         expected.append((at, doc_id, len(data) // 4, zlib.crc32(data)))
         at += len(data) // 4
     assert found == expected

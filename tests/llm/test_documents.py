@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -277,20 +278,25 @@ def test_plan(counts):
 
 
 def test_packing(spark):
-    from tessera.llm.tokens import encoder, public_path
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import public_path
 
     rows = base_rows() + [(500, "la casa " * 3000, "it")]
-    encode = encoder(public_path("word_bpe_49k.json"), False)
+    tokenizer = Tokenizer.from_file(public_path("word_bpe_49k.json"))
     found = packing.pack(frame(spark, rows)).collect()
-    lengths = Counter((r.doc_id, r.length) for r in found)
+    got = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found)
     expected = Counter()
     for i, t, _ in rows:
-        n = len(encode.of(t)) // 4 + 1
-        expected.update((i, min(2048, n - k)) for k in range(0, n, 2048))
-    assert lengths == expected
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        expected.update((i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048])) for k in range(0, len(ids), 2048))
+    assert got == expected
     by = defaultdict(list)
     for r in found:
         by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [at for at, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()]
     assert all(sum(n for _, n in parts) <= 2048 for parts in by.values()) and len(by) <= -(-sum(r.length for r in found) // 2048) + 1
     assert packing.pack(frame(spark, rows).limit(0)).count() == 0
 

@@ -1,12 +1,13 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's word windows form a set that is broadcast while it has at most ``broadcast_grams`` windows; beyond
-that the same join shuffles. Documents are cut into blocks of words that overlap by a window less one, so a very
-long text never has all its windows in one row; each window is a row that lives within its task. The join compares
-the windows' whole words, so every hit is verified. Only hits are shuffled, and then one row a document.
+Texts are probed by hashes: a window of n words holds, at one place that is a multiple of s = (n + 1) // 2, a run of
+n - s + 1 words, so a text is looked up at every s-th word only, in the set of the benchmark's runs. Texts are cut into
+words once for that; each probe is a place and a hash. Where a run is met, the whole windows round it are compared with
+the benchmark's windows, word by word, so every hit is verified. Both sets are broadcast while they have at most
+``broadcast_bytes``; beyond that the same joins shuffle. What is shuffled is a row per document, and the hits.
 
 Edge cases: null and blank texts have no words, so never a hit; repeated rows get a row each (documents meet their
-hits by doc_id and a hash of the text); a null item_id takes part in hits but not in lists of items. An empty
+hits by doc_id and a 64-bit hash of the text); a null item_id takes part in hits but not in lists of items. An empty
 benchmark leaves all documents clean; an empty table gives no rows.
 """
 
@@ -15,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NON_WORD, ascii_lower, split_words
+from tessera.llm.common import NON_WORD, ascii_lower, split_words, written
 
 WINDOW = 13
-BLOCK_WORDS = 2048
+BROADCAST_BYTES = 64 << 20
 
 
 def normal_words(text: Column) -> Column:
@@ -40,56 +41,71 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy(F.col("w.gram").alias("gram")).agg(F.min("len").alias("len"), F.collect_set("item_id").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_grams: int = 2_000_000) -> DataFrame:
-    """doc_id, text_hash, pos, len and items of every place where a benchmark window occurs.
-
-    A window of n words holds, at one place that is a multiple of s = (n + 1) // 2, a run of n - s + 1 words; so
-    texts are probed for such runs at every s-th word only, and whole windows are compared where a run is met.
-    """
-    grams = benchmark_grams(benchmark, window)
-    held = grams.groupBy("len").count().collect()  # a row for each length up to the window
-    if not held:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, pos int, len int, items array<long>")
-    parts = F.split("gram", " ")
-    step = F.floor((F.col("len") + 1) / 2).cast("int")
-    runs = grams.select("len", F.explode(_windows(parts, F.col("len") - step + 1)).alias("w")).select(F.col("len").alias("run_len"), F.col("w.gram").alias("run")).distinct()
-    if sum(r["count"] for r in held) <= broadcast_grams:
-        grams, runs = F.broadcast(grams), F.broadcast(runs)
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normal_words(F.col("text")).alias("words"))
-    blocks = words.where(F.size("words") > 0).select(
-        "doc_id",
-        "text_hash",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK_WORDS)),
-                lambda s: F.struct(s.alias("at"), F.slice("words", s + 1, F.lit(BLOCK_WORDS + window - 1)).alias("words")),
-            )
-        ).alias("block"),
-    )
-    # A shorter window of the overlap is met twice; hits are sets, so that changes nothing.
-    found = [_probes(F.col("block.words"), n) for n in sorted(r["len"] for r in held)]
-    probes = blocks.select("doc_id", "text_hash", F.col("block.at").alias("at"), F.inline(F.concat(*found) if len(found) > 1 else found[0]))
-    met = probes.join(runs, ["run", "run_len"]).select("doc_id", "text_hash", (F.col("at") + F.col("from")).alias("at"), F.explode(_windows(F.col("around"), F.col("run_len"))).alias("w"))
-    windows = met.select("doc_id", "text_hash", (F.col("at") + F.col("w.pos")).alias("pos"), F.col("w.gram").alias("gram"))
-    return windows.join(grams, "gram").select("doc_id", "text_hash", "pos", "len", "items")
+def _run_hash(words: Column, i: Column, n: int) -> Column:
+    """A hash of the run of a window of n words that begins at word i."""
+    return F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n - (n + 1) // 2 + 1)])
+
 
+def _starts(words: Column, n: int, step: int) -> Column:
+    size = n - (n + 1) // 2 + 1
+    return F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-def _probes(words: Column, n: int) -> Column:
-    """Array of (run_len, run, from, around): the run at every s-th word, and the words of all windows of n that hold it there."""
-    s = (n + 1) // 2
-    size = n - s + 1
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size, F.lit(s))).otherwise(F.array().cast("array<int>"))
 
-    def probe(i):
-        first = F.greatest(F.lit(0), i - (s - 1))
-        return F.struct(
-            F.lit(n).alias("run_len"),
-            F.array_join(F.slice(words, i + 1, F.lit(size)), " ").alias("run"),
-            first.alias("from"),
-            F.slice(words, first + 1, i - first + n).alias("around"),
-        )
+def benchmark_runs(benchmark: DataFrame, lengths: list[int], window: int = WINDOW) -> DataFrame:
+    """run: the distinct hashes of the runs of all windows."""
+    words = benchmark.select(normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    own = F.least(F.size("words"), F.lit(window))
+    of = lambda n: F.transform(_starts(F.col("words"), n, 1), lambda i: _run_hash(F.col("words"), i, n))
+    runs = F.concat(*[F.when(own == n, of(n)).otherwise(F.array().cast("array<bigint>")) for n in lengths])
+    return words.select(F.explode(runs).alias("run")).distinct()
 
-    return F.transform(starts, probe)
+
+def probed(docs: DataFrame, runs: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row (doc_id, text_hash, n_words, len 0) per document, and one (at, len) for each place where a run is met."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normal_words(F.col("text")).alias("words"))
+    probe = lambda run, n, at: F.struct(run.cast("long").alias("run"), F.lit(n).alias("len"), at.cast("int").alias("at"))
+    of = lambda n: F.transform(_starts(F.col("words"), n, (n + 1) // 2), lambda i: probe(_run_hash(F.col("words"), i, n), n, i))
+    # A document's own row has a key of its own too, so that no key of a shuffled join is hot by such rows.
+    own = probe(F.xxhash64(F.col("text_hash"), F.lit(-1)), 0, F.lit(0))
+    rows = words.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.inline(F.concat(F.array(own), *map(of, lengths))))
+    known = runs.select(F.col("run").alias("known"))
+    return rows.join(known, F.col("run") == F.col("known"), "left").where("len = 0 or known is not null").drop("run", "known")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A row per document: doc_id, text_hash, n_words, n_hit, spans (pos, len; sorted), items (sorted as strings)."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    grams = written(benchmark_grams(benchmark, window), "benchmark-windows")
+    held = grams.groupBy("len").agg(F.sum(F.octet_length("gram") + 16 * F.size("items") + 64).alias("bytes")).collect()  # a row for each length up to the window
+    lengths = sorted(r["len"] for r in held)
+    hint = F.broadcast if sum(r["bytes"] for r in held) <= broadcast_bytes else (lambda df: df)
+    if lengths:
+        rows = written(probed(docs, hint(benchmark_runs(benchmark, lengths, window)), lengths), "probed-texts")
+    else:
+        none = F.lit(0)
+        rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"), none.alias("len"), none.alias("at"))
+    met = rows.where("len > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.collect_set(F.struct("len", "at")).alias("met"))
+    texts = docs.join(met, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_hash"))).groupBy("m_id", "m_hash").agg(F.first("met").alias("met"), F.first("text").alias("text"))
+    texts = texts.withColumn("words", normal_words(F.col("text")))
+
+    def windows(m):
+        n = m["len"]
+        first, last = F.greatest(F.lit(0), m["at"] - F.floor((n + 1) / 2).cast("int") + 1), F.least(m["at"], F.size("words") - n)
+        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, n), " ").alias("gram")))
+
+    places = texts.select("m_id", "m_hash", F.inline(F.array_distinct(F.flatten(F.transform("met", windows)))))
+    hits = places.join(hint(grams), "gram").groupBy(F.col("m_id").alias("h_id"), F.col("m_hash").alias("h_hash"))
+    found = hits.agg(F.collect_set(F.struct("pos", "len")).alias("spans"), F.collect_set("items").alias("items")).select(
+        "h_id",
+        "h_hash",
+        F.array_sort("spans").alias("spans"),
+        F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string"))).alias("items"),
+    )
+    found = found.withColumn("n_hit", merged(F.col("spans")))
+    return rows.where("len = 0").join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left").select(
+        "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
 
 
 def merged(spans: Column) -> Column:
@@ -104,26 +120,6 @@ def merged(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_grams: int = 2_000_000) -> DataFrame:
-    """A row per document: doc_id, text_hash, n_words, n_hit, spans (pos, len; sorted), items (sorted as strings)."""
-    found = (
-        hits(docs, benchmark, window, broadcast_grams)
-        .groupBy(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"))
-        .agg(F.collect_set(F.struct("pos", "len")).alias("spans"), F.collect_set("items").alias("items"))
-        .select(
-            "h_id",
-            "h_hash",
-            F.array_sort("spans").alias("spans"),
-            F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string"))).alias("items"),
-        )
-        .withColumn("n_hit", merged(F.col("spans")))
-    )
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
-    return base.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left").select(
-        "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")
-    )
-
-
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     """At least a twentieth of the words lie in benchmark windows."""
     return (n_hit > 0) & (20 * n_hit >= n_words)

@@ -213,8 +213,8 @@ def test_decontamination(spark):
                     names |= {str(item)} if item is not None else set()
         expected.append((i, len(w), len(hit), sorted(names)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (2_000_000, 0):
-        found = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(frame(spark, rows), bench, broadcast_grams=limit).collect()]
+    for limit in (64 << 20, 0):
+        found = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(frame(spark, rows), bench, broadcast_bytes=limit).collect()]
         assert sorted(map(str, found)) == sorted(map(str, expected))
     kept = decontam.clean_documents(frame(spark, rows), bench)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, n, h, _ in expected if not (h and 20 * h >= n))

@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Each text gives two histograms: characters by class, and words by a list of common words (all others are one bin).
-Their references are the same histograms summed over all documents of a language. A text is rejected if the
+Their references are the same histograms summed over the documents of a language that pass the base rule; a language
+whose reference would have under ``least_reference`` words has that of all languages together. A text is rejected if the
 Jensen-Shannon distance (base 2, 0 to 1) to its language's reference is over a threshold, where the text has enough
 characters or words to tell. Everything about a text is computed in its own row; what is shuffled is one row for each
 language and bin.
@@ -78,6 +79,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         left[[n for n, _ in CLASSES].index("symbol")].cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
+        ((F.size("words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.size("words"))).alias("base_failed"),
         chars.cast("array<long>").alias("chars"),
         "common",
         counts.cast("array<long>").alias("counts"),
@@ -85,7 +87,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 
 def references(stats: DataFrame) -> DataFrame:
-    """A row per language: ``ref_chars`` and ``ref_words``, shares of each class and of each word of COMMON."""
+    """A row per language: ``reference_words`` (how many), ``ref_chars`` and ``ref_words``, shares of each class and of each word of COMMON."""
     k = len(CLASSES) + 1
     classes = stats.groupBy("lang").agg(*[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(k)], F.sum("n_words").alias("words"))
     total = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(k)])
@@ -99,7 +101,7 @@ def references(stats: DataFrame) -> DataFrame:
     )
     both = classes.join(words, F.col("lang").eqNullSafe(F.col("w_lang")), "left")
     share = [F.coalesce(F.try_divide(F.col("ref_counts")[w], F.col("words")), F.lit(0.0)) for w in COMMON]
-    return both.select(F.col("lang").alias("r_lang"), "ref_chars", F.array(*share).alias("ref_words"))
+    return both.select(F.col("lang").alias("r_lang"), F.col("words").alias("reference_words"), "ref_chars", F.array(*share).alias("ref_words"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -117,13 +119,17 @@ def with_rest(shares: Column) -> Column:
     return F.concat(shares, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x))))
 
 
-def distances(docs: DataFrame, broadcast_languages: int = 1000) -> DataFrame:
+def distances(docs: DataFrame, broadcast_languages: int = 1000, least_reference: int = 5000) -> DataFrame:
     """``text_statistics`` with char_distance, word_distance and n_chars."""
     stats = written(text_statistics(docs), "text-statistics")
-    refs = written(references(stats), "language-references")
+    sound = stats.where(~F.col("base_failed"))
+    refs = written(references(sound).where(F.col("reference_words") >= least_reference), "language-references")
+    every = references(sound.withColumn("lang", F.lit(None).cast("string"))).first()  # one row
+    pooled = {c: F.array(*[F.lit(x) for x in every[c]]) if every else F.lit(None).cast("array<double>") for c in ("ref_chars", "ref_words")}
     if refs.count() <= broadcast_languages:
         refs = F.broadcast(refs)
     df = stats.join(refs, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
+    df = df.withColumns({c: F.coalesce(c, other) for c, other in pooled.items()}).drop("reference_words")
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda acc, x: acc + x)
     df = df.withColumn("n_chars", n_chars)
     # Only words that the text holds differ from word to word; array_position finds their share.
@@ -139,8 +145,7 @@ def distances(docs: DataFrame, broadcast_languages: int = 1000) -> DataFrame:
     return df.withColumn("char_distance", js_distance(shares, F.col("ref_chars"))).withColumn("word_distance", js_distance(p, q)).drop("_p", "_q", "ref_chars", "ref_words", "r_lang")
 
 
-def quality(docs: DataFrame, char_limit: float = 0.3, word_limit: float = 0.45, min_chars: int = 200, min_words: int = 50) -> DataFrame:
-    """``distances`` with base_failed and kept."""
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def quality(docs: DataFrame, char_limit: float = 0.3, word_limit: float = 0.45, min_chars: int = 200, min_words: int = 50, least_reference: int = 5000) -> DataFrame:
+    """``distances`` with kept."""
     far = ((F.col("n_chars") >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > word_limit))
-    return distances(docs).withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~far)
+    return distances(docs, least_reference=least_reference).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))

@@ -1,8 +1,9 @@
 """Language identification in two steps: the family first, then one-versus-one linear SVMs among its languages.
 
 Features are hashed byte n-grams of the letters of the whole text, square roots of their shares, at length one. The
-SVMs are fitted on a sample of labelled documents: about ``per_language`` of each language, picked by a hash of
-doc_id, at most ``per_language * 2`` of each whatever the table's size. Families are fixed below; a language that
+SVMs are fitted on a sample of labelled documents: about ``per_language`` of each language, but ``sample`` in all, picked
+by a hash of doc_id, at most twice that whatever the table's size or the number of languages; so at most 200 MB of vectors
+reach the driver. Families are fixed below; a language that
 isn't listed is a family of its own. The same one-versus-one machines choose the family.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when there is nothing to
@@ -133,12 +134,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 300) -> Model | None:
-    """Learns from ``docs(doc_id, text, lang)``; the sample's vectors reach the driver, at most twice per_language of each."""
+def fit(docs: DataFrame, per_language: int = 300, sample: int = 6000) -> Model | None:
+    """Learns from ``docs(doc_id, text, lang)``; the sample's vectors reach the driver, at most twice ``sample``."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    per_language = max(2, min(per_language, sample // len(counts)))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30))
     share = F.lit(0)
     for code, n in counts.items():

@@ -88,8 +88,13 @@ s AS (SELECT w.doc_id, lang, t, CAST(len(w) AS BIGINT) AS n_words, CAST(len(arra
 CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
 [len(regexp_replace(t, '[^a-z]', '', 'g')), len(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), len(regexp_replace(t, '[^A-Z]', '', 'g')), len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')),
 len(regexp_replace(t, '[^0-9]', '', 'g')), len(regexp_replace(t, '[^\x00-\x7F]|[a-zA-Z0-9#*$%&|<>\x20\x09-\x0D]', '', 'g')), len(regexp_replace(t, '[\x00-\x7F]', '', 'g'))] AS c FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
-lr AS (SELECT lang, sum(n_words) AS words, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6]), sum(c[7])] AS c FROM s GROUP BY lang),
-wr AS (SELECT s.lang, word, sum(n) / max(words) AS q FROM m JOIN s ON s.doc_id = m.doc_id JOIN lr ON lr.lang IS NOT DISTINCT FROM s.lang GROUP BY s.lang, word),
+gd AS (SELECT * FROM s WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)),
+l0 AS (SELECT lang, sum(n_words) AS words, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6]), sum(c[7])] AS c FROM gd GROUP BY lang HAVING sum(n_words) >= 5000),
+lp AS (SELECT sum(n_words) AS words, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6]), sum(c[7])] AS c FROM gd),
+lr AS (SELECT x.lang, l0.words IS NOT NULL AS own, coalesce(l0.words, lp.words) AS words, coalesce(l0.c, lp.c) AS c FROM (SELECT DISTINCT lang FROM s) x CROSS JOIN lp LEFT JOIN l0 ON l0.lang IS NOT DISTINCT FROM x.lang),
+w0 AS (SELECT gd.lang, word, sum(n) AS n FROM m JOIN gd ON gd.doc_id = m.doc_id GROUP BY gd.lang, word),
+wr AS (SELECT lr.lang, word, n / words AS q FROM lr JOIN w0 ON lr.own AND lr.lang IS NOT DISTINCT FROM w0.lang
+UNION ALL SELECT lr.lang, word, n / words AS q FROM lr JOIN (SELECT word, sum(n) AS n FROM w0 GROUP BY word) w ON NOT lr.own),
 qa AS (SELECT lang, sum(q) AS q FROM wr GROUP BY lang),
 x AS (SELECT s.doc_id, n / n_words AS p, q FROM s JOIN m ON m.doc_id = s.doc_id JOIN wr ON wr.lang IS NOT DISTINCT FROM s.lang AND wr.word = m.word),
 xa AS (SELECT doc_id, sum(p) AS p, sum(q) AS q, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2 AS j FROM x GROUP BY doc_id),

@@ -224,7 +224,7 @@ def test_decontamination(spark):
 def test_divergence(spark):
     rows = base_rows() + [(300, "### $$$ *** " * 40, "it"), (301, "a b\na b\n\na b \nc", "it"), (302, "uno due tre uno due tre uno due tre", None)]
     got = {}
-    for r in divergence.quality(frame(spark, rows)).collect():
+    for r in divergence.quality(frame(spark, rows), least_reference=100).collect():
         got[r.doc_id] = r
     for i, t, _ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -244,6 +244,117 @@ def test_divergence(spark):
     assert d == pytest.approx(((kl(p) + kl(q)) / 2) ** 0.5)
 
 
+def _plain_kept(rows, least):
+    """The verdict of op3, in dictionaries."""
+    import math
+
+    stats, total = [], defaultdict(lambda: [Counter(), Counter(), 0])
+    for i, t, lang in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = Counter(zip(w, w[1:], w[2:]))
+        covered = {k + j for k, x in enumerate(zip(w, w[1:], w[2:])) if grams[x] > 1 for j in range(3)}
+        base = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        kind = lambda c: next((k for k, p in enumerate(("[a-z]", r"[\x20\x09-\x0D]", "[A-Z]", r"[#*$%&|<>]", "[0-9]", r"[\x00-\x7f]")) if re.match(p, c)), 6)
+        chars = Counter(map(kind, t))
+        common = Counter(x for x in (re.sub("[A-Z]", lambda m: m[0].lower(), y) for y in w) if x in divergence.COMMON)
+        stats.append((i, len(w), len(t), chars, common, base, lang))
+        if not base:
+            for key in (lang, "*"):
+                total[key][0].update(chars)
+                total[key][1].update(common)
+                total[key][2] += len(w)
+    out = {}
+    for i, n, size, chars, common, base, lang in stats:
+        ref_chars, ref_words, words = total[lang] if lang in total and total[lang][2] >= least else total["*"]
+        p, q = [chars[k] / max(1, size) for k in range(7)], [ref_chars[k] / max(1, sum(ref_chars.values())) for k in range(7)]
+        names = sorted(set(common) | set(ref_words))
+        wp, wq = [common[x] / max(1, n) for x in names], [ref_words[x] / max(1, words) for x in names]
+        wp, wq = [*wp, 1 - sum(wp)], [*wq, 1 - sum(wq)]
+        # One bin holds the common words that the text lacks.
+        lacking = [k for k, x in enumerate(wp[:-1]) if not x]
+        wq.append(sum(wq[k] for k in lacking))
+        wp.append(0.0)
+        wp, wq = ([v for k, v in enumerate(x) if k not in lacking] for x in (wp, wq))
+
+        def js(a, b):
+            half = lambda x, y: x * math.log2(x / ((x + y) / 2)) if x > 0 else 0.0
+            return math.sqrt(max(0.0, sum(half(x, y) + half(y, x) for x, y in zip(a, b)) / 2))
+
+        out[i] = not base and not (size >= 200 and js(p, q) > 0.3) and not (n >= 50 and js(wp, wq) > 0.45)
+    return out
+
+
+def test_divergence_verdicts(spark):
+    """Verdicts against a plain version, with a language too small for a reference, junk of a language and a very long text."""
+    rng = random.Random(12)
+    of = {"en": "the of and to house river with from water light stone".split(), "fr": "le la les et des maison eau pour dans avec vert".split()}
+    rows = [(k, " ".join(rng.choice(of[c]) + rng.choice(["", "", "x", "yz"]) for _ in range(rng.randint(40, 160))), c) for k, c in enumerate(["en", "fr"] * 40)]
+    rows += [(100, " ".join(f"{k}#$%" for k in range(200)), "en"), (101, " ".join(rng.choice("QWERTZUIOP") * 9 for _ in range(300)), "xx"), (102, " ".join(rng.choice(of["en"]) + rng.choice(["", "", "x", "yz"]) + str(k) * (k % 3) for k in range(60_000)), "en"), (103, rows[0][1], None)]
+    got = {r.doc_id: r.kept for r in divergence.quality(frame(spark, rows), least_reference=1000).collect()}
+    expected = _plain_kept(rows, 1000)
+    assert got == expected and not expected[100] and not expected[101] and 30 < sum(expected.values()) < 82
+
+
+def _plain_labels(rows, templates=licenses.TEMPLATES, top=8, least=0.5):
+    """The labels that op9's method adds, in plain loops."""
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    df = Counter(w for t in {t for _, t, _ in rows} for w in set(norm(t)))
+    out = []
+    for i, t, _ in rows:
+        words, labels = norm(t), set()
+        for label, template, phrases in templates:
+            parts = template.split()
+            rare = set(sorted(set(parts), key=lambda w: (df[w], w))[:top])
+            places = [k for k, w in enumerate(parts) if w in rare]
+            held = all(any(words[k : k + len(p.split())] == p.split() for k in range(len(words))) for p in phrases)
+            best = max((sum(0 <= at + k < len(words) and words[at + k] == parts[k] for k in places) for at in range(-len(parts), len(words))), default=0)
+            if held and best and best / len(places) >= least:
+                labels.add(label)
+        for phrase, label in licenses.BASE:
+            if any(words[k : k + len(phrase.split())] == phrase.split() for k in range(len(words))):
+                labels.add(label)
+        out.append((str(i), sorted(labels)))
+    return sorted(out)
+
+
+def test_licenses_of_mixed_texts(spark):
+    """Labels against a plain version: whole templates, cut, changed and mixed ones, licences in most texts, and a long text."""
+    rng = random.Random(21)
+    bits = [t for _, t, _ in licenses.TEMPLATES]
+    rows = []
+    for k in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            words = rng.choice(bits).split()
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                words[rng.randrange(len(words))] = rng.choice(["the", "license", "x", "version"])
+            parts.append(" ".join(words[: rng.choice([len(words), len(words), 5])]))
+        rows.append((k, " ".join([*parts, "a b c"] if rng.random() < 0.5 else ["q", *parts]).title(), "en"))
+    rows += [(200 + k, "Licensed under the Apache License, Version 2.0", "en") for k in range(60)] + [(300, "parola " * 30_000 + bits[2] + " fine" * 30_000, "en"), (301, None, None), (302, "", None)]
+    got = sorted((str(r.doc_id), r.labels) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == _plain_labels(rows)
+
+
+def test_one_versus_one():
+    """The vote of machines against plain loops; ties go to the larger sum of margins."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6)).astype(np.float32)
+    of = np.repeat([0, 1, 2], 30)
+    x[np.arange(90), of] += 3
+    machine = langid.OneVersusOne(["a", "b", "c"], x, of)
+    best, sure = machine.predict(x)
+    for row, b, s in zip(x, best, sure):
+        votes, sums, least = np.zeros(3), np.zeros(3), np.full(3, np.inf)
+        for (p, q), w in zip(machine.pairs, machine.weights):
+            margin = float(row @ w[:-1] + w[-1])
+            votes[p if margin > 0 else q] += 1
+            sums += np.eye(3)[p] * np.clip(margin, -1, 1) - np.eye(3)[q] * np.clip(margin, -1, 1)
+            least[p], least[q] = min(least[p], margin), min(least[q], -margin)
+        assert b == max(range(3), key=lambda k: (votes[k], sums[k])) and s == pytest.approx(1 / (1 + np.exp(-2 * least[b])), rel=1e-4)
+    assert (best == of).mean() > 0.9
+
+
 def test_licenses(spark):
     rows = base_rows() + [
         (400, "Code.\nReleased under the MIT License. mit license", "en"), (401, "Licensed under the Apache License, Version 2.0.", "en"), (402, "the license of the apache", "en"),

@@ -445,3 +445,22 @@ def test_kneser_ney(spark):
     none = kneser_ney.classify(frame(spark, rows), labels.limit(0)).where("kept").count()
     assert none == len(rows) - 2
     assert kneser_ney.classify(frame(spark, rows).limit(0), labels).count() == 0
+
+
+def test_texts_over_the_block_sizes(spark):
+    """Each operator works on long texts in blocks; the seams must not show."""
+    rng = random.Random(31)
+    words = [f"w{rng.randint(0, 40_000)}" for _ in range(150_000)]
+    assert simhash.simhash(" ".join(words)) % (1 << 64) == _fingerprint(" ".join(words))
+    text = " ".join(rng.choice(["straße", "x1", "Wörter", "laut"]) + str(k % 7) for k in range(200_000))
+    data = np.frombuffer(b" " + langid._NOT_LETTERS.sub(b" ", text.lower().encode()) + b" ", np.uint8).astype(np.uint32)
+    counts = np.zeros(langid.DIMENSIONS)
+    for n, seed in langid._SEEDS.items():
+        code = sum(data[k : len(data) - n + 1 + k] << np.uint32(8 * (n - 1 - k)) for k in range(n))
+        counts += np.bincount((code * np.uint32(seed)) >> np.uint32(20), minlength=langid.DIMENSIONS)
+    assert len(data) > 1 << 20 and np.allclose(langid.features(text), np.sqrt(counts / counts.sum()), atol=1e-6)
+    long = [f"v{k}" for k in range(300_000)]
+    rows = [(1, " ".join(long), "x"), (2, "a b " + " ".join(long[262_100:262_200]) + " c", "x"), (3, " ".join(long[10:299_000]), "x"), (4, " ".join(long[5:54]), "x")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fmindex.digests(frame(spark, rows)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (300_000, 0, sha(rows[0][1])), 2: (103, 100, sha("a b c")), 3: (298_990, 298_990, sha("")), 4: (49, 0, sha(rows[3][1]))}

@@ -22,6 +22,36 @@ def corpus(seed=8):
     return rows, item, passage
 
 
+def tables(spark, rows, items, trusted):
+    """A folder with the pipeline's tables; documents have a column that the operators use inside."""
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = DOCS + ", spans string, root string"
+    spark.createDataFrame([(i, t, "it", "s", len(t or ""), "x", "y") for i, t in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in trusted], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_edges(spark):
+    """Empty tables, repeated rows, nulls and very long texts, with columns whose names clash."""
+    empty = tables(spark, [], [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    rows, item, passage = corpus()
+    rng = random.Random(1)
+    long = " ".join(rng.choice(rows[k % 50][1].split()) + str(k % 977) for k in range(150_000))
+    rows += [(0, rows[0][1]), (None, rows[1][1] + " coda diversa"), (70, long), (71, " "), (72, long + " " + item)]
+    folder = tables(spark, rows, [(1, item), (2, None), (3, "")], [*range(50), 70, 72])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, folder).write.parquet(out := f"{folder}/{name}")
+        docs = spark.read.parquet(out)
+        assert docs.columns[-2:] == ["spans", "root"]
+    kept = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert kept.count(0) == 1 and 71 not in kept and 70 in kept and 72 not in kept and 66 not in kept
+    packed = corpus_pipeline.packed(spark, docs, folder).groupBy("doc_id").count().collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted(kept, key=str) and {r.doc_id: r["count"] for r in packed}[70] > 50
+
+
 def test_stages(spark):
     rows, item, passage = corpus()
     folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -207,3 +207,30 @@ def md_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of pages."""
     return html.read_html(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+
+
+@query(f"""WITH {_KINDS} SELECT doc_id, CASE kind WHEN 'title' THEN 'titoli non riportati' WHEN 'list' THEN 'elenchi non riportati' ELSE 'codice non riportato' END AS reason, 'CSV' AS field, 'informativa' AS severity, count(*) AS n FROM k GROUP BY ALL""")
+def loss_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents lose as delimited tables."""
+    return blocks.losses(_kinds(spark, sf_dir), "csv")
+
+
+@query(f"""WITH {_KINDS}, t AS (SELECT *, CASE WHEN kind = 'list' THEN CASE WHEN ordered THEN 'ol' ELSE 'ul' END END AS tag FROM k)
+SELECT doc_id, block_no, CASE WHEN tag IS NOT NULL AND tag IS DISTINCT FROM lag(tag) OVER w THEN tag END AS opens, CASE WHEN tag IS NOT NULL AND tag IS DISTINCT FROM lead(tag) OVER w THEN tag END AS closes
+FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)""")
+def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lists open and close."""
+    return blocks.tagged_lists(_kinds(spark, sf_dir)).select("doc_id", "block_no", "opens", "closes")
+
+
+@query("""SELECT event_id, CAST(date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) AS DOUBLE) + CASE WHEN event_id % 3 = 0 THEN 0 ELSE (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 86400.0 END AS serial FROM events""")
+def datetime_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments as serials, from texts; every third one's time lacks the seconds."""
+    clock = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "HH:mm")).otherwise(F.date_format("ts", "HH:mm:ss"))
+    return table(spark, sf_dir, "events").select("event_id", values.datetime_serial(F.date_format("ts", "d/M/yyyy"), clock).alias("serial"))
+
+
+@query(r"""SELECT doc_id, sha256(replace(replace(replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped FROM documents""")
+def escaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents escaped for HTML, by digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.escaped(F.col("text")), 256).alias("escaped"))

@@ -118,3 +118,38 @@ def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
     pieces = _pieces(spark, sf_dir).withColumn("label", F.when(x < 130, "a").when(x < 270, "b").when(x < 410, "c").otherwise("d")).withColumn("line", F.floor(F.col("y") / 100).cast("int"))
     return grid.place_fields(pieces, ["book", "page"], [("whole", "a", "all", 0), ("joined", "b", "number", 0), ("third", "c", "line", 2)])
+
+
+@query(f"""WITH {_PIECES}, s AS (SELECT unnest([400.0, 300.0, 200.0, 100.0]) AS top), m AS (SELECT p_partkey, y, min(top) AS top, count(*) - 1 AS record FROM p JOIN s ON s.top + 5.1 > p.y GROUP BY p_partkey, y)
+SELECT p_partkey, CAST(record AS INT) AS record, CAST(round((top - y) / 10.2) AS INT) AS line FROM m""")
+def record_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record that a piece belongs to, of four on a page, and the line within it."""
+    pieces = _pieces(spark, sf_dir)
+    starts = pieces.select("book").distinct().select("book", F.explode(F.array(*map(F.lit, (400.0, 300.0, 200.0, 100.0)))).alias("y"))
+    return grid.record_bands(pieces, starts, ["book"]).select("p_partkey", "record", "line")
+
+
+@query(r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\s\x{0B}]') GROUP BY doc_id""")
+def not_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of a document hold more than white space."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    return grid.not_blank(lines).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, max(l_linenumber) > 4 AS sampled FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, count(*) AS shown, CASE WHEN NOT any_value(sampled) THEN count(*) END AS known FROM lineitem JOIN s USING (l_orderkey) WHERE NOT sampled OR l_linenumber <= 2 GROUP BY l_orderkey""")
+def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of long orders, all of others; of long ones the number isn't known."""
+    rows = grid.head_sample(table(spark, sf_dir, "lineitem").withColumn("page", F.col("l_linenumber")), ["l_orderkey"], most_pages=4, first_pages=2)
+    return rows.groupBy("l_orderkey", "sampled").agg(F.count("*").alias("shown")).select("l_orderkey", "shown", grid.known_count(F.col("shown")).alias("known"))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS page, 'Periodo: dal ' || strftime(o_orderdate, '%d/%m/%Y') || ' al ' || strftime(o_orderdate + INTERVAL 7 DAYS, '%d/%m/%Y') AS text, o_orderdate FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY page, o_orderkey DESC) AS k FROM p)
+SELECT o_custkey, strftime(o_orderdate, '%d/%m/%Y') AS first, strftime(o_orderdate + INTERVAL 7 DAYS, '%d/%m/%Y') AS last FROM f WHERE k = 1""")
+def page_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first period that a customer's pages name, from the top."""
+    day = lambda c: F.date_format(c, "dd/MM/yyyy")
+    text = F.concat(F.lit("Periodo: dal "), day(F.col("o_orderdate")), F.lit(" al "), day(F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")))
+    pieces = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 3).alias("page"), F.col("o_orderkey").alias("y"), text.alias("text"))
+    return grid.page_period(pieces, ["o_custkey"])

@@ -154,7 +154,7 @@ _END_BITS, _WORD_BITS = 6.0, float(-np.log2(1 - 2.0**-6))
 _GAP = " " * (ORDER - 1)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _LOW = np.uint64(0xFFFFFFFF)
-_ENTRIES = 1 << 21
+_ENTRIES = 1 << 20
 
 
 def word_blocks(text: str | None) -> Iterator[list[bytes]]:
@@ -333,10 +333,13 @@ def merge_pairs(packed: DataFrame, words: Broadcast, hot: Broadcast) -> DataFram
     names = ["kind", "id", "a", "b", "c", "d", "shard", "n", "keys", "counts", "spelled"]
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(*(r[c] for c in ("n", "keys", "counts", "spelled")), words.value) for r in table.select(["n", "keys", "counts", "spelled"]).to_pylist()]
-        keys, at, row = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        n = np.bincount(row, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-        bits = np.concatenate([p[2] for p in parts])[at]
+        parts = [_unpacked(*(c.as_py() for c in r), words.value) for r in zip(*(table[c] for c in ("n", "keys", "counts", "spelled")))]
+        keys, n, bits = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        del parts
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, n, bits = keys[at], np.add.reduceat(n[order], at), bits[order[at]]
         second = (keys & _LOW).astype(np.uint32)
         found, known = words.value.find(second)
         ends, end_n = np.unique(found[known], return_counts=True)
@@ -485,14 +488,14 @@ def answers(asked: DataFrame, pairs: DataFrame, words: Broadcast, hot: Broadcast
             own = np.unpackbits(bits, count=docs).astype(bool)
             keys = np.cumsum(opened(r["keys"], n), dtype=np.uint64)
             found = shard.sums(keys, opened(r["docs"], n).astype(np.int64), opened(r["times"], n).astype(np.int64), own)
-            sums.append(found.astype("<f4").tobytes())
+            sums.append(squeezed(found.astype("<f4").view(np.uint32)))
         rows = pc.if_else(pc.less(left["n"], 0), left["keys"], pa.scalar(None, pa.binary()))
         return pa.table([left["block"], pa.array(sums, pa.binary()), rows], names=["block", "sums", "rows"])
 
     return asked.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(run, "block long, sums binary, rows binary")
 
 
-def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_share: float = 5e-7, shard_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_share: float = 5e-7, shard_bytes: int = 8 << 20) -> DataFrame:
     """All columns but text, with n_bytes, perplexity (null where there is none) and has_words, under the model of ``trusted.text``.
 
     The perplexity is by byte of words and the spaces after them. Rows whose column ``is_trusted`` is true are part of the
@@ -538,12 +541,13 @@ def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_sha
     found = answers(asked, merged.where("kind = 0"), words, hot, d, rest)
 
     def together(table: pa.Table) -> pa.Table:
-        rows, total = None, 0.0
+        rows, held = None, []
         for sums, own in zip(table["sums"], table["rows"]):
             if own.is_valid:
                 rows = pa.ipc.open_stream(own.as_buffer()).read_all()
             else:
-                total = total + np.frombuffer(sums.as_buffer(), "<f4").astype(np.float64)
+                held.append(sums.as_py())
+        total = sum((opened(x, rows.num_rows).astype(np.uint32).view(np.float32).astype(np.float64) for x in held), np.zeros(rows.num_rows))
         bits = (rows["own_bits"].to_numpy() + total) / np.maximum(rows["spelled_bytes"].to_numpy(), 1)
         perplexity = pa.array(2.0**bits, mask=~rows["has_words"].to_numpy())
         return rows.select([*others, "n_bytes"]).append_column("perplexity", perplexity).append_column("has_words", rows["has_words"])

@@ -84,8 +84,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     else:
         none = F.lit(0)
         rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"), none.alias("len"), none.alias("at"))
+    # Few places: the documents stay where they are; else both sides are shuffled.
+    few = F.broadcast if rows.where("len > 0").count() * 64 <= broadcast_bytes else (lambda df: df)
     met = rows.where("len > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.collect_set(F.struct("len", "at")).alias("met"))
-    texts = docs.join(met, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_hash"))).groupBy("m_id", "m_hash").agg(F.first("met").alias("met"), F.first("text").alias("text"))
+    texts = docs.join(few(met), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_hash"))).groupBy("m_id", "m_hash").agg(F.first("met").alias("met"), F.first("text").alias("text"))
     texts = texts.withColumn("words", normal_words(F.col("text")))
 
     def windows(m):

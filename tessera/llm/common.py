@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,3 +63,15 @@ def split_words(text: Column, separator: str) -> Column:
 def listed_files(manifest: DataFrame, column: str) -> DataFrame:
     """The names in a written manifest, a few to a partition, so that tasks read files in parallel."""
     return manifest.select(column).repartition(max(1, min(manifest.count(), 10_000)), column)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts go to Python few at a time in what is run inside, so that batches take little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -39,7 +39,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, written
+from tessera.llm.common import SPACES, small_batches, written
 
 ORDER = 4
 
@@ -154,7 +154,7 @@ _END_BITS, _WORD_BITS = 6.0, float(-np.log2(1 - 2.0**-6))
 _GAP = " " * (ORDER - 1)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _LOW = np.uint64(0xFFFFFFFF)
-_ENTRIES = 1 << 20
+_ENTRIES = 1 << 18
 
 
 def word_blocks(text: str | None) -> Iterator[list[bytes]]:
@@ -247,7 +247,7 @@ def count_words(texts: DataFrame, least_share: float = 0.0, spelling: Broadcast
                 if len(tokens):
                     held.append((tokens, np.concatenate([[0.0], bits]).astype(np.float32) if spelling else np.zeros(len(tokens), np.float32)))
                     size += len(tokens)
-                if size > 2 * _ENTRIES:
+                if size > 4 * _ENTRIES:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -603,7 +603,8 @@ def classify(
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.col("trusted_id").isNotNull().alias("is_trusted"), "text")
-    scored = written(score(rows, rows.where("is_trusted")), "perplexities")
+    with small_batches(docs.sparkSession):
+        scored = written(score(rows, rows.where("is_trusted")), "perplexities")
     trusted = scored.where("is_trusted")
     by_lang, (level, steps), limit = limits(trusted, quantile, least_documents)
     by_lang = written(by_lang, "perplexity-limits")

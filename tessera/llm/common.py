@@ -65,13 +65,28 @@ def listed_files(manifest: DataFrame, column: str) -> DataFrame:
     return manifest.select(column).repartition(max(1, min(manifest.count(), 10_000)), column)
 
 
+def _size(setting: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", setting.strip().lower()).groups()
+    return int(number) << (10 * " kmgt".index(unit or " "))
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Whole texts go to Python few at a time in what is run inside, so that batches take little memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, batch: str = "8m", partition: str = "16m") -> Iterator[None]:
+    """What is run inside takes little memory in a task: Python gets few rows and bytes at a time, and adaptive partitions are small.
+
+    Settings that are smaller already stay.
+    """
+    most = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": batch,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": partition,
+    }
+    before = {name: spark.conf.get(name) for name in most}
+    for name, value in most.items():
+        if not 0 < _size(before[name]) < _size(value):
+            spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

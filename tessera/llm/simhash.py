@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import small_batches, written
 
 BITS, SEGMENTS, DISTANCE = 64, 8, 3
 _WIDTH = BITS // SEGMENTS
@@ -292,8 +292,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_l
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for members in batch.column(0).to_pylist():
-                members.sort(key=lambda m: m["node"])
+            for row in batch.column(0):
+                members = sorted(row.as_py(), key=lambda m: m["node"])
                 segments = np.frombuffer(b"".join(m["wide"] for m in members), np.uint16).reshape(-1, RING)
                 found |= _forest(np.array([m["node"] for m in members]), segments, budgets)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -319,7 +319,9 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_l
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     by_doc = written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, wide binary"), "wide-fingerprints")
     nodes = written(by_doc.groupBy("node").agg(F.first("wide").alias("wide"), F.min(F.struct("doc_id", "text_hash")).alias("at")), "distinct-texts")
-    dealt = nodes.select("node", "wide").mapInArrow(keys, "node long, key long")
+    # About a million keys to a task, which then holds little before it shuffles them.
+    tasks = max(1, min(nodes.count() * KEYS >> 20, 20_000))
+    dealt = nodes.select("node", "wide").repartition(tasks, "node").mapInArrow(keys, "node long, key long")
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(dealt.join(shared, "key").join(nodes.select("node", "wide"), "node"), "similarity-keys")
     listed = F.collect_list(F.struct("node", "wide")).alias("members")
@@ -344,7 +346,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, buck
 
     Texts without words are one group.
     """
-    by_doc, links = similar(docs, shingle, similarity, bucket_limit)
+    with small_batches(docs.sparkSession):
+        by_doc, links = similar(docs, shingle, similarity, bucket_limit)
     rooted = by_doc.join(components(links), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"))
     kept = first.select(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, divergence, fmindex, kneser_ney, langid, licenses, packing, simhash, warc, wavelet
+from tessera.llm import decontam, divergence, fmindex, interactions, kneser_ney, langid, licenses, merges, negatives, packing, simhash, warc, wavelet
 from tessera.llm.common import documents
 
 
@@ -142,6 +142,57 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digests(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return interactions.audit(documents(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      map(['A', 'B', 'C', 'D', 'E'], [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t),
+      regexp_matches(t, '[#$%&*|]'), coalesce(first_id < w.doc_id, false)]) AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o AS filter_order, step, o[step] AS own, string_split(o[1:step - 1], '') AS before, list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: y <> o[step]) AS others FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own, good, toxic, fails[own] AS now, len(list_filter(before, lambda y: coalesce(fails[y], false))) > 0 AS gone, len(list_filter(others, lambda y: fails[y])) = 0 AS alone FROM f, s),
+c AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, count(*) FILTER (NOT now AND NOT gone) AS kept, count(*) FILTER (now AND NOT gone) AS removed, count(*) FILTER (now AND gone) AS redundant,
+      count(*) FILTER (now AND alone) AS unique_fails, count(*) FILTER (now AND NOT gone AND good) AS good_lost, count(*) FILTER (now AND NOT gone AND toxic) AS toxic_lost FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
+"""
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all vectors, with the contract's anchors and labels."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op13_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents, and the texts that come back from them."""
+    coded = merges.decode(merges.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_wavelet": op2_wavelet,
@@ -153,5 +204,8 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
+    "op11_interactions": op11_interactions,
+    "op12_negatives": op12_negatives,
+    "op13_merges": op13_merges,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op3_divergence": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_substrings": OP7_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op3_divergence": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_substrings": OP7_SQL, "op11_interactions": OP11_SQL, "op12_negatives": OP12_SQL}

@@ -34,7 +34,8 @@ from tessera.llm.tokens import public_path
 SPACE = "▁"
 LONG = 256
 MEMO_WORDS = 200_000
-_BATCH_CHARS = 2 << 20
+_BATCH_CHARS = 1 << 20
+_SLICE = 500
 _NONE = np.iinfo(np.int32).max
 _coders: dict[str, Coder] = {}
 codecs.register_error("each-byte", lambda e: ("�", e.start + 1))
@@ -358,6 +359,11 @@ def _texts(data: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> pa.Array
     return made if valid.all() else pc.if_else(pa.array(valid), made, None)
 
 
+def _slices(rows: pa.Array) -> list[pa.Array]:
+    """Some hundred rows at a time, so that little is unpacked at once."""
+    return [rows.slice(at, _SLICE) for at in range(0, max(1, len(rows)), _SLICE)]
+
+
 def encoded(text: Column, path: str | None = None) -> Column:
     """The ids of a text column, the end id last, as the library gives them."""
     path = path or public_path("piece_bpe_32k.model")
@@ -365,9 +371,9 @@ def encoded(text: Column, path: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found, counts = coder(path).encode(texts.to_pylist())
-            ends = np.append(0, np.cumsum(counts)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found, pa.int32()))
+            parts = [coder(path).encode(x.to_pylist()) for x in _slices(texts)]
+            ends = np.append(0, np.cumsum(np.concatenate([n for _, n in parts]))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([i for i, _ in parts]), pa.int32()))
 
     return ids(text)
 
@@ -379,9 +385,12 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            valid = np.asarray(lists.is_valid())
-            counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-            yield _texts(*coder(path).decode(np.asarray(lists.flatten(), np.int64), counts), valid)
+            parts = []
+            for some in _slices(lists):
+                counts = np.asarray(pc.fill_null(pc.list_value_length(some), 0), np.int64)
+                parts.append(coder(path).decode(np.asarray(some.flatten(), np.int64), counts))
+            data, lengths = (np.concatenate(x) for x in zip(*parts))
+            yield _texts(data, lengths, np.asarray(lists.is_valid()))
 
     return text(ids)
 

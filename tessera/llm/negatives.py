@@ -13,7 +13,7 @@ rows of a block each time), so neither side is held whole by anybody. A block ha
 Edge cases: rows with a null id, a null label, a null vector or a component that is null or not finite (as it is, or times
 the scale) take no part. Of anchors that are repeated, the one of the smallest label, then vector, is taken; other repeated rows
 are rows of their own, of which any comes first. Vectors of unlike lengths are compared as if the shorter one ended with
-zeros; empty ones have score 0. Scores beyond 2**62 count as 2**62. Fewer than k rows: all. An empty table, or one
+zeros; empty ones have score 0. Scores stay within 2**62. Fewer than k rows: all. An empty table, or one
 without anchors, gives no rows. Other columns are left out at the start.
 """
 
@@ -33,7 +33,7 @@ DIGIT_BITS = 8
 GATHERED = 64
 BLOCK_BYTES = 32 << 20
 _SCORES = 4 << 20
-_MOST = 1 << 62
+_MOST = (1 << 62) - 1
 _WINDOW = "window int, same boolean, high long, low long, need int, base long, shift int, tie_base long, tie_shift int, open boolean"
 _COUNTS = "anchor_id long, window int, digit int, n long"
 _FOUND = "anchor_id long, window int, score long, id long"
@@ -234,8 +234,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     anchors = rows.where("anchor").groupBy("id").agg(F.min(F.struct("label", "vector")).alias("one")).select(F.col("id").alias("anchor_id"), "one.label", "one.vector")
     # by Cauchy and Schwarz, no score is beyond this; rounding is made up for
     reach = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)) * F.lit((seen.norm or 0.0) ** 0.5) * 1.000001 + 1
-    reach = F.least(F.ceil(F.least(reach, F.lit(float(_MOST)))), F.lit(_MOST - 1)).cast("long")
-    anchors = written(anchors.withColumn("reach", F.coalesce(reach, F.lit(_MOST - 1))), "anchors")
+    reach = F.least(F.ceil(F.least(reach, F.lit(float(_MOST)))), F.lit(_MOST)).cast("long")
+    anchors = written(anchors.withColumn("reach", F.coalesce(reach, F.lit(_MOST))), "anchors")
     own = anchors.select("anchor_id", "label", "vector", F.lit(0).alias("window"), F.lit(True).alias("same"), F.col("reach").alias("high"), (-F.col("reach")).alias("low"))
     near = written(first_rows(rows, own, positives, blocks, least, id_bits).select("anchor_id", F.col("rank").alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     score = F.col("positive_score")

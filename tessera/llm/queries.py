@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, divergence, fmindex, interactions, kneser_ney, langid, licenses, merges, negatives, packing, simhash, warc, wavelet
-from tessera.llm.common import documents
+from tessera.llm.common import documents, small_batches, written
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,13 +184,15 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 def op13_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents, and the texts that come back from them."""
-    coded = merges.decode(merges.encode(documents(spark, sf_dir).select("doc_id", "text")))
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    with small_batches(spark):  # ids are written before they are decoded, so that a task runs one of the two at a time
+        ids = written(merges.encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "piece-ids")
+        coded = merges.decode(ids).select(
+            "doc_id",
+            F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256"),
+        )
+        return written(coded, "piece-digests")
 
 
 QUERIES = {

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import squeezed, words
+from tessera.operators import folds
 
 PREVIEW_BLOCKS = 40
 LIST_ITEM = r"^([-*•·]|\d+[.)])\s+"
@@ -88,20 +89,27 @@ def merged_runs(runs: Column) -> Column:
     return F.flatten(F.transform(F.array(runs), merge))
 
 
-def list_numbers(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "block_no", deepest: int | None = None) -> DataFrame:
+def list_numbers(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "block_no") -> DataFrame:
     """Adds ``number`` to ordered list items, counted by level.
 
     An ordered item starts the levels below it anew; any block that isn't a list starts all; unordered items start none.
-    ``deepest`` is the highest level of an ordered item; it is looked up where it isn't given.
+    The counters are a stack, so an item costs the same at any depth.
     """
-    is_list, ordered = F.col("kind") == "list", F.col("ordered")
-    if deepest is None:
-        deepest = blocks.where(is_list & ordered).agg(F.max("level")).first()[0] or 0
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    resets = F.coalesce(*[F.when(F.col("level") == k, F.max(F.when(~is_list | (ordered & (F.col("level") < k)), F.col(order))).over(w)) for k in range(deepest + 1)], F.lit(-1))
-    marked = blocks.withColumn("_reset", resets)
-    own = Window.partitionBy(*keys, "level", "_reset", is_list & ordered).orderBy(order)
-    return marked.withColumn("number", F.when(is_list & ordered, F.row_number().over(own))).drop("_reset")
+
+    def step(stack: list[list[int]], kind: str | None, ordered: bool | None, level: int | None) -> int | None:
+        if kind != "list":
+            stack.clear()
+        if kind != "list" or not ordered:
+            return None
+        level = level or 0
+        while stack and stack[-1][0] > level:
+            stack.pop()
+        if not stack or stack[-1][0] < level:
+            stack.append([level, 0])
+        stack[-1][1] += 1
+        return stack[-1][1]
+
+    return folds.annotated(blocks, keys, [order], ["kind", "ordered", "level"], list, step, "number", "int")
 
 
 def chapters(blocks: DataFrame, cut: int = 1, keys: Sequence[str] = ("doc_id",), order: str = "block_no") -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import texts
+from tessera.functions import lookups, texts
+from tessera.operators import folds
 
 
 def estimated_width(c: Column, font: Column) -> Column:
@@ -40,16 +41,15 @@ def known_count(n: Column) -> Column:
 def cluster_rows(pieces: DataFrame, keys: Sequence[str] = ("page",), tolerance: float = 3.0) -> DataFrame:
     """Adds ``row``: pieces from the top down, a new row where y is more than the tolerance below the row's first piece.
 
-    The distance counts from the row's first piece, not from the last one, so it is a fold over the page's distinct y.
+    The distance counts from the row's first piece, not from the last one: a fold over the page's pieces.
     """
-    zero = F.array().cast("array<double>")
-    tops = F.aggregate(
-        F.array_sort(F.collect_set(-F.col("y"))),
-        zero,
-        lambda acc, y: F.when((F.size(acc) == 0) | (y - F.get(acc, F.size(acc) - 1) > tolerance), F.concat(acc, F.array(y))).otherwise(acc),
-    )
-    pages = pieces.groupBy(*keys).agg(tops.alias("_tops"))
-    return pieces.join(pages, list(keys)).withColumn("row", F.size(F.filter("_tops", lambda t: t <= -F.col("y"))) - 1).drop("_tops")
+
+    def step(state: list, y: float) -> int:
+        if state[0] is None or state[0] - y > tolerance:
+            state[:] = y, state[1] + 1
+        return state[1]
+
+    return folds.annotated(pieces, keys, [F.desc("y"), "x"], ["y"], lambda: [None, -1], step, "row", "int")
 
 
 def line_signatures(rows: DataFrame, keys: Sequence[str], text: str = "text", pieces: str = "pieces") -> DataFrame:
@@ -85,10 +85,10 @@ def corridors(pieces: DataFrame, book: Sequence[str], corridor: float = 6.0) ->
 
 
 def assign_columns(pieces: DataFrame, boundaries: DataFrame, book: Sequence[str]) -> DataFrame:
-    """Adds ``column``: how many boundaries are at or left of the piece."""
-    listed = boundaries.groupBy(*book).agg(F.collect_set("boundary").alias("_bounds"))
+    """Adds ``column``: how many boundaries are at or left of the piece. A book has as many as fit into its width."""
+    listed = boundaries.groupBy(*book).agg(F.sort_array(F.collect_set("boundary")).alias("_bounds"))
     both = pieces.join(listed, list(book), "left")
-    return both.withColumn("column", F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: F.col("x") >= b))).drop("_bounds")
+    return both.withColumn("column", lookups.rank_in(F.coalesce("_bounds", F.array().cast("array<double>")), F.col("x"))).drop("_bounds")
 
 
 def cells(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -120,18 +120,23 @@ def anchor_bands(anchors: DataFrame, book: Sequence[str]) -> DataFrame:
 
 
 def in_bands(pieces: DataFrame, bands: DataFrame, book: Sequence[str]) -> DataFrame:
-    """Adds ``label``, the band that a piece's x lies in: an equi-join on the book, one array of bands each."""
+    """Adds ``label``, the band that a piece's x lies in: an equi-join on the book, one array of bands each, which adjoin."""
     listed = bands.groupBy(*book).agg(F.array_sort(F.collect_list(F.struct("low", "high", "label"))).alias("_bands"))
-    found = F.get(F.filter("_bands", lambda b: (F.col("x") >= b["low"]) & (F.col("x") < b["high"])), 0)
-    return pieces.join(listed, list(book)).withColumn("label", found["label"]).drop("_bands")
+    both = pieces.join(listed, list(book)).withColumn("_band", F.get("_bands", lookups.rank_in(F.transform("_bands", lambda b: b["low"]), F.col("x")) - 1))
+    return both.withColumn("label", F.when(F.col("x") < F.col("_band.high"), F.col("_band.label"))).drop("_bands", "_band")
 
 
 def record_bands(pieces: DataFrame, starts: DataFrame, book: Sequence[str], pitch: float = 10.2) -> DataFrame:
-    """Adds ``record`` and ``line``: the record whose start is above the piece (by half a pitch), and the line within it."""
-    listed = starts.groupBy(*book).agg(F.sort_array(F.collect_set("y"), asc=False).alias("_starts"))
-    both = pieces.join(listed, list(book)).withColumn("record", F.size(F.filter("_starts", lambda y: y + pitch / 2 > F.col("y"))) - 1)
-    top = F.get("_starts", F.col("record"))
-    return both.where("record >= 0").withColumn("line", F.round((top - F.col("y")) / pitch).cast("int")).drop("_starts")
+    """Adds ``record`` and ``line``: the record whose start is above the piece (by half a pitch), and the line within it.
+
+    Starts and pieces are sorted together from the top down, and each piece takes the last start before it.
+    """
+    marks = starts.select(*book, F.col("y").alias("_top"), (F.col("y") + pitch / 2).alias("_edge")).distinct()
+    both = pieces.withColumn("_edge", F.col("y")).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(*book).orderBy(F.desc("_edge"), F.col("_top").isNull().desc())
+    found = both.withColumns({"record": F.count("_top").over(w).cast("int") - 1, "_above": F.last("_top", ignorenulls=True).over(w)})
+    found = found.where(F.col("_top").isNull() & (F.col("record") >= 0))
+    return found.withColumn("line", F.round((F.col("_above") - F.col("y")) / pitch).cast("int")).drop("_top", "_above", "_edge")
 
 
 def is_record_start(x: Column, y: Column, text: Column, header_y: Column, first_band: Column) -> Column:

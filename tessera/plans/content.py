@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import texts, values
@@ -28,17 +28,10 @@ WHEN trim(o.text) = '' THEN f.before ELSE o.text END FROM f JOIN o ON o.conv_id
 SELECT conv_id, said AS text FROM f WHERE trim(said) <> ''""")
 def rolling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as rolling captions (every third turn begins with the one before, every fifth repeats it)."""
-    rows = table(spark, sf_dir, "conversations")
-    cues = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = rows.groupBy("conv_id").agg(cues.alias("cues"))
-
-    def rolled(cue, i):
-        before = F.get(F.col("cues"), i - 1)["text"]
-        k = i + 1
-        return F.struct(F.when(k % 3 == 0, F.concat(before, F.lit(" "), cue["text"])).when(k % 5 == 0, before).otherwise(cue["text"]).alias("text"))
-
-    rows = rows.withColumn("rolled", F.transform("cues", rolled))
-    return rows.select("conv_id", F.explode(transcripts.rolling_dedup(F.col("rolled"))).alias("text"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "text", F.row_number().over(w).alias("k"), F.lag("text").over(w).alias("before"))
+    rolled = F.when(F.col("k") % 3 == 0, F.concat("before", F.lit(" "), "text")).when(F.col("k") % 5 == 0, F.col("before")).otherwise(F.col("text"))
+    return transcripts.rolling_dedup(rows.select("conv_id", "k", rolled.alias("text")), ["conv_id"], ["k"]).select("conv_id", "text")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'UTENTE' WHEN 'assistant' THEN NULL ELSE 'SISTEMA' END AS s FROM conversations),

@@ -124,12 +124,40 @@ def test_captions(spark):
     assert [(p.speaker, p.text) for p in paragraphs] == [("ANNA", "ciao a tutti & bene")]
 
 
-def test_paragraphs_lose_no_word():
+CUES = "doc_id long, cue_no int, seconds double, text string, speaker string"
+
+
+def test_paragraphs_lose_no_word(spark):
     words = [f"w{k}" for k in range(400)]
-    found = list(transcripts.fold_paragraphs([(0.0, " ".join(words), "")]))
-    assert [w for _, _, p in found for w in p] == words and max(len(p) for _, _, p in found) <= 120
-    islands = list(transcripts.fold_paragraphs([(0.0, "a b", "X"), (1.0, "c", ""), (2.0, "d", "Y"), (3.0, "d", "Y")], group="speaker"))
-    assert islands == [(0.0, "X", ["a", "b", "c"]), (2.0, "Y", ["d"])]
+    found = transcripts.paragraphs(spark.createDataFrame([(1, 0, 0.0, " ".join(words), "")], CUES)).orderBy("paragraph").collect()
+    assert [w for p in found for w in p.text.split()] == words and max(p.n_words for p in found) <= 120
+    cues = spark.createDataFrame([(1, 0, 0.0, "a b", "X"), (1, 1, 1.0, "c", ""), (1, 2, 2.0, "d", "Y"), (1, 3, 3.0, "d", "Y"), (2, 0, None, "d", None), (2, 1, 3700.0, " ", None)], CUES)
+    islands = transcripts.paragraphs(cues, group="speaker").orderBy("doc_id", "paragraph").collect()
+    assert [(p.seconds, p.speaker, p.text) for p in islands] == [(0.0, "X", "a b c"), (2.0, "Y", "d"), (None, "", "d")]
+
+
+def test_time_marks(spark):
+    cues = spark.createDataFrame([(1, 0, 5.9, "a b.", "X"), (1, 1, 65.0, "c", ""), (1, 2, 3723.0, "d", "Y"), (2, 0, None, "e", "")], CUES)
+    shown = lambda **how: [p.shown for p in transcripts.paragraphs(cues, **how).orderBy("doc_id", "paragraph").collect()]
+    assert shown(times="no") == ["X: a b. c", "Y: d", "e"]
+    assert shown(times="paragraph") == ["[0:05] X: a b. c", "[1:02:03] Y: d", "e"]
+    assert shown(times="cue") == shown(times="paragraph", group="cue") == ["[0:05] X: a b.", "[1:05] X: c", "[1:02:03] Y: d", "e"]
+    with pytest.raises(ValueError):
+        transcripts.paragraphs(cues, times="sometimes")
+
+
+def test_folds_over_many_batches(spark):
+    """A document of far more cues than an Arrow batch holds, beside small ones and none."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = spark.range(5000).selectExpr("if(id < 4990, 1, id) AS doc_id", "cast(id AS int) AS cue_no", "cast(id AS double) AS seconds", "concat('w', id div 2) AS text", "'' AS speaker")
+        found = transcripts.rolling_dedup(rows).orderBy("doc_id", "cue_no").collect()
+        assert [r.text for r in found if r.doc_id == 1] == [f"w{k}" for k in range(2495)] and len(found) == 2505
+        one = [p.text for p in transcripts.paragraphs(rows.where("doc_id = 1")).orderBy("paragraph").collect()]
+        assert " ".join(one) == " ".join(f"w{k}" for k in range(2495))
+        assert transcripts.paragraphs(rows.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_html(spark):
@@ -166,10 +194,14 @@ def test_markdown_writer(spark):
     assert [(r.reason, r.n, r.severity) for r in lost] == [("immagini non riportate", 1, "informativa"), ("livelli dei titoli ridotti a due", 1, "informativa"), ("tabelle ridotte a testo", 1, "informativa")]
 
 
+BLOCKS = "doc_id long, block_no int, kind string, level int, ordered boolean, text string"
+
+
 def test_numbers_of_deep_items(spark):
     rows = [(1, k, kind, 11, True, "x") for k, kind in enumerate(["list", "list", "paragraph", "list"])]
-    found = blocks.list_numbers(spark.createDataFrame(rows, "doc_id long, block_no int, kind string, level int, ordered boolean, text string"))
-    assert [r.number for r in found.orderBy("block_no").collect()] == [1, 2, None, 1]
+    rows += [(2, k, "list", level, True, "x") for k, level in enumerate([0, 1000, 1000, 3, 1000, 0, 1000])] + [(2, 9, "list", 0, False, "x"), (2, 10, "list", 1000, True, "x"), (3, 0, "list", None, None, None)]
+    found = blocks.list_numbers(spark.createDataFrame(rows, BLOCKS))
+    assert [r.number for r in found.orderBy("doc_id", "block_no").collect()] == [1, 2, None, 1, 1, 1, 2, 1, 1, 2, 1, None, 2, None]
 
 
 def test_head_sample(spark):

@@ -126,52 +126,147 @@ def in_bands(pieces: DataFrame, bands: DataFrame, book: Sequence[str]) -> DataFr
     return both.withColumn("label", F.when(F.col("x") < F.col("_band.high"), F.col("_band.label"))).drop("_bands", "_band")
 
 
-def record_bands(pieces: DataFrame, starts: DataFrame, book: Sequence[str], pitch: float = 10.2) -> DataFrame:
-    """Adds ``record`` and ``line``: the record whose start is above the piece (by half a pitch), and the line within it.
+def numbered_records(pieces: DataFrame, starts: DataFrame, page: Sequence[str], pitch: float = 10.2) -> DataFrame:
+    """Adds ``record``, ``line`` and ``is_start``: the last start that is above the piece, or at most half a pitch below it, and the line from there.
 
-    Starts and pieces are sorted together from the top down, and each piece takes the last start before it.
+    Starts (rows like the pieces) are sorted among the pieces from the top down, and stay as rows of their own, so each of
+    them has a record. What stands above all starts is left out.
     """
-    marks = starts.select(*book, F.col("y").alias("_top"), (F.col("y") + pitch / 2).alias("_edge")).distinct()
+    marks = starts.withColumns({"_top": F.col("y"), "_edge": F.col("y") + pitch / 2})
     both = pieces.withColumn("_edge", F.col("y")).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*book).orderBy(F.desc("_edge"), F.col("_top").isNull().desc())
-    found = both.withColumns({"record": F.count("_top").over(w).cast("int") - 1, "_above": F.last("_top", ignorenulls=True).over(w)})
-    found = found.where(F.col("_top").isNull() & (F.col("record") >= 0))
-    return found.withColumn("line", F.round((F.col("_above") - F.col("y")) / pitch).cast("int")).drop("_top", "_above", "_edge")
+    w = Window.partitionBy(*page).orderBy(F.desc("_edge"), F.col("_top").isNull(), "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumns({"record": F.count("_top").over(w).cast("int") - 1, "_above": F.last("_top", ignorenulls=True).over(w), "is_start": F.col("_top").isNotNull()})
+    line = F.greatest(F.round((F.col("_above") - F.col("y")) / pitch), F.lit(0)).cast("int")
+    return found.where(F.col("record") >= 0).withColumn("line", line).drop("_top", "_above", "_edge")
+
+
+def record_bands(pieces: DataFrame, starts: DataFrame, book: Sequence[str], pitch: float = 10.2) -> DataFrame:
+    """``numbered_records`` for starts that are known by their y alone; the starts themselves are left out."""
+    marks = starts.select(*book, "y").distinct().withColumn("x", F.lit(0.0))
+    plain = pieces if "x" in pieces.columns else pieces.withColumn("x", F.lit(0.0))
+    found = numbered_records(plain, marks, book, pitch).where(~F.col("is_start")).drop("is_start")
+    return found.select(*pieces.columns, "record", "line")
+
 
+def anchored(pieces: DataFrame, anchors: Sequence[tuple[str, Sequence[str] | None]], page: Sequence[str], pitch: float = 10.2) -> DataFrame:
+    """Adds ``label`` and ``header_y``: the column of a printed table that a piece stands in, by the labels in the page's header.
 
-def is_record_start(x: Column, y: Column, text: Column, header_y: Column, first_band: Column) -> Column:
-    """Below the header, in the first band, a record number: 3 to 6 digits, or with dots by threes."""
-    return (y < header_y) & (x < first_band) & F.trim(text).rlike(r"^(\d{1,3}(\.\d{3})+|\d{3,6})$")
+    anchors: (key, the ways its label may be written), from the left. The first one's label is looked for from the top, and
+    its line is the header's; the others must stand within half a pitch of it. A key without labels is printed vertically:
+    its place is that of the first piece in the header's line between its neighbours, else midway between them. Columns meet
+    midway between places. Pages on which a place is missing hold no table and are left out. A vertical column next to another
+    one has no place.
+    """
+    number, texts_of = anchors[0][0], [t for _, labels in anchors for t in labels or ()]
+    known = pieces.select(*page, "x", "y", F.trim("text").alias("text")).where(F.col("text").isin(texts_of))
+    listed = known.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "text"))).alias("_known"))
+    head = F.get(F.filter("_known", lambda p: p["text"].isin(*anchors[0][1])), 0)
+    pages = listed.withColumn("_head", head).where("_head IS NOT NULL").withColumn("header_y", -F.col("_head.down"))
+
+    def place(labels: Sequence[str]) -> Column:
+        return F.get(F.filter("_known", lambda p: (F.abs(-p["down"] - F.col("header_y")) <= pitch / 2) & p["text"].isin(*labels)), 0)["x"]
+
+    pages = pages.withColumns({f"_x_{number}": F.col("_head.x"), **{f"_x_{k}": place(labels) for k, labels in anchors[1:] if labels}}).drop("_known", "_head")
+    for k, labels in anchors:
+        if labels:
+            pages = pages.where(F.col(f"_x_{k}").isNotNull())
+    out = pieces.join(pages, list(page))
+    for (before, _), (key, labels), (after, _) in zip(anchors, anchors[1:], anchors[2:]):
+        if not labels:
+            low, high = F.col(f"_x_{before}"), F.col(f"_x_{after}")
+            between = (F.abs(F.col("y") - F.col("header_y")) < 1) & (F.col("x") > low) & (F.col("x") < high)
+            first = F.min_by("x", F.when(between, F.struct(-F.col("y"), "x"))).over(Window.partitionBy(*page))
+            out = out.withColumn(f"_x_{key}", F.coalesce(first, (low + high) / 2))
+    places = [F.col(f"_x_{k}") for k, _ in anchors]
+    x, label = F.col("x"), F.lit(None).cast("string")
+    for k in reversed(range(len(anchors))):  # the first column that takes the piece counts
+        inside = F.lit(True)
+        if k:
+            inside &= x >= (places[k - 1] + places[k]) / 2
+        if k + 1 < len(anchors):
+            inside &= x < (places[k] + places[k + 1]) / 2
+        label = F.when(inside, anchors[k][0]).otherwise(label)
+    return out.withColumn("label", label).drop(*[f"_x_{k}" for k, _ in anchors])
+
+
+RECORD_NUMBER = r"^\s*(\d{1,3}(\.\d{3})+|\d{3,6})\s*$"
+
+
+def is_record_start(label: Column, y: Column, text: Column, below: Column, first: str) -> Column:
+    """Under the header, in the first column, a record number: 3 to 6 digits, or with dots by threes."""
+    return (y < below) & (label == first) & text.rlike(RECORD_NUMBER)
+
+
+def _sorted_pieces() -> Column:
+    """A record's pieces as an array, from the top down and left to right."""
+    return F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "label", "line", "text")))
+
+
+def field_columns(pieces: str, placements: Sequence[tuple[str, str, str, int]]) -> list[Column]:
+    """A column for each field that a layout declares, out of a record's sorted pieces: (field, label, mode, line).
+
+    ``line``: the pieces on that line of the column, a space between them; ``number``: the same without any space, as a
+    number's parts are printed apart; ``all``: the pieces of all lines, each on its own.
+    """
+
+    def fields(label: str, mode: str, line: int) -> Column:
+        if mode == "all":
+            return F.array_join(F.transform(F.filter(pieces, lambda p: p["label"] == label), lambda p: F.rtrim(p["text"])), "\n")
+        inside = F.filter(pieces, lambda p: (p["label"] == label) & (p["line"] == line))
+        joined = F.trim(F.array_join(F.transform(inside, lambda p: F.trim(p["text"])), " "))
+        return F.regexp_replace(joined, r"\s+", "") if mode == "number" else joined
+
+    return [fields(*how).alias(field) for field, *how in placements]
 
 
 def place_fields(pieces: DataFrame, keys: Sequence[str], placements: Sequence[tuple[str, str, str, int]]) -> DataFrame:
-    """A row per record with the fields that the layout declares.
+    """A row per record with the fields that the layout declares. Pieces have label, line, x and y."""
+    return pieces.groupBy(*keys).agg(_sorted_pieces().alias("_p")).select(*keys, *field_columns("_p", placements))
+
 
-    placements: (field, label, mode, line). ``line``: the pieces of that line of the band; ``all``: of all its lines;
-    ``number``: of all its lines, joined without spaces. Pieces have label, line and x.
+def _texts_of(pieces: str, label: str) -> Column:
+    return F.transform(F.filter(pieces, lambda p: p["label"] == label), lambda p: p["text"])
+
+
+PHONE_PIECE = r"^\+?\d[\d\s./+-]*$"
+
+
+def identity_columns(pieces: Column) -> dict[str, Column]:
+    """surname, name, phone and email out of the sorted texts of one column, by what they hold.
+
+    What has an ``@`` is part of the email, what has only digits and separators part of the phone. Of the rest, the very first
+    piece is the surname, and all others the name.
     """
-    fields = []
-    for field, label, mode, line in placements:
-        inside = (F.col("label") == label) & ((F.col("line") == line) if mode == "line" else F.lit(True))
-        listed = F.array_sort(F.collect_list(F.when(inside, F.struct("line", "x", "text"))))
-        fields.append(F.array_join(F.transform(listed, lambda p: p["text"]), "" if mode == "number" else " ").alias(field))
-    return pieces.groupBy(*keys).agg(*fields)
+    named = F.filter(F.transform(pieces, lambda t: F.trim(t)), lambda t: t != "")
+    is_email = lambda t: F.contains(t, F.lit("@"))
+    is_phone = lambda t: ~is_email(t) & t.rlike(PHONE_PIECE)
+    is_name = lambda t: ~is_email(t) & ~t.rlike(PHONE_PIECE)
+    names, first = F.filter(named, is_name), F.get(named, 0)
+    led = F.coalesce(is_name(first), F.lit(False))
+    rest = F.slice(names, F.when(led, 2).otherwise(1), F.greatest(F.size(names), F.lit(1)))
+    return {"surname": F.when(led, first).otherwise(""), "name": F.array_join(rest, " "), "phone": F.array_join(F.filter(named, is_phone), " "), "email": F.array_join(F.filter(named, is_email), "")}
 
 
 def identity_fields(pieces: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """surname, name, phone and email from the lines of one band, by what they hold.
+    """surname, name, phone and email of each record from the pieces of one column."""
+    listed = pieces.groupBy(*keys).agg(_sorted_pieces().alias("_p")).select(*keys, _texts_of("_p", label).alias("_who"))
+    return listed.select(*keys, *[c.alias(name) for name, c in identity_columns(F.col("_who")).items()])
 
-    A line with ``@`` is part of the email, one of digits and separators part of the phone; of the others the first is
-    the surname, the rest the name.
+
+def records(pieces: DataFrame, page: Sequence[str], anchors: Sequence[tuple[str, Sequence[str] | None]], placements: Sequence[tuple[str, str, str, int]], who: str, header_lines: int, pitch: float = 10.2) -> DataFrame:
+    """Printed records as rows: (page, record, number, surname, name, phone, email, fields).
+
+    Labels give columns, numbers in the first column give records, and a record's pieces its fields: one shuffle by page.
     """
-    lines = pieces.where(F.col("label") == label).groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("_p"))
-    text = F.trim(F.array_join(F.transform("_p", lambda p: p["text"]), " "))
-    kind = F.when(F.contains("_text", F.lit("@")), "email").when(F.col("_text").rlike(r"^[+\d][\d\s/().+-]*$"), "phone").otherwise("name")
-    rows = lines.withColumn("_text", text).withColumn("_kind", kind)
-    parts = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.struct("line", "_text")))), lambda p: p["_text"])
-    out = rows.groupBy(*keys).agg(parts("name").alias("_names"), F.array_join(parts("phone"), " ").alias("phone"), F.array_join(parts("email"), "").alias("email"))
-    names = F.coalesce("_names", F.array().cast("array<string>"))
-    return out.select(*keys, F.coalesce(F.get(names, 0), F.lit("")).alias("surname"), F.array_join(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), " ").alias("name"), "phone", "email")
+    first = anchors[0][0]
+    cells = anchored(not_blank(pieces), anchors, page, pitch).withColumn("_below", F.col("header_y") - ((header_lines - 1) * pitch + 4))
+    cells = cells.where(F.col("y") < F.col("_below"))
+    starts = cells.where(is_record_start(F.col("label"), F.col("y"), F.col("text"), F.col("_below"), first))
+    found = numbered_records(cells, starts, page, pitch)
+    number = F.max(F.when(F.col("is_start"), F.trim("text"))).alias("number")
+    inside = found.withColumn("label", F.when(~F.col("is_start"), F.col("label")))
+    rows = inside.groupBy(*page, "record").agg(number, _sorted_pieces().alias("_p")).withColumn("_who", _texts_of("_p", who))
+    return rows.select(*page, "record", "number", *[c.alias(n) for n, c in identity_columns(F.col("_who")).items()], *field_columns("_p", placements))
 
 
 def layout(pages: DataFrame, titles: Sequence[tuple[str, str]], book: Sequence[str]) -> DataFrame:
@@ -188,6 +283,14 @@ def page_period(pieces: DataFrame, book: Sequence[str]) -> DataFrame:
     return found.groupBy(*book).agg(first.alias("_t")).select(*book, F.regexp_extract("_t", pattern, 1).alias("first"), F.regexp_extract("_t", pattern, 2).alias("last"))
 
 
+def page_header(pieces: DataFrame, book: Sequence[str], title: str = "Stampa", left: float = 40, above: float = 500) -> DataFrame:
+    """(book, structure, first, last) of each book's first page: the first longer text in its upper left corner that isn't the title, and the period."""
+    upper = pieces.where(F.col("page") == 1).withColumn("text", F.trim("text"))
+    is_name = (F.col("x") < left) & (F.col("y") > above) & (F.length("text") > 8) & ~F.startswith("text", F.lit(title))
+    named = upper.groupBy(*book).agg(F.coalesce(F.min_by("text", F.when(is_name, F.struct(-F.col("y"), "x"))), F.lit("")).alias("structure"))
+    return named.join(page_period(upper, book), list(book), "left")
+
+
 def named_rows(rows: DataFrame, header: Sequence[str] | None, width: int) -> DataFrame:
     """Dense rows under the repeated header's names, else under ``Colonna n``."""
     from tessera.operators.mapping import densified, unique_names

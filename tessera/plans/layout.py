@@ -111,17 +111,17 @@ def line_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PIECES}, b AS (SELECT *, CASE WHEN x < 130 THEN 'a' WHEN x < 270 THEN 'b' WHEN x < 410 THEN 'c' ELSE 'd' END AS label, CAST(floor(y / 100) AS INT) AS line FROM p)
-SELECT book, page, coalesce(string_agg(text, ' ' ORDER BY line, x, text) FILTER (label = 'a'), '') AS whole, coalesce(string_agg(text, '' ORDER BY line, x, text) FILTER (label = 'b'), '') AS joined,
-coalesce(string_agg(text, ' ' ORDER BY x, text) FILTER (label = 'c' AND line = 2), '') AS third FROM b GROUP BY book, page""")
+SELECT book, page, coalesce(string_agg(text, chr(10) ORDER BY y DESC, x, text) FILTER (label = 'a'), '') AS whole, coalesce(replace(string_agg(text, '' ORDER BY y DESC, x, text) FILTER (label = 'b' AND line = 1), ' ', ''), '') AS joined,
+coalesce(string_agg(text, ' ' ORDER BY y DESC, x, text) FILTER (label = 'c' AND line = 2), '') AS third FROM b GROUP BY book, page""")
 def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of records (pages) by band and line: all lines, joined lines, one line."""
+    """Fields of records (pages) by band and line: all lines, a line joined as a number, one line."""
     x = F.col("x")
     pieces = _pieces(spark, sf_dir).withColumn("label", F.when(x < 130, "a").when(x < 270, "b").when(x < 410, "c").otherwise("d")).withColumn("line", F.floor(F.col("y") / 100).cast("int"))
-    return grid.place_fields(pieces, ["book", "page"], [("whole", "a", "all", 0), ("joined", "b", "number", 0), ("third", "c", "line", 2)])
+    return grid.place_fields(pieces, ["book", "page"], [("whole", "a", "all", 0), ("joined", "b", "number", 1), ("third", "c", "line", 2)])
 
 
-@query(f"""WITH {_PIECES}, s AS (SELECT unnest([400.0, 300.0, 200.0, 100.0]) AS top), m AS (SELECT p_partkey, y, min(top) AS top, count(*) - 1 AS record FROM p JOIN s ON s.top + 5.1 > p.y GROUP BY p_partkey, y)
-SELECT p_partkey, CAST(record AS INT) AS record, CAST(round((top - y) / 10.2) AS INT) AS line FROM m""")
+@query(f"""WITH {_PIECES}, s AS (SELECT unnest([400.0, 300.0, 200.0, 100.0]) AS top), m AS (SELECT p_partkey, y, min(top) AS top, count(*) - 1 AS record FROM p JOIN s ON s.top + 5.1 >= p.y GROUP BY p_partkey, y)
+SELECT p_partkey, CAST(record AS INT) AS record, greatest(0, CAST(round((top - y) / 10.2) AS INT)) AS line FROM m""")
 def record_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record that a piece belongs to, of four on a page, and the line within it."""
     pieces = _pieces(spark, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocks, corrections, grid, mapping, transcripts
 from tessera.plans import bookings as plan
+from tessera.plans import reports
 from tessera.sinks import delimited as delimited_sink
 from tessera.sinks import documents as document_sink
 from tessera.sinks import spreadsheet as sheet_sink
@@ -243,9 +244,9 @@ def test_grid(spark):
 
 
 def test_layout_fields(spark):
-    rows = [("b", 1, 0, "who", 0, 60.0, "ROSSI"), ("b", 1, 0, "who", 1, 60.0, "ANNA"), ("b", 1, 0, "who", 1, 90.0, "MARIA"), ("b", 1, 0, "who", 2, 60.0, "349 123"), ("b", 1, 0, "who", 3, 60.0, "a@b"), ("b", 1, 0, "who", 4, 60.0, ".it@")]
-    pieces = spark.createDataFrame(rows, "book string, page int, record int, label string, line int, x double, text string")
-    assert tuple(grid.identity_fields(pieces, ["book"], "who").first())[1:] == ("ROSSI", "ANNA MARIA", "349 123", "a@b.it@")
+    rows = [("b", 0, "who", 60.0, 100.0, "ROSSI"), ("b", 0, "who", 60.0, 90.0, "ANNA"), ("b", 0, "who", 90.0, 90.0, " MARIA "), ("b", 0, "who", 60.0, 80.0, "0341"), ("b", 0, "who", 60.0, 70.0, "a@b"), ("b", 0, "who", 60.0, 60.0, ".it@"), ("b", 0, "who", 60.0, 50.0, "12 34"), ("c", 0, "who", 60.0, 50.0, "x@y"), ("c", 0, "who", 60.0, 40.0, "VERDI"), ("d", 0, "else", 1.0, 1.0, "x")]
+    pieces = spark.createDataFrame(rows, "book string, record int, label string, x double, y double, text string").withColumn("line", F.lit(0))
+    assert {tuple(r) for r in grid.identity_fields(pieces, ["book"], "who").collect()} == {("b", "ROSSI", "ANNA MARIA", "0341 12 34", "a@b.it@"), ("c", "", "VERDI", "", "x@y"), ("d", "", "", "", "")}
     pages = spark.createDataFrame([("b", 1, 700.0, "Stampa arrivi"), ("b", 1, 650.0, "Dal 01/06/2026 al 30/06/2026"), ("c", 1, 1.0, "altro")], "book string, page int, y double, text string")
     assert {r.book: r.layout for r in grid.layout(pages.groupBy("book", "page").agg(F.array_join(F.collect_list("text"), " ").alias("text")), [("x", "Stampa x"), ("arrivi", "Stampa arrivi")], ["book"]).collect()} == {"b": "arrivi", "c": None}
     assert tuple(grid.page_period(pages, ["book"]).first()) == ("b", "01/06/2026", "30/06/2026")
@@ -256,6 +257,46 @@ def test_layout_fields(spark):
     assert {r.text: (r.record, r.line) for r in grid.record_bands(marks, starts, ["book"]).collect()} == {"a": (0, 0), "b": (0, 1), "c": (1, 0), "d": (1, 1)}
 
 
+PIECES = "book string, page int, x double, y double, text string"
+
+
+def printed(book, layout, places, records, page=1, title=True, missing=()):
+    """Pieces of a page of a report: records are lists of (key, dx, dy, text)."""
+    out = [(book, page, 300.0, 580.0, layout.title)] if title else []
+    out += [(book, page, x, 540.0 - 3.4 * (k == "caparre"), labels[-1]) for (k, labels), x in zip(layout.anchors, places) if labels and k not in missing]
+    x_of = dict(zip([k for k, _ in layout.anchors], places))
+    for n, cells in enumerate(records):
+        out += [(book, page, x_of[k] + dx, 480.0 - 60 * n - dy, text) for k, dx, dy, text in cells]
+    return out
+
+
+def test_report_pages(spark):
+    """Missing and vertical labels, labels elsewhere, starts closer than a line, and pieces above all starts."""
+    places = [20.0, 70.0, 190.0, 260.0, 300.0, 340.0, 450.0, 540.0, 620.0, 700.0, 800.0]
+    first = [("npren", 0, 0, "4.871"), ("npren", 1, 10.2, "01/05/26"), ("cognome", 0, 4.9, "ROSSI"), ("cognome", 0, 10, "ANNA"), ("pax", 0, 0, "3"), ("importo", 0, 0, "1"), ("importo", 9, 0, ".490,20"), ("importo", 0, 10.2, "9,00"), ("commenti", 0, 10, "due"), ("commenti", 0, 0, "uno "), ("camera", 0, -5.1, "7"), ("camera", 0, -5.2, "zz")]
+    second = [("npren", 0, 0, "999"), ("npren", 0, 30, "x1234"), ("cognome", 0, 0, "VERDI"), ("arrivo", 0, 41, "02/06/2026")]
+    near = [("npren", 0, 0, "100200"), ("npren", 0, 4.0, "100300"), ("cognome", 0, 4.0, "NERI")]
+    pieces = printed("a", reports.GUESTS, places, [first, second, near]) + [("a", 1, 22.0, 530.0, "123456"), ("a", 1, 600.0, 300.0, "Cam.")]
+    pieces += printed("a", reports.GUESTS, places, [second], page=2, title=False, missing=("importo",)) + printed("a", reports.GUESTS, places, [], page=3, title=False) + [("a", 4, 1.0, 1.0, "fine")]
+    guests = [("npren", 0, 0, "555"), ("ospiti", 0, 0, "2"), ("ospiti", 0, 10, "1"), ("trattamento", 0, 30.6, "Doppia"), ("caparre", 0, 0, "5,00"), ("caparre", 0, 10, "6,00")]
+    pieces += printed("b", reports.RESERVATIONS, places, [guests]) + [("b", 1, 400.0, 200.0, "A")] + [("c", 1, 300.0, 580.0, "Altro")] + [("d", 1, 0.0, 0.0, None), ("d", 1, 0.0, 0.0, " ")]
+    found = {(r.book, r.page, r.ordinal): r for r in reports.report_guests(spark.createDataFrame(pieces, PIECES)).collect()}
+    assert sorted(found) == [("a", 1, 0), ("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("b", 1, 0)]
+    r = found["a", 1, 0]
+    assert (r.npren, r.data, r.cognome, r.nome, r.pax, r.importo, r.tassa_sogg, r.commenti, r.camera) == ("4.871", "01/05/26", "ROSSI", "ANNA", "3", "1.490,20", "9,00", "uno\ndue", "7")
+    r = found["a", 1, 1]
+    assert (r.npren, r.cognome, r.nome, r.arrivo, r.partenza, r.data) == ("999", "VERDI", "", "", "", "")
+    assert [(found["a", 1, k].npren, found["a", 1, k].cognome) for k in (2, 3)] == [("100200", ""), ("100300", "NERI")]
+    r = found["b", 1, 0]
+    assert (r.npren, r.adulti, r.bambini, r.neonati, r.tipo_camera, r.caparre, r.acconti) == ("555", "2", "1", "", "Doppia", "5,00", "6,00")
+    rows, said = reports.report_bookings(spark.createDataFrame(pieces, PIECES))
+    assert {(r.id, r.prezzo_retta, r.adulti) for r in rows.collect()} == {(4871, 1490.2, 1), (999, None, 1), (100200, None, 1), (100300, None, 1), (555, None, 2)}
+    assert said.where("npren = '4.871' AND reason LIKE 'Pax%'").count() == 1
+    assert reports.report_guests(spark.createDataFrame([], PIECES)).count() == 0
+    header = grid.page_header(spark.createDataFrame([("a", 1, 10.0, 560.0, "Stampa clienti presenti"), ("a", 1, 10.0, 550.0, "Albergo Due"), ("a", 2, 10.0, 570.0, "Albergo Tre"), ("b", 1, 10.0, 100.0, "Dal 01/06/2026 al 30/06/2026")], PIECES), ["book"])
+    assert {tuple(r) for r in header.collect()} == {("a", "Albergo Due", None, None), ("b", "", "01/06/2026", "30/06/2026")}
+
+
 def test_plain_text(spark):
     read = markdown.read_markdown(spark.createDataFrame([(1, "# Uno\n\nuno due tre quattro\n\n1. a\n")], "doc_id long, text string"))
     assert blocks.plain_text(blocks.list_numbers(read), width=10).first().text == "Uno\n===\n\nuno due\ntre\nquattro\n\n1. a"

@@ -7,12 +7,15 @@ places that text covers are shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lookups, texts
 from tessera.operators import folds
+from tessera.operators.mapping import unique_header
+from tessera.sinks.scratch import written
 
 
 def estimated_width(c: Column, font: Column) -> Column:
@@ -92,8 +95,8 @@ def assign_columns(pieces: DataFrame, boundaries: DataFrame, book: Sequence[str]
 
 
 def cells(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pieces of a row and column as one text, left to right."""
-    listed = F.array_sort(F.collect_list(F.struct("x", "text")))
+    """Pieces of a row and column as one text, from the top down, then left to right."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "text")))
     return pieces.groupBy(*keys, "row", "column").agg(F.array_join(F.transform(listed, lambda p: p["text"]), " ").alias("text"))
 
 
@@ -102,10 +105,73 @@ def sparse_rows(cell_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cell_rows.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("cells"))
 
 
-def repeated_header(rows: DataFrame, book: Sequence[str], first_data_y: str = "data_y") -> DataFrame:
-    """Of the recurring rows above the data of page 1, the one that fills most columns; ties go to the last."""
-    above = rows.where((F.col("page") == 1) & (F.col("y") > F.col(first_data_y)))
-    return above.groupBy(*book).agg(F.max_by("cells", F.struct(F.size("cells"), F.col("row"))).alias("header"))
+def repeated_header(rows: DataFrame, book: Sequence[str]) -> DataFrame:
+    """(book, header): of the recurring rows of page 1 that stand above its first other row, the one that fills most columns; ties go to the last.
+
+    Rows have ``recurs``, ``row``, ``y`` and ``cells`` (a map).
+    """
+    first = rows.where(F.col("page") == 1)
+    data_y = F.max(F.when(~F.col("recurs"), F.col("y"))).over(Window.partitionBy(*book))
+    above = first.withColumn("_data_y", data_y).where(F.col("recurs") & (F.col("y") > F.coalesce("_data_y", F.lit(float("-inf")))))
+    return above.groupBy(*book).agg(F.max_by("cells", F.struct(F.size("cells"), "row")).alias("header"))
+
+
+@dataclass(frozen=True)
+class Found:
+    """A book's table: rows (book, page, row, cells as an array), columns (book, names, n_columns), and what recurs (book, signature, n_pages)."""
+
+    rows: DataFrame
+    columns: DataFrame
+    repeated: DataFrame
+
+
+def tables(pieces: DataFrame, book: Sequence[str], corridor: float = 6.0, named: bool = True, skip_repeated: bool = True) -> Found:
+    """The table of each book of positioned pieces (book, page, x, y, text, width), in two passes.
+
+    The first finds the lines that recur from page to page; the second the corridors between columns, of all other lines.
+    named: columns have the names of the repeated header; if no header recurs, those of the first data row, which then is no
+    data; else they are ``Colonna n``. Without skip_repeated, recurring lines are data too. Blank rows are left out.
+    """
+    page = [*book, "page"]
+    placed = written(cluster_rows(not_blank(pieces), page), "table-pieces")
+    down = F.struct((-F.col("y")).alias("down"), "x", "text")
+    lines = placed.groupBy(*page, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(down)), lambda p: p["text"]), " ").alias("text"), F.count("*").alias("pieces"), F.max("y").alias("y"))
+    lines = written(line_signatures(lines, []), "table-lines")
+    repeated = written(recurring(lines, book, "page"), "table-repeated")
+    either = [repeated.select(*book, F.col("signature").alias(c), F.lit(True).alias(f"_{c}")) for c in ("signature", "digit_signature")]
+    marked = lines.join(either[0], [*book, "signature"], "left").join(either[1], [*book, "digit_signature"], "left")
+    marked = written(marked.select(*page, "row", "y", F.coalesce("_signature", "_digit_signature", F.lit(False)).alias("recurs")), "table-marks")
+    pieces = placed.join(marked.select(*page, "row", "recurs"), [*page, "row"])
+    bounds = written(corridors(pieces.where("NOT recurs"), book, corridor), "table-bounds")
+    widths = placed.select(*book).distinct().join(bounds.groupBy(*book).agg(F.count("*").alias("_n")), list(book), "left")
+    widths = widths.select(*book, (F.coalesce("_n", F.lit(0)) + 1).cast("int").alias("n_columns"))
+    sparse = sparse_rows(cells(assign_columns(pieces, bounds, book), page), page).join(marked, [*page, "row"])
+    sparse = written(sparse, "table-rows")
+    data = sparse.where(~F.col("recurs")) if skip_repeated else sparse
+    header = widths
+    if named:
+        above = repeated_header(sparse, book) if skip_repeated else repeated_header(sparse.limit(0), book)
+        head_row = data.groupBy(*book).agg(F.min_by(F.struct("page", "row", "cells"), F.struct("page", "row")).alias("_first"))
+        header = widths.join(above, list(book), "left").join(head_row, list(book), "left")
+        header = header.withColumns({"cells": F.coalesce("header", "_first.cells"), "_used": F.when(F.col("header").isNull(), F.struct("_first.page", "_first.row"))})
+        data = data.join(header.where("_used IS NOT NULL").select(*book, F.col("_used.page").alias("page"), F.col("_used.row").alias("row")), [*page, "row"], "left_anti")
+        names = unique_header(F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(""))))
+    else:
+        names = unique_header(F.array_repeat(F.lit(""), F.col("n_columns")))
+    columns = written(header.select(*book, names.alias("names"), "n_columns"), "table-columns")
+    dense = F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit("")))
+    rows = data.join(columns, list(book)).select(*page, "row", dense.alias("cells"))
+    return Found(rows.where(F.trim(F.array_join("cells", "")) != ""), columns, repeated)
+
+
+def named_table(found: Found, book: dict[str, object]) -> DataFrame:
+    """One book's rows under its own column names, in order by page and row."""
+    own = F.lit(True)
+    for c, value in book.items():
+        own &= F.col(c).eqNullSafe(F.lit(value))
+    names = found.columns.where(own).first()
+    rows = found.rows.where(own)
+    return rows.select("page", "row", *[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names.names if names else [])])
 
 
 def anchor_bands(anchors: DataFrame, book: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,16 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
+def unique_header(names: Column) -> Column:
+    """``unique_names`` on a column of header rows."""
+
+    @F.arrow_udf("array<string>")
+    def unique(rows: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unique_names([n or "" for n in x]) for x in rows.to_pylist()], pa.list_(pa.string()))
+
+    return unique(names)
+
+
 def checked(mapping: Sequence[MappedColumn], header: Sequence[str]) -> list[MappedColumn]:
     """Nameless columns dropped, long names and values cut, unknown kinds as text; the identity if nothing is left."""
     out = [

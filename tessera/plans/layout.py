@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import texts
 from tessera.operators import blocks, grid
 from tessera.plans.registry import query, table
+from tessera.sinks.scratch import written
 
 _PIECES = """p AS (SELECT p_partkey, p_size % 4 AS book, p_partkey % 25 AS page, CAST(p_partkey * 7 % 400 AS DOUBLE) + (p_partkey % 10) / 10.0 AS y,
 CAST(60 + 140 * (p_partkey % 4) + p_partkey % 9 AS DOUBLE) AS x, p_brand AS text, len(p_brand) * 9 * 0.5 AS width, CAST(p_size % 5 + 8 AS DOUBLE) AS font_size FROM part)"""
@@ -153,3 +154,39 @@ def page_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Periodo: dal "), day(F.col("o_orderdate")), F.lit(" al "), day(F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")))
     pieces = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 3).alias("page"), F.col("o_orderkey").alias("y"), text.alias("text"))
     return grid.page_period(pieces, ["o_custkey"])
+
+
+_ROWS = """c AS (SELECT *, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS rn FROM customer)"""
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as ten printed lists, three to a page, in four columns, with page numbers.
+
+    Lists of even number repeat title and header on each page, the others print their header once.
+    """
+    w = Window.partitionBy("book").orderBy("c_custkey")
+    rows = table(spark, sf_dir, "customer").withColumn("book", F.col("c_custkey") % 10).withColumn("rn", F.row_number().over(w))
+    rows = rows.withColumns({"page": F.expr("cast((rn - 1) div 3 as int) + 1"), "y": 700.0 - 20 * ((F.col("rn") - 1) % 3)})
+    at = lambda x, y, t: F.struct(F.lit(x).alias("x"), y.alias("y"), t.alias("text"))
+    y = F.col("y")
+    money = F.concat(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), F.lit(" EUR"))
+    name = F.split("c_name", "#")
+    data = F.array(at(60.0, y, F.concat(F.lit("C-"), F.col("c_custkey").cast("string"))), at(200.0, y - 1, F.get(name, 0)), at(238.0, y - 1.5, F.coalesce(F.get(name, 1), F.lit(" "))), at(400.0, y, F.when(F.col("rn") % 4 == 0, " ").otherwise(F.col("c_mktsegment"))), at(520.0, y + 1, money))
+    top = lambda v: F.lit(v).cast("double")
+    pages = rows.select("book", "page").distinct()
+    title = F.array(at(250.0, top(780), F.when(F.col("book") % 2 == 0, "Elenco clienti").otherwise(" ")), at(290.0, top(30), F.concat(F.lit("Pagina "), F.col("page").cast("string"))))
+    header = F.array(at(60.0, top(740), F.lit("Codice")), at(200.0, top(740), F.lit("Nome")), at(400.0, top(740), F.lit("Nome")))
+    heads = pages.where((F.col("book") % 2 == 0) | (F.col("page") == 1)).select("book", "page", F.inline(header))
+    out = rows.select("book", "page", F.inline(data)).unionByName(pages.select("book", "page", F.inline(title))).unionByName(heads)
+    return out.withColumn("width", grid.estimated_width(F.col("text"), F.lit(9)))
+
+
+@query(rf"""WITH {_ROWS}, v AS (SELECT c_custkey % 10 AS book, CAST((rn - 1) // 3 AS INT) + 1 AS page, rn, unnest(['Codice', 'Nome', 'Nome (2)', 'Colonna 4']) AS name,
+unnest(['C-' || c_custkey, replace(c_name, '#', ' '), CASE WHEN rn % 4 = 0 THEN '' ELSE c_mktsegment END, CAST(c_acctbal AS DECIMAL(12,2)) || ' EUR']) AS value FROM c)
+SELECT book, page, CAST(row_number() OVER (PARTITION BY book, name ORDER BY rn) AS BIGINT) AS line, name, value FROM v""")
+def piece_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables out of printed lists: named by a repeated header, or by the first row."""
+    found = grid.tables(written(_listing(spark, sf_dir), "list-pieces"), ["book"])
+    w = Window.partitionBy("book").orderBy("page", "row")
+    rows = found.rows.withColumn("line", F.row_number().over(w).cast("long")).join(found.columns, "book")
+    return rows.select("book", "page", "line", F.inline(F.arrays_zip(F.col("names").alias("name"), F.col("cells").alias("value"))))

@@ -354,3 +354,30 @@ def test_stage_that_fails(spark, folder):
         f.write("broken")
     with pytest.raises(Exception):
         staged.run(spark, f"{folder}/in", "id long", f"{folder}/out", f"{folder}/c", files_per_stage=1)
+
+
+def test_piece_tables(spark):
+    """Header repeated, printed once, or none; a recurring page number inside the width; a book of two pages; nulls and blanks."""
+    def page(book, number, rows, header, at=720.0):
+        out = [(book, number, 60.0, 780.0, "Elenco articoli")] * (book != "b") + [(book, number, 150.0, 30.0, f"Pagina {number}")]
+        if header:
+            out += [(book, number, 60.0, 750.0, "Listino 2026"), *[(book, number, x, 740.0, t) for x, t in ((60.0, "Codice"), (300.0, "Codice"))]]
+        return out + [(book, number, x, at - 20 * k, t) for k, cells in enumerate(rows) for x, t in zip((60.0, 200.0, 300.0), cells)]
+
+    pieces = [p for n in range(1, 5) for p in page("a", n, [(f"A{n}", f"b{n}", f"c{n}"), ("D" + "xyzw"[n - 1], "", "e")], True)]
+    pieces += [p for n in range(1, 5) for p in page("b", n, [(f"A{n}x", f"b{n}", f"c{n}")], n == 1)]
+    pieces += [p for n in (1, 2) for p in page("c", n, [("x", "y", "z")], False)] + [("d", 1, 10.0, 10.0, None), ("d", 1, 10.0, 10.0, " ")]
+    df = spark.createDataFrame(pieces, PIECES).withColumn("width", grid.estimated_width(F.col("text"), F.lit(9)))
+    found = grid.tables(df, ["book"])
+    names = {r.book: (r.names, r.n_columns) for r in found.columns.collect()}
+    assert names == {"a": (["Codice", "Colonna 2", "Codice (2)"], 3), "b": (["Listino 2026", "Colonna 2", "Colonna 3"], 3), "c": (["Elenco articoli", "Colonna 2", "Colonna 3", "Colonna 4"], 4)}
+    rows = {b: [r.cells for r in found.rows.where(F.col("book") == b).orderBy("page", "row").collect()] for b in "abc"}
+    assert rows["a"] == [c for n in range(1, 5) for c in ([f"A{n}", f"b{n}", f"c{n}"], ["D" + "xyzw"[n - 1], "", "e"])]
+    assert rows["b"][0] == ["Codice", "", "Codice"] and rows["b"][1:] == [[f"A{n}x", f"b{n}", f"c{n}"] for n in range(1, 5)]
+    assert len(rows["c"]) == 5  # two pages: nothing recurs, the first row gives the name
+    assert {r.signature for r in found.repeated.where("book = 'b'").collect()} == {"pagina #"}
+    table = grid.named_table(found, {"book": "a"})
+    assert table.columns == ["page", "row", "Codice", "Colonna 2", "Codice (2)"] and table.count() == 8
+    plain = grid.tables(df, ["book"], named=False, skip_repeated=False)
+    assert plain.rows.where("book = 'a'").count() == 24 and plain.columns.where("book = 'a'").first().names == ["Colonna 1", "Colonna 2", "Colonna 3"]
+    assert grid.tables(df.limit(0), ["book"]).rows.count() == 0

@@ -21,9 +21,10 @@ _ITEM_LINE = r"(?m)^([ \t]*(?:[-*•]|\d+[.)])[ \t]+.*)$"
 def flat_blocks(text: Column) -> Column:
     """Array of struct(kind, level, ordered, text) of a plain text: blank lines end a paragraph, list lines are items.
 
-    All in one row: separators are put round list lines, and the text is cut at them and at blank lines.
+    All in one row: separators (U+0001, which the text itself loses) are put round list lines, and the text is cut at them and
+    at blank lines.
     """
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _ITEM_LINE, "\x01$1\x01")
+    marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x01"), F.lit("")), _ITEM_LINE, "\x01$1\x01")
     parts = F.split(F.regexp_replace(marked, r"\n[ \t\r]*\n", "\x01"), "\x01")
     parts = F.filter(parts, lambda p: squeezed(p) != "")
 

@@ -107,7 +107,7 @@ def note_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.is_portal_note(F.col("text")).alias("portal"))
 
 
-_BLOCKS = r"""m AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^([ \t]*(?:[-*•]|\d+[.)])[ \t]+.*)$', chr(1) || '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g') AS t FROM documents),
+_BLOCKS = r"""m AS (SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(1), ''), '(?m)^([ \t]*(?:[-*•]|\d+[.)])[ \t]+.*)$', chr(1) || '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g') AS t FROM documents),
 q AS (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS parts FROM m),
 b AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: struct_pack(kind := CASE WHEN regexp_matches(ltrim(regexp_replace(p, '^\n+', ''), ' '), '^([-*•·]|\d+[.)])\s+') THEN 'list' ELSE 'paragraph' END,
 level := CASE WHEN regexp_matches(ltrim(regexp_replace(p, '^\n+', ''), ' '), '^([-*•·]|\d+[.)])\s+') THEN len(regexp_extract(regexp_replace(p, '^\n+', ''), '^([ \t]*)', 1)) // 2 ELSE 0 END, ordered := regexp_matches(ltrim(p, ' '), '^\d'),

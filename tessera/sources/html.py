@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import charsets
 from tessera.sources.runs import BLOCK_SCHEMA, Run, batch, merged, plain, squeezed
 
 SKIPPED = {"script", "style", "noscript", "template", "svg"}
@@ -33,6 +34,7 @@ class _Blocks(HTMLParser):
         self.looks: list[str] = []
         self.links: list[str] = []
         self.table: list[list[str]] | None = None
+        self.inner = 0  # tables inside the table's cells, whose texts are the cell's
 
     def say(self, text: str) -> None:
         on = {LOOKS[t] for t in self.looks}
@@ -75,15 +77,20 @@ class _Blocks(HTMLParser):
             self.flush()
             names = dict(attrs)
             self.out.append(("image", 0, False, names.get("alt") or "", None, names.get("src") or "", []))
-        elif tag == "table" and self.table is None:
+        elif tag == "table":
             self.flush()
-            self.table = []
+            if self.table is None:
+                self.table = []
+            else:
+                self.inner += 1
         elif tag == "tr" and self.table is not None:
             self.flush()
-            self.table.append([])
+            if not self.inner:
+                self.table.append([])
         elif tag in ("td", "th") and self.table:
             self.flush()
-            self.table[-1].append("")
+            if not self.inner:
+                self.table[-1].append("")
         elif tag in ("ul", "ol"):
             self.flush()
             self.lists.append(tag == "ol")
@@ -107,6 +114,9 @@ class _Blocks(HTMLParser):
             self.links = self.links[:-1]
         elif tag == "table" and self.table is not None:
             self.flush()
+            if self.inner:
+                self.inner -= 1
+                return
             rows, self.table = [r for r in self.table if any(r)], None
             if rows:
                 self.out.append(("table", 0, False, " ".join(c for r in rows for c in r if c), rows, "", []))
@@ -135,10 +145,11 @@ def page_blocks(html: str | None) -> list[tuple]:
 
 
 def read_html(pages: DataFrame) -> DataFrame:
-    """Blocks of ``pages(doc_id, html)``, with runs."""
+    """Blocks of ``pages(doc_id, html)``, with runs. Pages that aren't UTF-8 are read in the set they declare, else as Windows-1252."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield batch([(d, k, *b) for d, h in zip(part.column(0).to_pylist(), part.column(1)) for k, b in enumerate(page_blocks(h.as_py()))])
 
-    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "html").mapInArrow(run, BLOCK_SCHEMA)
+    text = charsets.repaired(F.col("html"), page=True).alias("html")
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, BLOCK_SCHEMA)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import charsets
 from tessera.operators import blocks
 from tessera.sources import captions, delimited, html, markdown, spreadsheet
 
@@ -23,9 +24,10 @@ REFUSED = {
 }
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text) of whole files; the id is a hash of the path."""
-    return spark.read.option("wholetext", True).text(path).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
+def _texts(spark: SparkSession, path: str, page: bool = False) -> DataFrame:
+    """(doc_id, text) of whole files, in whatever character set; the id is a hash of the path."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.xxhash64("path").alias("doc_id"), charsets.as_text(F.col("content"), page).alias("text"))
 
 
 def _plain(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +38,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **dict.fromkeys(("csv", "tsv", "tab"), delimited.read_delimited),
     "xlsx": spreadsheet.read_sheets,
     **dict.fromkeys(("srt", "vtt", "sbv"), lambda spark, path: captions.read_captions(_texts(spark, path))),
-    **dict.fromkeys(("html", "htm", "xhtml"), lambda spark, path: html.read_html(_texts(spark, path).withColumnRenamed("text", "html"))),
+    **dict.fromkeys(("html", "htm", "xhtml"), lambda spark, path: html.read_html(_texts(spark, path, page=True).withColumnRenamed("text", "html"))),
     **dict.fromkeys(("md", "markdown"), lambda spark, path: markdown.read_markdown(_texts(spark, path))),
     "txt": _plain,
 }

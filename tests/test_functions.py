@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import texts, values
+from tessera.functions import charsets, texts, values
 
 
 def one(spark, column):
@@ -22,7 +22,7 @@ def one(spark, column):
         (values.clock_seconds, "01:02:03,500", 3723.5), (values.column_index, "AA", 26),
         (texts.signature, "  Pagina   1 ", "pagina 1"), (texts.escaped, "a<b>&\"'", "a&lt;b&gt;&amp;&quot;&#39;"),
         (texts.room_category, "[ Camera Matrimoniale - Single Use ]", "Camera Matrimoniale"), (texts.room_category, "[ altro ]", None),
-        (texts.rtf_escaped, "a{è", "a\\{\\u232?"), (texts.declared_charset, '<meta charset="ISO-8859-1">', "iso-8859-1"),
+        (texts.rtf_escaped, "a{è", "a\\{\\u232?"), (charsets.declared, '<meta charset="ISO-8859-1">', "iso-8859-1"),
         (texts.unescaped, "&#8364; &uuml; &#xe8; &amp;lt; &nosuch; a&b &#0; &", "€ ü è &lt; &nosuch; a&b &#0; &"), (texts.rtf_escaped, "\uff21\U0001f600", "\\u-223?\\u-10179?\\u-8704?"),
         (texts.comment, "&amp;lt;b&amp;gt;ciao&amp;lt;/b&amp;gt;<br>due\n tre", "ciao due tre"),
     ],

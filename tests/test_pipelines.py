@@ -354,6 +354,65 @@ def test_stage_that_fails(spark, folder):
         f.write("broken")
     with pytest.raises(Exception):
         staged.run(spark, f"{folder}/in", "id long", f"{folder}/out", f"{folder}/c", files_per_stage=1)
+    os.remove(f"{folder}/in/part-zz.snappy.parquet")
+
+
+def test_stages_shrink(spark, folder):
+    """Parts over three files fail: the same stage goes on with smaller ones, and no row is there twice."""
+    spark.range(0, 1600, 1, 16).write.parquet(f"{folder}/in")
+    tried = []
+
+    def picky(df):
+        tried.append(len(df.inputFiles()))
+        if tried[-1] > 3:
+            raise ValueError("too many files")
+        return df.withColumn("twice", F.col("id") * 2)
+
+    done = staged.run(spark, f"{folder}/in", "id long", f"{folder}/out", f"{folder}/c", picky, files_per_stage=8)
+    assert tried[:4] == [8, 4, 2, 2] and max(tried[2:]) == 2 and {d["stage"] for d in done} == {0, 1} and sum(d["rows"] for d in done) == 1600
+    assert staged.result(spark, f"{folder}/out").agg(F.count("*"), F.count_distinct("id"), F.sum("twice")).first() == (1600, 1600, 1599 * 1600)
+
+
+def test_stage_done_again(spark, folder):
+    """A stage that died half way through its parts, then again before it was committed, is replaced as a whole."""
+    spark.range(0, 400, 1, 4).write.parquet(f"{folder}/in")
+    state = {"calls": 0}
+
+    def dies(df):
+        state["calls"] += 1
+        if 2 <= state["calls"] <= 3:  # the second part, then a single file of it
+            raise ValueError("lost")
+        return df
+
+    sink = staged.Stages(f"{folder}/out", "id long", "parquet", dies, 2)
+    with pytest.raises(Exception):
+        staged.ingest(spark, f"{folder}/in", f"{folder}/c", sink, 4).awaitTermination()
+    assert not os.path.exists(f"{folder}/out/stage=0")
+    staged.ingest(spark, f"{folder}/in", f"{folder}/c", sink, 4).awaitTermination()
+    assert staged.result(spark, f"{folder}/out").agg(F.count("*"), F.count_distinct("id")).first() == (400, 400)
+    again = spark.createDataFrame([(f"file:{folder}/in/{x}",) for x in os.listdir(f"{folder}/in") if x.endswith(".parquet")], "path string")
+    sink(again, 0)
+    assert staged.result(spark, f"{folder}/out").agg(F.count("*"), F.count_distinct("id")).first() == (400, 400)
+
+
+def test_one_writer(spark, folder):
+    import threading
+
+    spark.range(4).repartition(2).write.parquet(f"{folder}/in")
+    hold = threading.Event()
+
+    def slow(df):
+        hold.wait(60)
+        return df
+
+    first = staged.ingest(spark, f"{folder}/in", f"{folder}/c", staged.Stages(f"{folder}/out", "id long", "parquet", slow, 9))
+    try:
+        with pytest.raises(Exception, match="(?i)same id|already active|concurrent"):
+            staged.ingest(spark, f"{folder}/in", f"{folder}/c", staged.Stages(f"{folder}/out", "id long", "parquet", lambda df: df, 9)).awaitTermination()
+    finally:
+        hold.set()
+        first.awaitTermination()
+    assert staged.result(spark, f"{folder}/out").count() == 4
 
 
 def test_piece_tables(spark):

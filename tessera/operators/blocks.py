@@ -238,30 +238,59 @@ def most_frequent(values: DataFrame, keys: Sequence[str], value: str, order: str
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_at", value)).alias(out))
 
 
-def wrapped(text: Column, width: int = 78) -> Column:
-    """Lines of at most ``width`` characters, filled greedily; longer words stand alone."""
+def wrapped(text: Column, width: int = 78, lead: Column | int = 0) -> Column:
+    """Lines of at most ``width`` characters, filled greedily; longer words stand alone. ``lead``: characters before the first line."""
     zero = F.array().cast("array<string>")
+    lead = lead if isinstance(lead, Column) else F.lit(lead)
 
     def step(acc, word):
         last = F.get(acc, F.size(acc) - 1)
-        fits = (F.size(acc) > 0) & (F.length(last) + 1 + F.length(word) <= width)
+        used = F.length(last) + F.when(F.size(acc) == 1, lead).otherwise(0)
+        fits = (F.size(acc) > 0) & (used + 1 + F.length(word) <= width)
         return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, word)))).otherwise(F.concat(acc, F.array(word)))
 
     return F.aggregate(words(text), zero, step)
 
 
+def aligned_table(rows: Column) -> Column:
+    """Rows (array of arrays of cells) as lines of text: columns as wide as their widest cell, two spaces apart, the first row underlined."""
+    cell = lambda r, k: F.coalesce(F.get(r, k), F.lit(""))
+    last = F.array_max(F.transform(rows, lambda r: F.size(r))) - 1
+    widths = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_max(F.transform(rows, lambda r: F.length(cell(r, k)))))
+
+    def table(widths):
+        line = lambda r: F.rtrim(F.array_join(F.transform(widths, lambda w, k: F.rpad(cell(r, k), w, " ")), "  "))
+        rule = F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("─"), w)), "  ")
+        lines = F.transform(rows, line)
+        return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+
+    # the widths are bound once, as the only element of an array
+    return F.when(last >= 0, F.get(F.transform(F.array(widths), table), 0)).otherwise("")
+
+
 def plain_text(blocks: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "block_no", width: int = 78) -> DataFrame:
-    """(keys, text): each document as plain text, titles underlined, lines filled. Blocks have ``number``."""
-    lead = F.when(F.col("kind") == "list", F.concat(F.repeat(F.lit("  "), F.col("level")), F.when(F.col("ordered"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- "))).otherwise("")
-    lead = F.when(F.col("kind") == "quote", "| ").otherwise(lead)
-    filled = F.array_join(wrapped(F.col("text"), width), "\n")
+    """(keys, text): each document as plain text, titles underlined, lines filled, tables aligned, a blank line between blocks.
+
+    Blocks have ``number`` where ordered (``list_numbers``); ``rows`` and ``extra`` are used where they are there.
+    """
+    kind, level, plain = F.col("kind"), F.col("level"), F.coalesce("text", F.lit(""))
+    indent = F.repeat(F.lit("  "), level)
+    mark = F.when(F.col("ordered"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("· ")
+    lead = F.when(kind == "list", F.concat(indent, mark)).when(kind == "quote", F.repeat(F.lit(" "), F.lit(4))).otherwise("")
+    hang = F.when(kind == "list", F.concat(indent, F.lit("   "))).when(kind == "quote", F.repeat(F.lit(" "), F.lit(4))).otherwise("")
+    filled = F.concat(lead, F.replace(F.array_join(wrapped(plain, width, F.length(lead)), "\n"), F.lit("\n"), F.concat(F.lit("\n"), hang)))
+    under = lambda sign: F.concat(F.lit("\n"), F.repeat(F.lit(sign), F.least(F.length(plain), F.lit(width))))
+    title = F.when(level <= 1, F.concat(F.upper(plain), under("═"))).when(level == 2, F.concat(plain, under("─"))).otherwise(F.concat(F.repeat(F.lit("  "), level - 3), plain))
+    name = F.when(plain != "", plain).otherwise(F.substring_index("extra", "/", -1) if "extra" in blocks.columns else plain)
     body = (
-        F.when(F.col("kind") == "title", F.concat(filled, F.lit("\n"), F.repeat(F.when(F.col("level") <= 1, "=").otherwise("-"), F.least(F.length("text"), F.lit(width)))))
-        .when(F.col("kind") == "rule", F.repeat(F.lit("-"), F.lit(width)))
-        .when(F.col("kind") == "code", F.concat(F.lit("    "), F.replace("text", F.lit("\n"), F.lit("\n    "))))
-        .otherwise(F.concat(lead, filled))
+        F.when(kind == "title", title)
+        .when(kind == "rule", F.repeat(F.lit("─"), F.lit(width)))
+        .when(kind == "code", F.concat(F.lit("    "), F.replace(plain, F.lit("\n"), F.lit("\n    "))))
+        .when(kind == "image", F.concat(F.lit("[immagine: "), name, F.lit("]")))
     )
-    listed = F.array_sort(F.collect_list(F.struct(order, body.alias("_body"))))
+    if "rows" in blocks.columns:
+        body = body.when((kind == "table") & (F.size("rows") > 0), aligned_table(F.col("rows")))
+    listed = F.array_sort(F.collect_list(F.struct(order, body.otherwise(filled).alias("_body"))))
     return blocks.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["_body"]), "\n\n").alias("text"))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import texts, values
 from tessera.operators import blocks, transcripts
 from tessera.plans.registry import query, table
-from tessera.sources import html
+from tessera.sinks import documents as document_sink
+from tessera.sinks import scratch
+from tessera.sources import datasource, html
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +68,11 @@ def reading_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH m AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '>> ANNA B.: ' WHEN 1 THEN '<v.loud Carlo Rossi>' ELSE '- ' END || text AS c FROM conversations),
-l AS (SELECT *, trim(regexp_extract(c, '<v(\.[^\s>]+)*\s+([^>]+)>', 2)) AS voice, regexp_replace(trim(c), '^(>>+\s*)?(-\s+)?', '') AS line FROM m),
-n AS (SELECT *, regexp_extract(line, '^(\p{Lu}[\p{Lu}\p{Nd}\s.''’-]{0,28}):\s', 1) AS name FROM l),
-o AS (SELECT *, len(trim(name)) >= 2 AND len(string_split_regex(trim(name), '\s+')) <= 4 AS named FROM n)
+l AS (SELECT *, CASE WHEN turn % 3 = 1 THEN 'Carlo Rossi' ELSE trim(regexp_extract(c, 'VOICE', 1)) END AS voice, CASE WHEN starts_with(c, '>> ') THEN ltrim(substr(c, 4)) WHEN starts_with(c, '- ') THEN ltrim(substr(c, 3)) ELSE trim(c) END AS line FROM m),
+n AS (SELECT *, CASE WHEN contains(line, ':') AND regexp_matches(substr(line, instr(line, ':') + 1), '^\s') THEN split_part(line, ':', 1) ELSE '' END AS name FROM l),
+o AS (SELECT *, len(name) BETWEEN 1 AND 29 AND regexp_full_match(name, '\p{Lu}SIGNS*') AND len(trim(name)) >= 2 AND len(string_split_regex(trim(name), '\s+')) <= 4 AS named FROM n)
 SELECT conv_id, turn, CASE WHEN voice <> '' THEN voice WHEN named THEN trim(name) ELSE '' END AS speaker,
-CASE WHEN voice <> '' THEN trim(regexp_replace(c, '<v[^>]*>', '', 'g')) WHEN named THEN trim(regexp_replace(substr(line, len(name) + 2), '^\s+', '')) ELSE line END AS said FROM o""")
+CASE WHEN voice <> '' THEN trim(regexp_replace(c, '<v[^>]*>', '', 'g')) WHEN named THEN trim(regexp_replace(substr(line, len(name) + 2), '^\s+', '')) ELSE line END AS said FROM o""".replace("VOICE", texts.VOICE).replace("SIGNS", texts.NAME_SIGNS.replace("'", "''")))
 def speaker_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names before turns, in two notations or none."""
     rows = table(spark, sf_dir, "conversations")
@@ -84,9 +88,9 @@ def _decoded(c: str) -> str:
 
 
 @query(r"""WITH m AS (SELECT conv_id, turn, '[Musica] <00:00:03.120><c>' || text || '</c> ♪ (applausi) fine' AS c FROM conversations),
-t AS (SELECT conv_id, turn, regexp_replace(c, '<(?:[0-9]{1,3}(?::[0-9]{2}){2}[.,][0-9]{1,3}|/?[A-Za-z][^>]*)>', '', 'g') AS c FROM m),
+t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(c, 'WORD_TIME', '', 'g'), 'TAG', '', 'g') AS c FROM m),
 p AS (SELECT conv_id, turn, DECODED AS c FROM t)
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(c, '[\[(][^\])]{1,40}[\])]|[♪♫]', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM p""".replace("DECODED", _decoded("c")))
+SELECT conv_id, turn, trim(regexp_replace(translate(regexp_replace(c, 'SCENE', ' ', 'g'), '♪♫', '  '), '\s+', ' ', 'g')) AS clean FROM p""".replace("WORD_TIME", texts.WORD_TIME).replace("TAG", texts.TAG).replace("SCENE", texts.SCENE).replace("DECODED", _decoded("c")))
 def noise_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with word stamps, tags and scene notes put in, and taken out."""
     noisy = F.concat(F.lit("[Musica] <00:00:03.120><c>"), "text", F.lit("</c> ♪ (applausi) fine"))
@@ -101,7 +105,7 @@ def comment_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.comment(F.concat(F.lit("<b>Prezzo</b> &amp;amp;<br/>nota &amp;#8364;\n"), "text")).alias("clean"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)res\.id|booking\.com|expedia|genius|rate plan|customers:|guests:') AS portal FROM documents""")
+@query(f"""SELECT doc_id, regexp_matches(text, '{texts.OTA_MARKS.replace("(?iu)", "(?i)")}') AS portal FROM documents""")
 def note_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that look like a portal's note."""
     return table(spark, sf_dir, "documents").select("doc_id", texts.is_portal_note(F.col("text")).alias("portal"))
@@ -227,3 +231,67 @@ def datetime_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def escaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents escaped for HTML, by digest."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.escaped(F.col("text")), 256).alias("escaped"))
+
+
+@query(r"""WITH c AS (SELECT c_custkey % 50 AS doc_id, c_custkey, [CAST(c_custkey AS VARCHAR), c_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END] AS r FROM customer),
+h AS (SELECT DISTINCT doc_id, -1 AS c_custkey, ['Codice', 'Nome', 'Mercato'] AS r FROM c), a AS (SELECT * FROM c UNION ALL SELECT * FROM h),
+w AS (SELECT doc_id, max(len(r[1])) AS a, max(len(r[2])) AS b, max(len(r[3])) AS c FROM a GROUP BY doc_id),
+l AS (SELECT a.doc_id, c_custkey, rtrim(rpad(r[1], CAST(w.a AS INT), ' ') || '  ' || rpad(r[2], CAST(w.b AS INT), ' ') || '  ' || rpad(r[3], CAST(w.c AS INT), ' ')) AS line, repeat('─', w.a) || '  ' || repeat('─', w.b) || '  ' || repeat('─', w.c) AS rule FROM a JOIN w USING (doc_id))
+SELECT doc_id, 'CLIENTI' || chr(10) || '═══════' || chr(10) || chr(10) || string_agg(CASE WHEN c_custkey < 0 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY c_custkey) AS text FROM l GROUP BY doc_id""")
+def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as plain text documents of a title and a table with aligned columns."""
+    row = F.array(F.col("c_custkey").cast("string"), "c_name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"])
+    docs = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 50).alias("doc_id")).agg(listed.alias("rows"))
+    head = F.array(*map(F.lit, ("Codice", "Nome", "Mercato")))
+    none = F.lit(None).cast("array<array<string>>")
+    block = lambda no, kind, text, rows: F.struct(F.lit(no).alias("block_no"), F.lit(kind).alias("kind"), F.lit(1).alias("level"), F.lit(False).alias("ordered"), F.lit(text).alias("text"), F.lit(None).cast("int").alias("number"), rows.alias("rows"))
+    parts = docs.select("doc_id", F.inline(F.array(block(0, "title", "Clienti", none), block(1, "table", "", F.concat(F.array(head), F.col("rows"))))))
+    return blocks.plain_text(parts)
+
+
+@query(f"""WITH {_KINDS}, t AS (SELECT *, CASE WHEN kind = 'list' THEN CASE WHEN ordered THEN 'ol' ELSE 'ul' END END AS tag, replace(replace(replace(replace(replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS e,
+CASE kind WHEN 'title' THEN 'h' || greatest(1, level) WHEN 'list' THEN 'li' ELSE 'pre' END AS own FROM k WHERE block_no < 40),
+p AS (SELECT *, CASE WHEN tag IS NOT NULL AND tag IS DISTINCT FROM lag(tag) OVER w THEN '<' || tag || '>' ELSE '' END AS opens, CASE WHEN tag IS NOT NULL AND tag IS DISTINCT FROM lead(tag) OVER w THEN '</' || tag || '>' ELSE '' END AS closes FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY block_no))
+SELECT doc_id, sha256(string_agg(opens || '<' || own || '>' || e || '</' || own || '>' || closes, '' ORDER BY block_no)) AS html FROM p GROUP BY doc_id""")
+def preview_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' previews as HTML, by digest."""
+    return document_sink.html_preview(_kinds(spark, sf_dir)).select("doc_id", F.sha2("html", 256).alias("html"))
+
+
+def _filed(lines: DataFrame, name: str) -> str:
+    """Rows (book, line, order) as text files in the shared folder, one for each book."""
+    path = f"{scratch.shared_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.repartition("book").sortWithinPartitions("book", *[c for c in lines.columns if c not in ("book", "line")]).select("book", "line").write.partitionBy("book").text(path)
+    return path
+
+
+def _book() -> Column:
+    return F.regexp_extract("path", r"book=(\d+)", 1).cast("long")
+
+
+@query(r"""WITH c AS (SELECT conv_id % 8 AS book, conv_id, turn, trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')) AS words FROM conversations)
+SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY conv_id, turn, words) - 1 AS INT) AS cue_no, CAST(turn % 60 AS DOUBLE) + 0.5 AS seconds, trim('battuta ' || words) AS text, CASE WHEN turn % 2 = 0 THEN 'ANNA' ELSE '' END AS speaker FROM c""")
+def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as caption files and read back by their data source."""
+    datasource.register(spark)
+    words = F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " "))
+    begin = F.format_string("00:00:%02d,500", F.col("turn") % 60)
+    cue = F.concat(F.lit("7\n"), begin, F.lit(" --> 00:01:00,000\n"), F.when(F.col("turn") % 2 == 0, ">> ANNA: ").otherwise(""), F.lit("battuta "), words, F.lit("\n"))
+    lines = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 8).alias("book"), "conv_id", "turn", words.alias("words"), cue.alias("line"))
+    cues = datasource.told(spark.read.format("captions").load(_filed(lines, "captions")))
+    return cues.select(_book().alias("book"), "cue_no", "seconds", "text", "speaker")
+
+
+@query(r"""WITH l AS (SELECT doc_id % 8 AS book, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+a AS (SELECT DISTINCT book, doc_id, -1 AS k, 'title' AS kind, 'Documento ' || doc_id AS text, 2 AS n_runs FROM l UNION ALL SELECT book, doc_id, k, 'list', trim('riga ' || trim(regexp_replace(line, '[^a-zA-Z]+', ' ', 'g'))), CASE WHEN trim(regexp_replace(line, '[^a-zA-Z]+', ' ', 'g')) = '' THEN 1 ELSE 2 END FROM l)
+SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY doc_id, k) - 1 AS INT) AS block_no, kind, text, n_runs FROM a""")
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Markdown files and read back by their data source."""
+    datasource.register(spark)
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((F.col("doc_id") % 8).alias("book"), "doc_id", "text")
+    items = docs.select("book", "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    items = items.withColumn("line", F.concat(F.lit("- *riga* "), F.trim(F.regexp_replace("line", "[^a-zA-Z]+", " "))))
+    heads = docs.select("book", "doc_id", F.lit(-1).alias("k"), F.concat(F.lit("# Documento **"), F.col("doc_id").cast("string"), F.lit("**")).alias("line"))
+    found = spark.read.format("markdown").load(_filed(items.unionByName(heads), "markdown"))
+    return found.select(_book().alias("book"), "block_no", "kind", "text", F.size("runs").alias("n_runs"))

@@ -223,11 +223,11 @@ def age_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT l_orderkey, sum(l_linenumber) AS pax, count(*) AS n FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, 'Pax dichiarati (' || pax || ') diversi dalle righe ospite (' || n || ')' AS reason, 'Adulti · Bambini' AS field, CAST(n AS VARCHAR) AS proposed, 'correggi' AS severity FROM g WHERE pax > 0 AND pax <> n""")
+SELECT l_orderkey, 'Ospiti indicati: ' || pax || ', righe trovate: ' || n AS reason, 'Adulti · Bambini' AS field, CAST(n AS VARCHAR) AS proposed, 'correggi' AS severity FROM g WHERE pax > 0 AND pax <> n""")
 def pax_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An anomaly where the declared number isn't the number of rows."""
     groups = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("pax"), F.count("*").alias("n"))
-    reason = F.concat(F.lit("Pax dichiarati ("), F.col("pax").cast("string"), F.lit(") diversi dalle righe ospite ("), F.col("n").cast("string"), F.lit(")"))
+    reason = F.concat(F.lit("Ospiti indicati: "), F.col("pax").cast("string"), F.lit(", righe trovate: "), F.col("n").cast("string"))
     return rollup.anomalies(groups, ["l_orderkey"], [rollup.anomaly((F.col("pax") > 0) & (F.col("pax") != F.col("n")), reason, "Adulti · Bambini", F.col("n").cast("string"))])
 
 

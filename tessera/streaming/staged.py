@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.sinks.folders import UNFINISHED, remove, rename
+
 ATTEMPTS = 4
 LEAST_FILES = 1
 _ONE_WRITER = "spark.sql.streaming.stopActiveRunOnRestart"
-#: Spark's readers pass over folders of such names.
-_UNFINISHED = "_unfinished"
 
 
 class Stages:
@@ -34,7 +34,7 @@ class Stages:
     def __call__(self, batch: DataFrame, stage: int) -> None:
         spark = batch.sparkSession
         paths = [unquote(r.path) for r in batch.select("path").orderBy("path").collect()]  # one stage's files at most
-        final, draft = f"{self.out}/stage={stage}", f"{self.out}/{_UNFINISHED}/stage={stage}"
+        final, draft = f"{self.out}/stage={stage}", f"{self.out}/{UNFINISHED}/stage={stage}"
         remove(spark, draft)
         parts: list[dict] = []
         while paths:
@@ -62,24 +62,6 @@ class Stages:
         return seen.get["rows"]
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, hadoop = _file_system(spark, path)
-    fs.delete(hadoop, True)
-
-
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, hadoop = _file_system(spark, source)
-    to = _file_system(spark, target)[1]
-    fs.mkdirs(to.getParent())
-    if not fs.rename(hadoop, to):
-        raise OSError(f"{source} can't become {target}")
-
-
 def ingest(spark: SparkSession, source: str, checkpoint: str, sink: Stages, files_per_stage: int = 60) -> StreamingQuery:
     """Takes what is in ``source`` and the checkpoint doesn't know yet, stage by stage, then stops.
 

@@ -117,10 +117,10 @@ def test_spreadsheet(spark, folder):
 def test_captions(spark):
     srt = "1\n00:00:01,000 --> 00:00:02,000\n>> ANNA: ciao a tutti\n\n2\n00:00:03,500 --> 00:00:05,000\n[Musica] ciao a tutti &amp; bene\n"
     vtt = "WEBVTT\n\nNOTE x\ny\n\n00:00:01.000 --> 00:00:02.000\n<v Mario>uno <00:00:01.500><c>due</c>\n"
-    glued = "0:077 secondidi Open AI che 0:1111 secondi parla alle 10:30"
+    glued = "0:077 secondiil mare era calmo e 1:051 minuto e 5 secondi la barca alle 10:30 1:02:031 ora, 2 minuti e 3 secondipartì"
     found = captions.read_captions(spark.createDataFrame([(1, srt), (2, vtt), (3, glued), (4, None)], "doc_id long, text string"))
     rows = {(r.doc_id, r.cue_no): (r.seconds, r.text, r.speaker) for r in found.collect()}
-    assert rows == {(1, 0): (1.0, "ciao a tutti", "ANNA"), (1, 1): (3.5, "ciao a tutti & bene", ""), (2, 0): (1.0, "uno due", "Mario"), (3, 0): (7.0, "di Open AI che", ""), (3, 1): (11.0, "parla alle 10:30", "")}
+    assert rows == {(1, 0): (1.0, "ciao a tutti", "ANNA"), (1, 1): (3.5, "ciao a tutti & bene", ""), (2, 0): (1.0, "uno due", "Mario"), (3, 0): (7.0, "il mare era calmo e", ""), (3, 1): (65.0, "la barca alle 10:30", ""), (3, 2): (3723.0, "partì", "")}
     paragraphs = transcripts.paragraphs(found.where("doc_id = 1")).collect()
     assert [(p.speaker, p.text) for p in paragraphs] == [("ANNA", "ciao a tutti & bene")]
 
@@ -176,7 +176,7 @@ def test_html(spark):
     ("line", "expected"),
     [
         ("nome_file e 2 * 3 = 6", ["nome_file e 2 * 3 = 6"]), ("**a** _b_ `c*d`", [("a", "b"), " ", ("b", "i"), " ", ("c*d", "c")]),
-        (r"\*x\* [y](http://z)", ["*x* ", ("y", "http://z")]), ("![](p/q.png) *a **b** c*", ["q.png ", ("a ", "i"), ("b", "bi"), (" c", "i")]), ("`aperto", ["`aperto"]), ("", []),
+        (r"\*x\* [y](http://z)", ["*x* ", ("y", "http://z")]), ("![](p/q.png) *a **b** c*", ["q.png ", ("a ", "i"), ("b", "bi"), (" c", "i")]), ("`aperto", ["`aperto"]), ("", []), ("[a [b] *c*](x(1) \"t\") d", [("a [b] ", "x(1)"), ("c", "ix(1)"), " d"]), ("[a](b", ["[a](b"]),
     ],
 )
 def test_inline_runs(line, expected):
@@ -291,15 +291,22 @@ def test_report_pages(spark):
     assert (r.npren, r.adulti, r.bambini, r.neonati, r.tipo_camera, r.caparre, r.acconti) == ("555", "2", "1", "", "Doppia", "5,00", "6,00")
     rows, said = reports.report_bookings(spark.createDataFrame(pieces, PIECES))
     assert {(r.id, r.prezzo_retta, r.adulti) for r in rows.collect()} == {(4871, 1490.2, 1), (999, None, 1), (100200, None, 1), (100300, None, 1), (555, None, 2)}
-    assert said.where("npren = '4.871' AND reason LIKE 'Pax%'").count() == 1
+    assert said.where("npren = '4.871' AND reason LIKE 'Ospiti indicati%'").count() == 1
     assert reports.report_guests(spark.createDataFrame([], PIECES)).count() == 0
     header = grid.page_header(spark.createDataFrame([("a", 1, 10.0, 560.0, "Stampa clienti presenti"), ("a", 1, 10.0, 550.0, "Albergo Due"), ("a", 2, 10.0, 570.0, "Albergo Tre"), ("b", 1, 10.0, 100.0, "Dal 01/06/2026 al 30/06/2026")], PIECES), ["book"])
     assert {tuple(r) for r in header.collect()} == {("a", "Albergo Due", None, None), ("b", "", "01/06/2026", "30/06/2026")}
 
 
 def test_plain_text(spark):
-    read = markdown.read_markdown(spark.createDataFrame([(1, "# Uno\n\nuno due tre quattro\n\n1. a\n")], "doc_id long, text string"))
-    assert blocks.plain_text(blocks.list_numbers(read), width=10).first().text == "Uno\n===\n\nuno due\ntre\nquattro\n\n1. a"
+    text = "# Uno\n\n## Due\n\n#### Quattro\n\nuno **due** tre quattro\n\n1. a bb ccc dddd\n2. b\n- c\n\n> cit cit cit\n\n```\nx\ny\n```\n\n![](p/q.png)\n\n| a | bbb |\n| --- | --- |\n| ccccc |\n| d | e | f |\n\n---\n"
+    read = markdown.read_markdown(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    expected = "UNO\n═══\n\nDue\n───\n\n  Quattro\n\nuno due\ntre\nquattro\n\n1. a bb\n   ccc dddd\n\n2. b\n\n· c\n\n    cit\n    cit cit\n\n    x\n    y\n\n[immagine: q.png]\n\na      bbb\n─────  ───  ─\nccccc\nd      e    f\n\n──────────"
+    assert blocks.plain_text(blocks.list_numbers(read), width=10).first().text == expected
+    shown = document_sink.html_preview(read).first().html
+    assert shown.startswith("<h1>Uno</h1><h2>Due</h2><h4>Quattro</h4><p>uno <strong>due</strong> tre quattro</p><ol><li>a bb ccc dddd</li><li>b</li></ol><ul><li>c</li></ul>")
+    assert shown.endswith("<p>q.png</p><table><thead><tr><th>a</th><th>bbb</th></tr></thead><tbody><tr><td>ccccc</td></tr><tr><td>d</td><td>e</td><td>f</td></tr></tbody></table><hr>")
+    linked = markdown.read_markdown(spark.createDataFrame([(1, '*a <b>* [x](h"t) `c`')], "doc_id long, text string"))
+    assert document_sink.html_preview(linked).first().html == '<p><em>a &lt;b&gt;</em> <span title="h&quot;t">x</span> <code>c</code></p>'
 
 
 def test_upsert_deletes(spark):
@@ -332,15 +339,55 @@ def test_throttle_stream_is_batch(spark, folder):
 
 
 def test_versions(spark, folder):
+    path = f"{folder}/v"
     for k in (1, 2):
-        document_sink.write_version(spark.range(k), f"{folder}/v", k)
-    document_sink.write_version(spark.range(2), f"{folder}/v", 2)
-    assert document_sink.latest_version(spark.read.parquet(f"{folder}/v")).count() == 2 and spark.read.parquet(f"{folder}/v").count() == 3
-    assert document_sink.drop_versions(spark, f"{folder}/v") == [1]
-    assert spark.read.parquet(f"{folder}/v").count() == 2
+        document_sink.write_version(spark.range(k), path, k)
+    document_sink.write_version(spark.range(5), path, 2)
+    assert document_sink.versions(spark, path) == [1, 2] and document_sink.read_version(spark, path).count() == 5 and document_sink.read_version(spark, path, 1).count() == 1
+    held = document_sink.read_version(spark, path)
+    dies = spark.range(100).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        document_sink.write_version(dies, path, 3)
+    assert document_sink.versions(spark, path) == [1, 2] and os.listdir(f"{path}/_unfinished") == []
+    assert document_sink.publish(spark, path, "published") == 2 and spark.table("published").count() == 5
+    document_sink.write_version(spark.range(7), path, 3)
+    assert held.count() == 5 and spark.table("published").count() == 5  # who reads the old version keeps it
+    assert document_sink.publish(spark, path, "published") == 3 and spark.table("published").count() == 7
+    assert document_sink.drop_versions(spark, path, keep=2) == [1] and document_sink.versions(spark, path) == [2, 3] and os.listdir(f"{path}/version=2") == ["attempt=2"]
+    with pytest.raises(ValueError, match="no version 1"):
+        document_sink.read_version(spark, path, 1)
+    with pytest.raises(ValueError):
+        document_sink.read_version(spark, f"{folder}/none")
     assert document_sink.evolved(spark.range(1), {"id": "long", "nuovo": "string"}).first() == (0, None)
 
 
+def test_data_sources(spark, folder):
+    from tessera.sources import datasource
+
+    datasource.register(spark)
+    os.makedirs(f"{folder}/in/sub")
+    for name, data in (("a.srt", b"1\n00:00:01,000 --> 00:00:02,000\n>> ANNA: citt\xe0\n"), ("sub/b.vtt", b"WEBVTT\n\n00:05.000 --> 00:06.000\nuno\n\n00:07.000 --> 00:08.000\n[Musica]\n"), ("c.txt", b""), ("_x.srt", b"0:01 no")):
+        with open(f"{folder}/in/{name}", "wb") as f:
+            f.write(data)
+    read = spark.read.format("captions").load(f"{folder}/in")
+    assert read.rdd.getNumPartitions() == 3
+    rows = sorted((os.path.basename(r.path), r.cue_no, r.seconds, r.text, r.speaker) for r in datasource.told(read).collect())
+    assert rows == [("a.srt", 0, 1.0, "città", "ANNA"), ("b.vtt", 0, 5.0, "uno", ""), ("b.vtt", 1, 7.0, "", "")]
+    stream = spark.readStream.format("captions").load(f"file://{folder}/in")
+    seen = []
+    for _ in range(2):
+        stream.writeStream.foreachBatch(lambda df, k: seen.append((k, df.count()))).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+        with open(f"{folder}/in/d.srt", "w") as f:
+            f.write("0:01 uno\n\n0:02 due\n")
+    assert [n for _, n in seen] == [3, 2]
+    with open(f"{folder}/x.md", "w") as f:
+        f.write("# Uno *due*\n\n- a\n")
+    found = spark.read.format("markdown").load(f"{folder}/x.md").orderBy("block_no").collect()
+    assert [(b.kind, b.text, len(b.runs)) for b in found] == [("title", "Uno due", 2), ("list", "a", 1)]
+    with pytest.raises(Exception, match="path"):
+        spark.read.format("markdown").load().collect()
+
+
 def test_stages_of_long_runs(spark, folder):
     spark.range(130).repartition(130).write.option("maxRecordsPerFile", 1).parquet(f"{folder}/in")
     n = len([x for x in os.listdir(f"{folder}/in") if x.endswith(".parquet")])

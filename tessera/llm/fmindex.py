@@ -21,14 +21,14 @@ count. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import free_names, written
 from tessera.llm.wavelet import WaveletMatrix
 
 WINDOW, ANCHOR = 50, 8
@@ -288,47 +288,46 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sha
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
 
-    def parts(single: bool, cut: Callable, schema: str) -> DataFrame:
-        wanted = distinct.where(F.col("single") == single).groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash"))
-        wanted = wanted.agg(F.collect_list(F.struct("anchor", "context", F.col("at.start").alias("start"), "windows")).alias("wanted"))
-        rows = texts.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("doc_id", "text", "wanted")
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        names = ["anchor", "context", "skip", "first", "words"]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for doc_id, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    words = text.as_py().encode().split()
-                    for w in want:
-                        rows += [(w["anchor"], w["context"], skip, doc_id, part) for skip, part in cut(words[w["start"] : w["start"] + w["windows"] + window - 1], w["windows"])]
-                    if len(rows) > 4000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-        return rows.mapInArrow(run, schema)
-
-    def whole(words: list[bytes], windows: int) -> list[tuple[int, bytes]]:
-        return [(0, b" ".join(words))]
-
     def hashed(words: list[bytes], windows: int) -> list[tuple[int, bytes]]:
         import xxhash
 
         return [(k, xxhash.xxh3_128_digest(b" ".join(words[k : k + window]))) for k in range(windows)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
+        names = ["anchor", "context", "single", "skip", "first", "words"]
+        for batch in batches:
+            rows = []
+            for doc_id, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words = text.as_py().encode().split()
+                for w in want:
+                    own = words[w["start"] : w["start"] + w["windows"] + window - 1]
+                    cut = hashed(own, w["windows"]) if w["single"] else [(0, b" ".join(own))]
+                    rows += [(w["anchor"], w["context"], w["single"], skip, doc_id, part) for skip, part in cut]
+                if len(rows) > 4000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    wanted = distinct.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash"))
+    wanted = wanted.agg(F.collect_list(F.struct("anchor", "context", "single", F.col("at.start").alias("start"), "windows")).alias("wanted"))
+    rows = texts.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("doc_id", "text", "wanted")
+    # words of whole contexts, and of crowded anchors' contexts the hashes of their windows: out of one pass over the texts
+    words = rows.mapInArrow(run, "anchor long, context long, single boolean, skip int, first long, words binary")
+    crowded_too = bool(distinct.where("single").head(1))
+    words = written(words, "context-words") if crowded_too else words
+
     def search(table: pa.Table) -> pa.Table:
         contexts = [x.split(b" ") for x in table.column("words").to_pylist()]
         least = first_documents(contexts, table.column("first").to_numpy(), window)
         return pa.table([table.column("anchor"), table.column("context"), table.column("skip"), pa.array([x.tolist() for x in least], pa.list_(pa.int64()))], names=["anchor", "context", "skip", "least"])
 
-    columns = "anchor long, context long, skip int, first long, words binary"
-    sharded = parts(False, whole, columns).withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    sharded = words.where("NOT single").drop("single").withColumn("shard", F.pmod("anchor", F.lit(shards)))
     least = written(sharded.groupBy("shard").applyInArrow(search, "anchor long, context long, skip int, least array<long>"), "first-documents")
-    if crowds.head(1):
+    if crowded_too:
         # Equal single windows are brought together by their hash: combined in the tasks, joined back as written tables.
-        single = written(parts(True, hashed, columns), "single-windows")
+        single = words.where("single")
         firsts = written(single.groupBy(F.col("words").alias("content")).agg(F.min("first").alias("least")), "distinct-windows")
         single = single.join(firsts, F.col("words") == F.col("content")).select("anchor", "context", "skip", F.array("least").alias("least"))
         least = least.union(single)
@@ -352,9 +351,11 @@ def kept_words(n: int, spans: list[dict]) -> np.ndarray:
     return np.cumsum(edges[:-1]) == 0
 
 
-def _with_spans(docs: DataFrame, window: int, **options) -> DataFrame:
-    spans = removed_spans(docs, window, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    return docs.join(spans, (F.col("doc_id") == F.col("__id")) & (F.hash("text") == F.col("__hash")), "left").drop("__id", "__hash")
+def _with_spans(docs: DataFrame, window: int, **options) -> tuple[DataFrame, str]:
+    """The documents with their spans, and the name of that column, which no other column has."""
+    of_id, of_hash, name = free_names(docs, "cut_id", "cut_hash", "cut_spans")
+    spans = removed_spans(docs, window, **options).select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("spans").alias(name))
+    return docs.join(spans, (F.col("doc_id") == F.col(of_id)) & (F.hash("text") == F.col(of_hash)), "left").drop(of_id, of_hash), name
 
 
 def digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -373,7 +374,8 @@ def digests(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(rows, window, **options).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut, spans = _with_spans(rows, window, **options)
+    return cut.select("doc_id", "text", spans).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -387,7 +389,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, of = batch.schema.get_field_index("text"), batch.schema.get_field_index("__spans")
+            at, of = batch.schema.get_field_index("text"), batch.schema.get_field_index(spans_name)
             texts: list[str | None] = []
             stay = []
             for text, spans in zip(batch.column(at), batch.column(of)):
@@ -400,7 +402,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
                 texts.append(value)
                 stay.append(not spans.is_valid or bool(value))
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns) if k != of]
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "__spans"]).filter(pa.array(stay))
+            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != spans_name]).filter(pa.array(stay))
 
-    out = _with_spans(docs, window, **options).mapInArrow(run, docs.schema)
+    cut, spans_name = _with_spans(docs, window, **options)
+    out = cut.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

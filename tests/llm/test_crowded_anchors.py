@@ -15,8 +15,8 @@ def test_equal_windows_are_reduced(spark, monkeypatch):
     monkeypatch.setattr(fmindex, "written", lambda df, name: tables.setdefault(name, put(df, name)))
     found = sorted(tuple(r) for r in fmindex.digests(docs, crowded=5).collect())
     assert [r[2] for r in found] == [0] + [70] * 39
-    single, distinct = tables["single-windows"].count(), tables["distinct-windows"]
-    assert distinct.count() == tables["single-windows"].select("words").distinct().count() < single
-    assert tables["first-documents"].join(tables["single-windows"], ["anchor", "context"]).count() == 0
+    windows, distinct = tables["context-words"].where("single"), tables["distinct-windows"]
+    assert distinct.count() == windows.select("words").distinct().count() < windows.count()
+    assert tables["first-documents"].join(windows, ["anchor", "context"]).count() == 0
     monkeypatch.setattr(fmindex, "written", put)
     assert found == sorted(tuple(r) for r in fmindex.digests(docs).collect())

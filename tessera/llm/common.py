@@ -34,9 +34,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths in the shared folder that this driver has given out and not taken away.
+_given: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[str]]:
+    """Takes away what was written in the shared folder inside, but for what was written last, whose path the list then holds."""
+    begin = len(_given)
+    last: list[str] = []
+    yield last
+    for path in _given[begin:-1]:
+        remove(spark, path)
+    last += _given[max(begin, len(_given) - 1) :]
+    del _given[begin:]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NON_WORD, ascii_lower, split_words, written
+from tessera.llm.common import NON_WORD, ascii_lower, free_names, split_words, written
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20
@@ -130,6 +130,7 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that aren't contaminated, all columns."""
     found = contamination(docs, benchmark, window).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
-    dirty = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    of_id, of_hash = free_names(docs, "dirty_id", "dirty_hash")
+    dirty = found.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_hash))
     return docs.join(dirty, on, "left_anti")

@@ -39,7 +39,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, small_batches, written
+from tessera.llm.common import SPACES, free_names, small_batches, written
 
 ORDER = 4
 
@@ -495,7 +495,7 @@ def answers(asked: DataFrame, pairs: DataFrame, words: Broadcast, hot: Broadcast
     return asked.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(run, "block long, sums binary, rows binary")
 
 
-def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_share: float = 5e-7, shard_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_share: float = 5e-7, shard_bytes: int = 4 << 20) -> DataFrame:
     """All columns but text, with n_bytes, perplexity (null where there is none) and has_words, under the model of ``trusted.text``.
 
     The perplexity is by byte of words and the spaces after them. Rows whose column ``is_trusted`` is true are part of the
@@ -618,5 +618,6 @@ def classify(
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier keeps, all columns."""
-    bad = classify(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")), "left_anti")
+    of_id, of_hash = free_names(docs, "bad_id", "bad_hash")
+    bad = classify(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(of_hash)), "left_anti")

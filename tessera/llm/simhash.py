@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, written
+from tessera.llm.common import free_names, small_batches, written
 
 BITS, SEGMENTS, DISTANCE = 64, 8, 3
 _WIDTH = BITS // SEGMENTS
@@ -350,6 +350,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, buck
         by_doc, links = similar(docs, shingle, similarity, bucket_limit)
     rooted = by_doc.join(components(links), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"))
-    kept = first.select(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    of_id, of_hash = free_names(docs, "kept_id", "kept_hash")
+    kept = first.select(F.col("at.doc_id").alias(of_id), F.col("at.text_hash").alias(of_hash))
+    on = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(of_hash))
     return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id", "text"])

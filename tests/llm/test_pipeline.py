@@ -25,8 +25,8 @@ def corpus(seed=8):
 def tables(spark, rows, items, trusted):
     """A folder with the pipeline's tables; documents have a column that the operators use inside."""
     folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    schema = DOCS + ", spans string, root string"
-    spark.createDataFrame([(i, t, "it", "s", len(t or ""), "x", "y") for i, t in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    schema = DOCS + ", spans string, root string, __id string, __hash string, bad_id string, cut_spans string, dirty_hash string, kept_id string"
+    spark.createDataFrame([(i, t, "it", "s", len(t or ""), *"xyzabcde") for i, t in rows], schema).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(k, 1, 0) for k in trusted], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
@@ -45,7 +45,7 @@ def test_edges(spark):
     for name, stage in corpus_pipeline.STAGES[:4]:
         stage(spark, docs, folder).write.parquet(out := f"{folder}/{name}")
         docs = spark.read.parquet(out)
-        assert docs.columns[-2:] == ["spans", "root"]
+        assert docs.columns[-8:] == ["spans", "root", "__id", "__hash", "bad_id", "cut_spans", "dirty_hash", "kept_id"]
     kept = [r.doc_id for r in docs.select("doc_id").collect()]
     assert kept.count(0) == 1 and 71 not in kept and 70 in kept and 72 not in kept and 66 not in kept
     packed = corpus_pipeline.packed(spark, docs, folder).groupBy("doc_id").count().collect()

@@ -80,9 +80,9 @@ def decided(anomalies: DataFrame, decisions: DataFrame) -> DataFrame:
     return anomalies.join(known, (F.col("key") == F.col("_key")) & (F.col("field") == F.col("_field")), "left").drop("_key", "_field")
 
 
-def log_tail(log: DataFrame, at: str, n: int = 10) -> DataFrame:
-    """The latest entries."""
-    return log.orderBy(F.desc(at)).limit(n)
+def log_tail(log: DataFrame, at: str, key: str, n: int = 10) -> DataFrame:
+    """The latest entries; of one moment, those of the highest key."""
+    return log.orderBy(F.desc(at), F.desc(key)).limit(n)
 
 
 def expired(work: DataFrame, at: str, now, days: int = 7) -> DataFrame:

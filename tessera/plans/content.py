@@ -295,3 +295,26 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = docs.select("book", "doc_id", F.lit(-1).alias("k"), F.concat(F.lit("# Documento **"), F.col("doc_id").cast("string"), F.lit("**")).alias("line"))
     found = spark.read.format("markdown").load(_filed(items.unionByName(heads), "markdown"))
     return found.select(_book().alias("book"), "block_no", "kind", "text", F.size("runs").alias("n_runs"))
+
+
+@query(f"""WITH {_KINDS} SELECT doc_id, CAST(sum(CASE WHEN kind = 'title' AND level <= 1 AND block_no > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_no) AS BIGINT) AS chapter, block_no, level, text FROM k QUALIFY kind = 'title' AND level <= 1""")
+def table_of_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of two levels with their chapters."""
+    return blocks.contents(blocks.chapters(_kinds(spark, sf_dir)), to_level=1)
+
+
+@query(rf"""WITH {_KINDS} SELECT doc_id, kind, count(*) AS n FROM k WHERE trim(text) <> '' GROUP BY ALL""")
+def not_blank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents that hold text, by kind."""
+    return blocks.not_blank(_kinds(spark, sf_dir)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS line_no, l_linenumber // 3 AS page, 700 - 13 * l_linenumber - 20 * (l_linenumber // 5) AS y FROM lineitem),
+f AS (SELECT *, CASE WHEN page <> lag(page) OVER w OR lag(y) OVER w - y > 18.0 THEN 1 ELSE 0 END AS fresh FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS paragraph FROM f""")
+def paragraph_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as printed lines: a paragraph ends with the page and before a wide gap."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("line_no"), F.floor(n / 3).alias("page"), (700 - 13 * n - 20 * F.floor(n / 5)).alias("y"), F.lit(10.0).alias("body_size"))
+    return blocks.paragraph_breaks(lines).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "paragraph")

@@ -365,10 +365,24 @@ def delete_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.delete_jobs({"lines": lines}, gone)["lines"].groupBy(F.col("job_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 10""")
+@query("""SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10""")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last ten events."""
-    return control.log_tail(table(spark, sf_dir, "events"), "ts").select("event_id", "event_type")
+    return control.log_tail(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "event_type")
+
+
+@query("""WITH j AS (SELECT o_orderkey, o_custkey, o_orderdate, 'Lista-' || o_orderpriority || '.csv' AS file FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 20 = 7)
+SELECT o_orderkey, c_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_anomalies FROM j JOIN customer ON c_custkey = o_custkey WHERE contains(lower(file), 'lista-1') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50""")
+def history_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fifty open orders of a group of customers whose file has a name like this."""
+    orders = table(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "O", "da_rivedere").otherwise("pronto")
+    jobs = orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("customer"), (F.col("o_custkey") % 20).alias("user_id"), F.col("o_orderdate").alias("created"), state.alias("state"), F.concat(F.lit("Lista-"), "o_orderpriority", F.lit(".csv")).alias("file"))
+    users = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 20).alias("user_id")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"))
+    found = control.job_history(jobs, users, lines, 50, only_user=7, search="lista-1", to_review=True)
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), "c_name")
+    return found.join(names, "customer").select(F.col("job_id").alias("o_orderkey"), "c_name", "n_anomalies")
 
 
 @query("""SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAYS""")

@@ -11,7 +11,9 @@ from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.sinks import folders
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -71,9 +73,10 @@ def _chain(headers: list[str], rows: Iterable[tuple]) -> Iterator[tuple]:
 
 
 def write_sheets(df: DataFrame, path: str, kinds: Mapping[str, str] = {}, headers: Mapping[str, str] = {}, first_column: int = 0, sheet_rows: int = SHEET_ROWS) -> DataFrame:  # noqa: B006
-    """Writes ``part-N-K.xlsx`` below ``path``, a folder that all executors see; the result, once evaluated, lists them.
+    """Writes ``part-N-A-K.xlsx`` below ``path``, a folder that all executors see; the result, once evaluated, lists them.
 
-    A sheet holds SHEET_ROWS rows, header included; a partition with more goes on in further files. A file is put together
+    A task that is done again writes files of its own (A is its attempt); what the result doesn't list isn't part of the
+    table, and ``tidied`` takes it away. Evaluate the result once, and keep it. A sheet holds SHEET_ROWS rows, header included; a partition with more goes on in further files. A file is put together
     in the task's memory, compressed.
     """
     names, of = [headers.get(c, c) for c in df.columns], [kinds.get(c, "text") for c in df.columns]
@@ -93,9 +96,19 @@ def write_sheets(df: DataFrame, path: str, kinds: Mapping[str, str] = {}, header
                     yield row
 
             data = workbook(names, sheet(), of, first_column)
-            name = f"part-{TaskContext.get().partitionId():05d}-{number:03d}.xlsx"
+            task = TaskContext.get()
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId():06d}-{number:03d}.xlsx"
             with fs.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n_rows"])
 
     return df.mapInArrow(run, "file string, n_rows long")
+
+
+def tidied(spark: SparkSession, path: str, written: DataFrame) -> list[str]:
+    """Takes away the sheets below ``path`` that ``written``, an evaluated result of ``write_sheets``, doesn't list; returns their names."""
+    there = spark.createDataFrame([(x,) for x in folders.names(spark, path) if x.endswith(".xlsx")], "file string")
+    gone = [r.file for r in there.join(written, "file", "left_anti").orderBy("file").collect()]
+    for name in gone:
+        folders.remove(spark, f"{path}/{name}")
+    return gone

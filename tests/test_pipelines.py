@@ -102,6 +102,27 @@ def test_long_sheets_go_on(spark, folder):
     assert sorted(r.cells[0] for r in spreadsheet.read_sheets(spark, f"{folder}/x").collect()) == sorted([*map(str, range(7)), "id", "id", "id"])
 
 
+def test_sheets_of_lost_attempts(spark, folder):
+    path = f"file://{folder}/x"
+    rows = sheet_sink.write_sheets(spark.range(5).repartition(2), path).collect()
+    with open(f"{folder}/x/part-00000-999999-000.xlsx", "wb") as f:
+        f.write(b"cut off")
+    written = spark.createDataFrame(rows)
+    assert sheet_sink.tidied(spark, path, written) == ["part-00000-999999-000.xlsx"] and sheet_sink.tidied(spark, path, written) == []
+    assert sorted(r.cells[0] for r in spreadsheet.read_sheets(spark, path).collect()) == sorted([*map(str, range(5)), *["id"] * len(rows)])
+
+
+def test_children_from_supplements(spark):
+    rows = [("1", "a", "Letto agg. Bambino"), ("1", "b", ""), ("1", "c", "letto agg.  bambino 2"), ("2", "d", "Letto agg. Bambino"), ("3", "e", "")]
+    data = spark.createDataFrame([(*r, 1, k) for k, r in enumerate(rows)], "npren string, cognome string, supplementi string, page int, ordinal long")
+    ages = lambda rules: {r.id: (r.adulti, r.bambini, r.neonati) for r in plan.bookings(data, rules).collect()}
+    assert ages(plan.Rules()) == {1: (3, 0, 0), 2: (1, 0, 0), 3: (1, 0, 0)}
+    asked = plan.Rules(children_from_supplements=True)
+    assert ages(asked) == {1: (1, 2, 0), 2: (1, 0, 0), 3: (1, 0, 0)}
+    said = {r.npren: (r.reason, r.proposed) for r in plan.anomalies(data, asked).where("field = 'Adulti · Bambini'").collect()}
+    assert said == {"1": ("1 adulto e 2 bambini?", "1·2"), "2": ("1 ospite con 1 letti per bambini: il conteggio non torna", "1·0")}
+
+
 def test_spreadsheet(spark, folder):
     df = spark.sql("SELECT 'uno & due' AS nome, DATE'2025-01-01' AS quando, 12.5D AS quanto UNION ALL SELECT 'due', NULL, 3.0D").coalesce(1).sortWithinPartitions(F.desc("nome"))
     written = sheet_sink.write_sheets(df, f"file://{folder}/xlsx", {"quando": "date", "quanto": "currency"}, first_column=1).collect()

@@ -12,7 +12,8 @@ from tessera.operators import blocks, transcripts
 from tessera.plans.registry import query, table
 from tessera.sinks import documents as document_sink
 from tessera.sinks import scratch
-from tessera.sources import datasource, html
+from tessera.sinks import spreadsheet as spreadsheet_sink
+from tessera.sources import datasource, html, spreadsheet
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,3 +319,16 @@ def paragraph_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("line_no"), F.floor(n / 3).alias("page"), (700 - 13 * n - 20 * F.floor(n / 5)).alias("y"), F.lit(10.0).alias("body_size"))
     return blocks.paragraph_breaks(lines).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "paragraph")
+
+
+@query(r"""SELECT c_custkey % 4 AS part, CAST(c_custkey AS VARCHAR) AS code, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS market, strftime(DATE '2020-01-01' + CAST(c_custkey % 5000 AS INT), '%d/%m/%Y') AS since,
+CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE rtrim(printf('%.6f', c_acctbal), '0') END AS balance FROM customer""")
+def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as four spreadsheets and read back."""
+    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 4).alias("part"), "c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("market"), F.expr("date_add(DATE'2020-01-01', cast(c_custkey % 5000 AS int))").alias("since"), "c_acctbal")
+    path = f"{scratch.shared_folder(spark)}/sheets-{uuid.uuid4().hex}"
+    written = spreadsheet_sink.write_sheets(rows.repartitionById(4, F.col("part").cast("int")), path, {"since": "date", "c_acctbal": "currency"}, first_column=1)
+    scratch.written(written, "sheets-written")
+    found = spreadsheet.read_sheets(spark, f"{path}/*.xlsx").where(F.get("cells", F.lit(1)) != "part")
+    names = ("part", "code", "name", "market", "since", "balance")
+    return found.select(*[F.get("cells", F.lit(k + 1)).alias(n) for k, n in enumerate(names)]).withColumn("part", F.col("part").cast("long"))

@@ -102,6 +102,31 @@ def test_long_sheets_go_on(spark, folder):
     assert sorted(r.cells[0] for r in spreadsheet.read_sheets(spark, f"{folder}/x").collect()) == sorted([*map(str, range(7)), "id", "id", "id"])
 
 
+def test_stored_cells(spark, folder):
+    """Shared strings, rich text, built-in and own date formats, cells without references, gaps, repeated places, blank rows, the first sheet by the workbook."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    body = (
+        '<row r="1"><c r="B1" t="s"><v>1</v></c><c t="s"><v>0</v></c><c r="E1" t="s"><v>9</v></c><c r="F1" t="str"><v>x</v></c></row><row r="2"><c r="A2"/></row>'
+        '<row r="3"><c><v>7</v></c><c s="1"><v>45658.5</v></c><c s="2"><v>45658</v></c><c s="3"><v>45658</v></c><c s="1"><v>0.5</v></c><c r="AA3" t="n" s="4"><v>1</v></c></row>'
+        '<row r="4"><c r="A4" t="inlineStr"><is><r><t>uno </t></r><r><t>due </t></r></is></c><c r="A4"><v>tre</v></c></row>'
+    )
+    with zipfile.ZipFile(f"{folder}/a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="a" r:id="r2"/><sheet name="b" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/other.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="dd.mm"/><numFmt numFmtId="171" formatCode="0 &quot;days&quot;"/></numFmts><cellXfs><xf/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="46"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>città</t></si><si><r><t>due </t></r><r><t>pezzi</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c><v>no</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/other.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+    with zipfile.ZipFile(f"{folder}/b.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c><v>solo</v></c></row></sheetData></worksheet>')
+    found = {(r.file[-6:], r.row_no): r.cells for r in spreadsheet.read_sheets(spark, f"{folder}/*.xlsx").collect()}
+    assert found == {
+        ("a.xlsx", 0): ["", "due pezzi", "città", "", "", "x"], ("a.xlsx", 2): ["7", "01/01/2025", "01/01/2025", "45658", "0.5", *[""] * 21, "31/12/1899"],
+        ("a.xlsx", 3): ["tre"], ("b.xlsx", 0): ["solo"],
+    }
+
+
 def test_sheets_of_lost_attempts(spark, folder):
     path = f"file://{folder}/x"
     rows = sheet_sink.write_sheets(spark.range(5).repartition(2), path).collect()

@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 4096)
 
 
 # Near duplicates by similarity: shingles of five words, a Jaccard similarity of 0.8 or more.
-WIDE, RING, KEYS, KEY_BITS = 256, 16, 160, 26
+WIDE, RING, KEYS, KEY_BITS = 256, 16, 232, 26
 _EXPAND = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _PLACES = np.argsort(np.random.default_rng(22).random((KEYS, WIDE)), axis=1)[:, :KEY_BITS]
 

@@ -140,6 +140,27 @@ def similar_rows(seed=9):
     return rows
 
 
+def test_recall_by_similarity(spark):
+    """Pairs on their own, so that no third text links them: found in each band, and near 0.8 itself."""
+    rng = random.Random(12)
+    rows, bands = [], defaultdict(list)
+    for k in range(900):
+        text = [f"q{k}x{rng.randint(0, 900)}" for _ in range(300)]
+        other = list(text)
+        for at in rng.sample(range(0, 300, 7), 2 + k % 5):
+            other[at] = "Altro"
+        rows += [(2 * k, " ".join(text), "it"), (2 * k + 1, " ".join(other), "it")]
+        one, two = _shingles(rows[-2][1]), _shingles(rows[-1][1])
+        likeness = len(one & two) / len(one | two)
+        if likeness >= 0.8:
+            bands[min(int(likeness * 50), 48)].append(k)
+    by_doc, links = simhash.similar(frame(spark, rows))
+    node = {r.doc_id: r.node for r in by_doc.collect()}
+    found = {frozenset((r.a, r.b)) for r in links.collect()}
+    shares = {b / 50: sum(frozenset((node[2 * k], node[2 * k + 1])) in found for k in own) / len(own) for b, own in bands.items() if len(own) > 50}
+    assert min(shares) < 0.83 and all(share >= 0.9 for share in shares.values()), shares
+
+
 @pytest.mark.parametrize("limit", [4096, 2])
 def test_one_of_each(spark, limit):
     """Links are right, and few are missed; what stays is one document of each group."""

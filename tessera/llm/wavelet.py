@@ -300,5 +300,6 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
     path = new_path(spark, "wavelet")
     write_shards(docs, f"{path}/shards", vocabulary or public_path("byte_bpe_50k.json"), end_id, shard_tokens).write.parquet(f"{path}/manifest")
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest")
-    found = read_shards(manifest, f"{path}/shards").join(bases(manifest), "file")
+    # Both sides grow with the corpus, but seem as small as the manifest that they come from.
+    found = read_shards(manifest, f"{path}/shards").hint("merge").join(bases(manifest), "file")
     return found.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -124,3 +124,18 @@ def small_batches(spark: SparkSession, rows: int = 1000, batch: str = "8m", part
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when its query ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -13,6 +13,7 @@ Scoring is a join by shard: each task counts the pairs of each of its documents,
 shard and pair, and packs them (sorted keys as steps, byte by byte, compressed), as rows of plain columns would take
 several times the input on disk. A shard meets its packed pairs with its counts, adds up a number for each document, and
 the numbers of all shards come together by block, where the documents' other columns wait. Words are 32 bits of hash.
+Documents are asked for in ``parts`` one after another, as a part's packed pairs go when it is written.
 
 A trusted document's words and pairs that no other trusted text has count as unmet for it, as they would for others.
 A document is rejected if its perplexity is over ``margin`` times its limit. As short texts vary more, limits follow
@@ -30,6 +31,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, free_names, small_batches, written
+from tessera.llm.common import SPACES, brief_shuffles, free_names, small_batches, written
 
 ORDER = 4
 
@@ -188,13 +190,23 @@ def spelling_bits(words: list[bytes], spelling: np.ndarray) -> np.ndarray:
     return np.append(sums[starts + sizes + 1] - sums[starts] + _WORD_BITS, _END_BITS)
 
 
-def read_words(text: str | None, spelling: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of a text's words between those of start and end; spelling bits of all but the start; bytes of words. Empty without words."""
+def read_words(text: str | None, spelling: np.ndarray | None = None, known: _Sorted | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a text's words between those of start and end; spelling bits of all but the start; bytes of words. Empty without words.
+
+    With ``known``, whose last column has spelling bits, only words that aren't there are spelled.
+    """
     tokens, bits, size = [np.array([_BEGIN], np.uint32)], [], 0
     for words in word_blocks(text):
         tokens.append(word_hashes(words))
         size += sum(map(len, words))
-        if spelling is not None:
+        if known is not None:
+            row, is_known = known.find(tokens[-1])
+            of = known.columns[-1][row].astype(np.float64) if len(known.hashes) else np.zeros(len(words))
+            new = np.flatnonzero(~is_known)
+            if len(new):
+                of[new] = spelling_bits([words[k] for k in new.tolist()], spelling)[:-1]
+            bits.append(of)
+        elif spelling is not None:
             bits.append(spelling_bits(words, spelling)[:-1])
     if len(tokens) == 1:
         return np.zeros(0, np.uint32), np.zeros(0), 0
@@ -236,8 +248,13 @@ def count_words(texts: DataFrame, least_share: float = 0.0, spelling: Broadcast
         size = 0
 
         def flush() -> pa.RecordBatch:
-            words, at, n = np.unique(np.concatenate([t for t, _ in held]), return_index=True, return_counts=True)
-            bits = np.concatenate([b for _, b in held])[at]
+            tokens = np.concatenate([t for t, _ in held])
+            if spelling:
+                words, at, n = np.unique(tokens, return_index=True, return_counts=True)
+                bits = np.concatenate([b for _, b in held])[at]
+            else:
+                words, n = np.unique(tokens, return_counts=True)
+                bits = np.zeros(len(words), np.float32)
             often = n >= least_share * size
             return pa.RecordBatch.from_arrays([pa.array(words[often].astype(np.int64)), pa.array(n[often]), pa.array(bits[often])], names=["word", "n", "bits"])
 
@@ -245,7 +262,7 @@ def count_words(texts: DataFrame, least_share: float = 0.0, spelling: Broadcast
             for x in batch.column(0):
                 tokens, bits, _ = read_words(x.as_py(), spelling and spelling.value)
                 if len(tokens):
-                    held.append((tokens, np.concatenate([[0.0], bits]).astype(np.float32) if spelling else np.zeros(len(tokens), np.float32)))
+                    held.append((tokens, np.concatenate([[0.0], bits]).astype(np.float32) if spelling else bits))
                     size += len(tokens)
                 if size > 4 * _ENTRIES:
                     yield flush()
@@ -279,6 +296,13 @@ def _shard_of(keys: np.ndarray, hot: _Sorted, shards: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
 
+def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of rows by shard, else as they are; and where each shard begins and ends in it."""
+    order = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
+    return order, [(int(shard[order[a]]), a, b) for a, b in zip(cuts, [*cuts[1:], len(shard)])]
+
+
 def count_pairs(texts: DataFrame, spelling: Broadcast, words: Broadcast, hot: Broadcast, shards: int) -> DataFrame:
     """shard, n, keys, counts and spelled: each task's pairs of words of ``texts.text``, packed by shard."""
     names = ["shard", "n", "keys", "counts", "spelled"]
@@ -306,10 +330,11 @@ def count_pairs(texts: DataFrame, spelling: Broadcast, words: Broadcast, hot: Br
 
     def _packed_pairs(keys, n, bits, shard, known) -> pa.RecordBatch:
         rows = []
-        for s in np.unique(shard).tolist():
-            here = shard == s
-            cold = ~known.find((keys[here] & _LOW).astype(np.uint32))[1]
-            rows.append((s, int(here.sum()), squeezed(_steps(keys[here])), squeezed(n[here]), squeezed(bits[here][cold].view(np.uint16))))
+        order, places = _by_shard(shard)
+        keys, n, bits = keys[order], n[order], bits[order]
+        cold = ~known.find((keys & _LOW).astype(np.uint32))[1]
+        for s, a, b in places:
+            rows.append((s, b - a, squeezed(_steps(keys[a:b])), squeezed(n[a:b]), squeezed(bits[a:b][cold[a:b]].view(np.uint16))))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=names)
 
     return texts.select("text").mapInArrow(run, "shard int, n long, keys binary, counts binary, spelled binary")
@@ -429,24 +454,25 @@ def requests(docs: DataFrame, others: list[str], spelling: Broadcast, words: Bro
             keys, times = (np.concatenate(c) for c in zip(*held))
             doc = np.repeat(np.arange(len(held)), [len(k) for k, _ in held])
             order = np.argsort(keys, kind="stable")
-            keys, doc, times = keys[order], doc[order], times[order]
-            shard = _shard_of(keys, hot_names.value, shards)
+            keys = keys[order]
+            by_shard, places = _by_shard(_shard_of(keys, hot_names.value, shards))
+            order = order[by_shard]
+            keys, doc, times = keys[by_shard], doc[order], times[order]
             whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*others, *_OWN])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema) as writer:
                 writer.write_batch(whole)
             own = struct.pack("<I", len(rows)) + np.packbits([bool(r[own_at]) for r in rows]).tobytes()
             out = [(block % shards, block, -1, sink.getvalue().to_pybytes(), None, None, own)]
-            for s in np.unique(shard).tolist():
-                here = shard == s
-                out.append((s, block, int(here.sum()), squeezed(_steps(keys[here])), squeezed(doc[here]), squeezed(times[here]), own))
+            for s, a, b in places:
+                out.append((s, block, b - a, squeezed(_steps(keys[a:b])), squeezed(doc[a:b]), squeezed(times[a:b]), own))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=names)
 
         for batch in batches:
             kinds = [*(batch.schema.field(c).type for c in others), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
             for *values, text in zip(*(c.to_pylist() for c in batch.columns[: len(others)]), batch.column(len(others))):
                 text = text.as_py()
-                tokens, bits, spelled = read_words(text, spelling.value)
+                tokens, bits, spelled = read_words(text, spelling.value, words.value)
                 total, keys = 0.0, pair_keys(tokens)
                 if len(tokens):
                     found, met = words.value.find(tokens[1:])
@@ -495,7 +521,7 @@ def answers(asked: DataFrame, pairs: DataFrame, words: Broadcast, hot: Broadcast
     return asked.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(run, "block long, sums binary, rows binary")
 
 
-def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_share: float = 5e-7, shard_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_share: float = 5e-7, shard_bytes: int = 4 << 20, parts: int = 3) -> DataFrame:
     """All columns but text, with n_bytes, perplexity (null where there is none) and has_words, under the model of ``trusted.text``.
 
     The perplexity is by byte of words and the spaces after them. Rows whose column ``is_trusted`` is true are part of the
@@ -513,7 +539,7 @@ def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_sha
     held_spelling = spark.sparkContext.broadcast(spelling)
     counted = written(count_words(trusted, spelling=held_spelling), "trusted-words")
     total = counted.agg(F.sum("n")).first()[0]
-    often = count_words(docs, hot_share)
+    often = written(count_words(docs, hot_share), "document-words")
     asked_total = often.agg(F.sum("n")).first()[0] or 0
     # At most 1 / word_share words and some 2 / hot_share first words, at any size of corpus.
     kept = counted.where((F.col("n") >= word_share * total) | F.col("word").isin(_BEGIN, _END)).toArrow()
@@ -534,12 +560,10 @@ def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_sha
     rest = float(1 - own.sum())
     known = _Sorted(kept["word"].to_numpy(), kept["n"].to_numpy(), kept["bits"].to_numpy())
     at, _ = known.find(ends["id"].to_numpy().astype(np.uint32))
-    words = _Sorted(ends["id"].to_numpy(), known.columns[0][at], -np.log2(own + rest * 2.0 ** -known.columns[1][at].astype(np.float64)))
+    spelled = known.columns[1][at]
+    words = _Sorted(ends["id"].to_numpy(), known.columns[0][at], -np.log2(own + rest * 2.0 ** -spelled.astype(np.float64)), spelled)
     words, hot = share(words), share(hot)
 
-    asked = requests(docs, others, held_spelling, words, hot_names, hot, rest, shards)
-    found = answers(asked, merged.where("kind = 0"), words, hot, d, rest)
-
     def together(table: pa.Table) -> pa.Table:
         rows, held = None, []
         for sums, own in zip(table["sums"], table["rows"]):
@@ -553,7 +577,13 @@ def score(docs: DataFrame, trusted: DataFrame, hot_share: float = 1e-4, word_sha
         return rows.select([*others, "n_bytes"]).append_column("perplexity", perplexity).append_column("has_words", rows["has_words"])
 
     schema = docs.select(*others).schema.add("n_bytes", "long").add("perplexity", "double").add("has_words", "boolean")
-    return found.groupBy("block").applyInArrow(together, schema)
+    dealt = F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(parts))
+    scored = []
+    for part in range(parts):
+        asked = requests(docs.where(dealt == part), others, held_spelling, words, hot_names, hot, rest, shards)
+        found = answers(asked, merged.where("kind = 0"), words, hot, d, rest)
+        scored.append(written(found.groupBy("block").applyInArrow(together, schema), "scored"))
+    return reduce(DataFrame.union, scored)
 
 
 def _has_words() -> Column:
@@ -603,7 +633,7 @@ def classify(
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.col("trusted_id").isNotNull().alias("is_trusted"), "text")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), brief_shuffles(docs.sparkSession):
         scored = written(score(rows, rows.where("is_trusted")), "perplexities")
     trusted = scored.where("is_trusted")
     by_lang, (level, steps), limit = limits(trusted, quantile, least_documents)

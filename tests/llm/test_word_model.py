@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,31 @@ def test_limits_at_any_length(spark):
     got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
     assert all(r.limit is not None for r in got.values())
     assert {k for k, r in got.items() if not r.kept} == {200, 201, 202}
+
+
+def test_parts_leave_no_shuffles(spark):
+    """Documents scored in parts have what they have at once, and no part's pairs stay on disk."""
+    rows, _ = corpus()
+    rows += [(50, "una parola nuova", None), (50, "una parola nuova", None), (51, " \n", "it"), (52, None, "it"), *[(60 + k, f"lane {k} rine ", "it") for k in range(40)]]
+    docs = spark.createDataFrame(rows, DOCS)
+    trusted = spark.createDataFrame(rows[:40], DOCS).select("text")
+    at_once, parted = ({(r.doc_id, r.lang, r.n_bytes): r.perplexity or 0.0 for r in kneser_ney.score(docs, trusted, shard_bytes=500, parts=n).collect()} for n in (1, 5))
+    assert at_once == pytest.approx(parted, rel=1e-6)
+    assert kneser_ney.score(docs, trusted, shard_bytes=500, parts=5).count() == len(rows)
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in files.apply(k).getName() for k in range(files.size()))
+
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    spark._jvm.System.gc()
+    before = shuffled()
+    kneser_ney.classify(docs, labels).count()
+    assert shuffled() < before + 12
+
+
+def test_rows_by_shard():
+    shard = np.array([3, 0, 70000, 3, 0, 5], np.int32)
+    order, places = kneser_ney._by_shard(shard)
+    assert order.tolist() == [1, 4, 0, 3, 5, 2] and places == [(0, 0, 2), (3, 2, 4), (5, 4, 5), (70000, 5, 6)]
+    assert kneser_ney._by_shard(shard[:0])[1] == []

@@ -152,8 +152,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             ones = np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
-            up[~ones] = now[: self.zeros[level]]
-            up[ones] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            up[np.flatnonzero(ones)] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
             now = up
         return now
 

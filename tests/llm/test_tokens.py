@@ -52,3 +52,14 @@ def test_same_ids_of_many(name, spaced):
     texts = ["".join(rng.choice(spaces) + rng.choice(words) for _ in range(rng.randint(0, 12))) + rng.choice(["", "", " ", "\n", "\n\n"]) for _ in range(4000)]
     theirs = library(name)
     assert Encoder(public_path(name), spaced).ids(texts) == [theirs(t) for t in texts]
+
+
+def test_stems_are_merged_once():
+    """A word with marks after it, and the word met again, take the ids that its letters have; different texts get their own ids."""
+    name, spaced = VOCABULARIES[0]
+    ours, theirs, asked = Encoder(public_path(name), spaced), library(name), []
+    merges = ours.merges
+    ours.merges = lambda piece: asked.append(piece) or merges(piece)
+    texts = ["so alphonding, alphonding. 'alphonding", "", None, "so alphonding alphonding!\nalphonding (ñalphonding", "\nso", "so  two"]
+    assert ours.ids(texts) == [theirs(t or "") for t in texts]
+    assert asked.count("Ġalphonding") == 1

@@ -328,7 +328,7 @@ def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 4).alias("part"), "c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("market"), F.expr("date_add(DATE'2020-01-01', cast(c_custkey % 5000 AS int))").alias("since"), "c_acctbal")
     path = f"{scratch.shared_folder(spark)}/sheets-{uuid.uuid4().hex}"
     written = spreadsheet_sink.write_sheets(rows.repartitionById(4, F.col("part").cast("int")), path, {"since": "date", "c_acctbal": "currency"}, first_column=1)
-    scratch.written(written, "sheets-written")
-    found = spreadsheet.read_sheets(spark, f"{path}/*.xlsx").where(F.get("cells", F.lit(1)) != "part")
+    files = spreadsheet_sink.listed(path, scratch.written(written, "sheets-written"))  # not those of lost attempts
+    found = spreadsheet.read_sheets(spark, files).where(F.get("cells", F.lit(1)) != "part")
     names = ("part", "code", "name", "market", "since", "balance")
     return found.select(*[F.get("cells", F.lit(k + 1)).alias(n) for k, n in enumerate(names)]).withColumn("part", F.col("part").cast("long"))

@@ -76,7 +76,7 @@ def write_sheets(df: DataFrame, path: str, kinds: Mapping[str, str] = {}, header
     """Writes ``part-N-A-K.xlsx`` below ``path``, a folder that all executors see; the result, once evaluated, lists them.
 
     A task that is done again writes files of its own (A is its attempt); what the result doesn't list isn't part of the
-    table, and ``tidied`` takes it away. Evaluate the result once, and keep it. A sheet holds SHEET_ROWS rows, header included; a partition with more goes on in further files. A file is put together
+    table: read what ``listed`` names; ``tidied`` takes the rest away. Evaluate the result once, and keep it. A sheet holds SHEET_ROWS rows, header included; a partition with more goes on in further files. A file is put together
     in the task's memory, compressed.
     """
     names, of = [headers.get(c, c) for c in df.columns], [kinds.get(c, "text") for c in df.columns]
@@ -105,6 +105,11 @@ def write_sheets(df: DataFrame, path: str, kinds: Mapping[str, str] = {}, header
     return df.mapInArrow(run, "file string, n_rows long")
 
 
+def listed(path: str, written: DataFrame) -> list[str]:
+    """The sheets below ``path`` that are part of the table ``written``, an evaluated result of ``write_sheets``: one for many rows."""
+    return [f"{path}/{r.file}" for r in written.select("file").orderBy("file").collect()]
+
+
 def tidied(spark: SparkSession, path: str, written: DataFrame) -> list[str]:
     """Takes away the sheets below ``path`` that ``written``, an evaluated result of ``write_sheets``, doesn't list; returns their names."""
     there = spark.createDataFrame([(x,) for x in folders.names(spark, path) if x.endswith(".xlsx")], "file string")

@@ -114,8 +114,8 @@ def placed(ref: Column, row: Sequence[str]) -> Column:
     return F.coalesce(last["at"] + F.col("place") - last["place"], F.col("place")).cast("int")
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """file, row_no and cells of the files at a path: rows that aren't blank, by their place in the sheet, with '' where there is no cell."""
+def read_sheets(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, row_no and cells of the files at a path, or of these files: rows that aren't blank, by their place in the sheet, with '' where there is no cell."""
     parts = written(sheet_parts(spark.read.format("binaryFile").load(path)), "sheet-parts")
     row = ["file", "number"]
     cells = shown_cells(parts).withColumn("at", placed(F.col("ref"), row)).where("text <> ''")

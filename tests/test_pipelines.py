@@ -1,6 +1,7 @@
 """Bookings, files in and out, grids, and streams."""
 
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -137,6 +138,24 @@ def test_sheets_of_lost_attempts(spark, folder):
     assert sorted(r.cells[0] for r in spreadsheet.read_sheets(spark, path).collect()) == sorted([*map(str, range(5)), *["id"] * len(rows)])
 
 
+def test_sheet_query_reads_listed_sheets(spark, folder, monkeypatch):
+    """A sheet that a lost attempt left whole isn't read a second time."""
+    from tessera.plans import content
+
+    spark.sql("SELECT id AS c_custkey, concat('c', id) AS c_name, 'm' AS c_mktsegment, 1.5D AS c_acctbal FROM range(20)").write.parquet(f"{folder}/sf/customer.parquet")
+    write, paths, names = sheet_sink.write_sheets, [], content.scratch.written
+    monkeypatch.setattr(content.spreadsheet_sink, "write_sheets", lambda df, path, *a, **k: paths.append(path) or write(df, path, *a, **k))
+
+    def retried(df, name):
+        out = names(df, name)
+        here = paths[0].removeprefix("file://")
+        shutil.copy(f"{here}/{out.first().file}", f"{here}/part-00000-999999-000.xlsx")
+        return out
+
+    monkeypatch.setattr(content.scratch, "written", retried)
+    assert sorted(int(r.code) for r in content.sheet_files(spark, f"{folder}/sf").collect()) == list(range(20))
+
+
 def test_children_from_supplements(spark):
     rows = [("1", "a", "Letto agg. Bambino"), ("1", "b", ""), ("1", "c", "letto agg.  bambino 2"), ("2", "d", "Letto agg. Bambino"), ("3", "e", "")]
     data = spark.createDataFrame([(*r, 1, k) for k, r in enumerate(rows)], "npren string, cognome string, supplementi string, page int, ordinal long")

@@ -189,9 +189,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 4096)
 
 
 # Near duplicates by similarity: shingles of five words, a Jaccard similarity of 0.8 or more.
-WIDE, RING, KEYS, KEY_BITS = 256, 16, 232, 26
-_EXPAND = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-_PLACES = np.argsort(np.random.default_rng(22).random((KEYS, WIDE)), axis=1)[:, :KEY_BITS]
+#: The fewest and most bits of a sketch; up to how many nodes all pairs of a set that may link are candidates, and up to how many they are looked at at once.
+LEAST_BITS, MOST_BITS, FEW, AT_ONCE = 512, 1 << 16, 8, 512
+#: Keys that more nodes share come last in the order of shingles. Where that would be over a million keys, the bound is higher.
+_OFTEN = 256
+_BROADCAST_ROWS = 100_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
@@ -209,136 +211,222 @@ def shingle_hashes(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
     return joined, np.unique(found)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """Majority of WIDE bits over distinct shingles."""
-    ones = np.zeros(WIDE, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        h = (hashes[at : at + (1 << 14), None] ^ _EXPAND) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        ones += np.unpackbits((h ^ (h >> np.uint64(29))).view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+def sketch(hashes: np.ndarray) -> bytes:
+    """Of each class of hashes, about as many as there are hashes, whether their number is odd.
 
-
-def most_differing(similarity: float) -> int:
-    """Bits that fingerprints of sets of this Jaccard similarity differ in, but for one pair in a hundred."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + 2.33 * np.sqrt(WIDE * share * (1 - share)))
-
-
-def _near(one: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
-    """Which of the fingerprints (rows of 16-bit segments) differ from one in at most ``most`` bits.
-
-    First a chain of four segments in a row must keep within its share of the budget at each of its lengths.
+    Two sets' sketches of one size differ in no more bits than the sets in elements; ``_folded`` makes them one size.
     """
-    differ = np.bitwise_count(others ^ one).astype(np.int16)
-    chains, good = np.zeros_like(differ), np.ones(differ.shape, bool)
-    for k in range(4):
-        chains += np.roll(differ, -k, axis=1)
-        good &= chains * RING <= (k + 1) * most
-    rows = good.any(axis=1)
-    rows[rows] = differ[rows].sum(axis=1) <= most
-    return rows
-
-
-def _forest(nodes: np.ndarray, prints: np.ndarray, budgets: list[int]) -> set[tuple[int, int]]:
-    """Links of spanning forests at each of the budgets."""
+    bits = min(max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length()), MOST_BITS) if len(hashes) else LEAST_BITS
+    counts = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(raw: bytes, width: int) -> np.ndarray:
+    """The sketch that has ``width`` bytes: classes are joined by twos."""
+    bits = np.frombuffer(raw, np.uint64)
+    while 8 * len(bits) > width:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """How many elements, the first in any order of all elements, sets of this size must be met by."""
+    return size - int(np.ceil(similarity * size - 1e-9)) + 1 if size else 0
+
+
+class _Sets:
+    """Sizes and sketches of nodes; which pairs of them can be similar."""
+
+    def __init__(self, sizes: np.ndarray, raw: list[bytes], similarity: float) -> None:
+        self.sizes, self.similarity, self.tables = sizes, similarity, {}
+        self.widths = np.fromiter(map(len, raw), np.int64, len(raw))
+        for width in np.unique(self.widths).tolist():  # sizes that may link have widths that differ by 2 at most
+            own = np.flatnonzero((self.widths == width) | (self.widths == 2 * width))
+            at = np.zeros(len(raw), np.int64)
+            at[own] = np.arange(len(own))
+            self.tables[width] = at, np.stack([_folded(raw[k], width) for k in own])
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, share: float = 1.0) -> np.ndarray:
+        """Which of the pairs (i, j) sizes and sketches don't rule out; share: of the elements that may differ."""
+        one, two = self.sizes[i], self.sizes[j]
+        most = share * (1 - self.similarity) / (1 + self.similarity) * (one + two) + 1e-6
+        good = np.minimum(one, two) >= self.similarity * np.maximum(one, two) - 1e-6
+        left = np.flatnonzero(good)
+        widths = np.minimum(self.widths[i[left]], self.widths[j[left]])
+        for width in np.unique(widths).tolist():
+            at, bits = self.tables[width]
+            own, step = left[widths == width], max(1, (1 << 22) // width)
+            for k in range(0, len(own), step):
+                some = own[k : k + step]
+                good[some] = np.bitwise_count(bits[at[i[some]]] ^ bits[at[j[some]]]).sum(axis=1) <= most[some]
+        return good
+
+
+def _forest(names: np.ndarray, sets: _Sets) -> set[tuple[int, int]]:
+    """Links of spanning forests over the pairs that may link, and over those that differ less."""
     out: set[tuple[int, int]] = set()
-    for most in budgets:
-        left, queue = np.arange(len(nodes)), []
+    those = np.arange(len(names))
+    if len(names) <= AT_ONCE:  # most have none to link to
+        i, j = np.triu_indices(len(names), 1)
+        good = sets.may_link(i, j)
+        those = np.union1d(i[good], j[good])
+    for share in (1.0, 0.5, 0.25):
+        left, queue = those, []
         while len(left):
             if not queue:
                 queue, left = [left[0]], left[1:]
             here = queue.pop()
-            near = _near(prints[here], prints[left], most)
-            out.update((int(nodes[here]), int(x)) for x in nodes[left[near]])
+            near = sets.may_link(np.full(len(left), here), left, share)
+            out.update((int(names[here]), int(x)) for x in names[left[near]])
             queue.extend(left[near])
             left = left[~near]
-    return out
+    return {(min(x), max(x)) for x in out}
+
+
+def _members(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Where each row of structs starts, and ends the last; nodes, sizes, sketches and whatever else the structs have, by row and node."""
+    of, ends = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    names = of.field("node").to_numpy()
+    order = np.lexsort((names, np.repeat(np.arange(len(column)), np.diff(ends))))
+    more = [of.field(f.name).to_numpy()[order] for f in of.type if f.name not in ("node", "size", "sketch")]
+    return ends, names[order], of.field("size").to_numpy()[order], of.field("sketch").take(pa.array(order)).to_pylist(), *more
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, node) of all documents, and the links (a, b) between nodes whose Jaccard similarity was verified.
+    """(doc_id, text_hash, node) of all documents, and verified links (a, b) that connect just the nodes of that Jaccard similarity.
 
-    A node is a sequence of words, so copies are one. Nodes meet where one of KEYS samples of KEY_BITS bits of their
-    fingerprints agrees. Of the nodes of a sample, spanning forests at three budgets of differing bits are candidates,
-    after a test of chains of segments; candidates are verified on their shingles. In samples that more than ``bucket_limit``
-    nodes share, the nodes near the smallest one are linked to it, and all are dealt anew by further bits.
+    A node is a sequence of words, so copies are one. No link is missed: in any one order of all shingles, two such sets share
+    one of their first ``prefix_length``. The order goes by hash, with shingles that many nodes have last. Nodes that share a
+    key of these meet; of a key with more than ``bucket_limit`` nodes, two blocks of nodes at a time. What sizes and sketches
+    don't rule out is compared by shingles: all pairs of a set of FEW nodes; of larger ones first spanning forests, then all pairs that
+    the links found leave unconnected.
     """
-    spark = docs.sparkSession
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, wide = [], []
+            nodes, sizes, bits, pools = [], [], [], []
             for x in batch.column(2):
                 joined, hashes = shingle_hashes(x.as_py(), shingle)
                 nodes.append(_signed(xxhash.xxh3_64_intdigest(joined)))
-                wide.append(wide_fingerprint(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(wide, pa.binary())], names=["doc_id", "text_hash", "node", "wide"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
-                key = bits[:, _PLACES] @ (1 << np.arange(KEY_BITS, dtype=np.int64))
-                key += np.arange(KEYS, dtype=np.int64) << KEY_BITS
-                node = np.repeat(batch.column(0).to_numpy(), KEYS)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key.ravel())], names=["node", "key"])
-
-    budgets = [most_differing(x) for x in (similarity, (1 + similarity) / 2, (3 + similarity) / 4)]
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sizes.append(len(hashes))
+                bits.append(sketch(hashes))
+                first = prefix_length(len(hashes), similarity)
+                pools.append(hashes[: first + first // 2 + 4].view(np.int64))
+            columns = [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(pools, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "sketch", "pool"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    by_doc = written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, sketch binary, pool array<long>"), "shingles-first")
+    one = by_doc.groupBy("node").agg(F.first(F.struct("size", "sketch", "pool")).alias("of"), F.min(F.struct("doc_id", "text_hash")).alias("at"))
+    nodes = written(one.select("node", "of.*", "at"), "distinct-texts")
+
+    def shingled(wanted: DataFrame) -> DataFrame:
+        """(node, size, pool) with all of the shingles of the nodes ``wanted``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [shingle_hashes(x.as_py(), shingle)[1].view(np.int64) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "pool"])
+
+        there = nodes.select("node", "at").join(wanted, "node")
+        if wanted.count() <= _BROADCAST_ROWS:  # texts then don't move
+            there = F.broadcast(there)
+        texts = rows.join(there, F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash"))).groupBy("node").agg(F.first("text").alias("text"))
+        return texts.mapInArrow(run, "node long, size long, pool array<long>")
+
+    n_keys = nodes.agg(F.sum(F.size("pool"))).first()[0] or 0
+    counts = nodes.select(F.explode("pool").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") > max(min(_OFTEN, bucket_limit), n_keys >> 20)).select("key").collect()
+    frequent = np.sort(np.array([r.key for r in often], np.int64))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, of = [], []
+            for node, size, pool in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = pool.values.to_numpy()
+                late = frequent[np.searchsorted(frequent, own).clip(max=len(frequent) - 1)] == own if len(frequent) else np.zeros(len(own), bool)
+                first = prefix_length(size, similarity)
+                if len(own) < size and len(own) - np.count_nonzero(late) < first:
+                    keys.append(pa.nulls(1, pa.int64()))
+                else:
+                    keys.append(pa.array(np.concatenate([own[~late], own[late]])[:first]))
+                of.append(np.full(len(keys[-1]), node, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of)), pa.concat_arrays(keys)], names=["node", "key"])
+
+    dealt = written(nodes.select("node", "size", "pool").mapInArrow(prefixes, "node long, key long"), "shingle-keys")
+    # The first shingles of these were too few: all of them are looked at.
+    more = written(shingled(dealt.where("key IS NULL").select("node")).mapInArrow(prefixes, "node long, key long"), "shingle-keys-more")
+    dealt = dealt.where("key IS NOT NULL").union(more)
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(dealt.join(shared, "key"), "similarity-keys")
+    listed = F.sort_array(F.collect_list("node")).alias("nodes")
+    sets = members.where(F.col("n") <= bucket_limit).groupBy("key").agg(listed).select("nodes")
+    blocks = F.ceil(2 * F.col("n") / bucket_limit)
+    two = members.where(F.col("n") > bucket_limit).withColumn("one", F.pmod(F.xxhash64("node"), blocks))
+    two = two.select("key", "node", "one", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("two")).where("one <> two")
+    crowded = two.groupBy("key", F.least("one", "two").alias("low"), F.greatest("one", "two").alias("high")).agg(listed).select("nodes")
+    sets = sets.union(crowded).where(F.size("nodes") > 1).distinct()  # nodes of one group share many keys
+    sets = sets.select(F.xxhash64("nodes").alias("key"), F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
+    sets = written(sets.join(nodes.select("node", "size", "sketch"), "node"), "similarity-sets")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for row in batch.column(0):
-                members = sorted(row.as_py(), key=lambda m: m["node"])
-                segments = np.frombuffer(b"".join(m["wide"] for m in members), np.uint16).reshape(-1, RING)
-                found |= _forest(np.array([m["node"] for m in members]), segments, budgets)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends, names, sizes, raw = _members(batch.column(0))
+            few = [a + np.array(np.triu_indices(b - a, 1)) for a, b in zip(ends, ends[1:]) if b - a <= FEW]
+            i, j = np.concatenate(few, axis=1) if few else np.zeros((2, 0), np.int64)
+            good = _Sets(sizes, raw, similarity).may_link(i, j)
+            found = set(zip(names[i[good]].tolist(), names[j[good]].tolist()))
+            for a, b in zip(ends, ends[1:]):
+                if b - a > FEW:
+                    found |= _forest(names[a:b], _Sets(sizes[a:b], raw[a:b], similarity))
+            yield _pairs(list(found))
+
+    def unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, RING) for c in batch.columns[2:])
-            near = pa.array(np.bitwise_count(one ^ two).sum(axis=1) <= budgets[0])
-            yield pa.RecordBatch.from_arrays([c.filter(near) for c in batch.columns[:2]], names=["a", "b"])
+            found: list[tuple[int, int]] = []
+            ends, names, sizes, raw, roots = _members(batch.column(0))
+            for a, b in zip(ends, ends[1:]):
+                sets, own, step = _Sets(sizes[a:b], raw[a:b], similarity), roots[a:b], max(1, AT_ONCE**2 // (b - a))
+                for k in range(0, b - a, step):
+                    i, j = np.nonzero(own[k : k + step, None] != own[None, :])
+                    i, j = i[i + k < j] + k, j[i + k < j]
+                    good = sets.may_link(i, j)
+                    found += zip(names[a + i[good]].tolist(), names[a + j[good]].tolist())
+                    if len(found) > 1 << 16:
+                        yield _pairs(found)
+                        found = []
+            yield _pairs(found)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, np.zeros(0, np.uint64)
         for batch in batches:
             good = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != last:
-                    last, of_last = a, shingle_hashes(x.as_py(), shingle)[1]
-                other = shingle_hashes(y.as_py(), shingle)[1]
-                both = len(np.intersect1d(of_last, other, assume_unique=True))
-                good.append(both >= similarity * (len(of_last) + len(other) - both))
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, other = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                good.append(both >= similarity * (len(one) + len(other) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    by_doc = written(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, wide binary"), "wide-fingerprints")
-    nodes = written(by_doc.groupBy("node").agg(F.first("wide").alias("wide"), F.min(F.struct("doc_id", "text_hash")).alias("at")), "distinct-texts")
-    # About a million keys to a task, which then holds little before it shuffles them.
-    tasks = max(1, min(nodes.count() * KEYS >> 20, 20_000))
-    dealt = nodes.select("node", "wide").repartition(tasks, "node").mapInArrow(keys, "node long, key long")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(dealt.join(shared, "key").join(nodes.select("node", "wide"), "node"), "similarity-keys")
-    listed = F.collect_list(F.struct("node", "wide")).alias("members")
-    found = members.where(F.col("n") <= bucket_limit).groupBy("key").agg(listed).select("members").mapInArrow(candidates, "a long, b long")
-    crowded = members.where(F.col("n") > bucket_limit)
-    if crowded.head(1):
-        least = crowded.groupBy("key").agg(F.min(F.struct("node", "wide")).alias("least"))
-        pairs = crowded.join(least, "key").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.wide").alias("one"), F.col("wide").alias("two")).where("a <> b")
-        finer = crowded.withColumn("more", F.explode(F.sequence(F.lit(0), F.lit(7)))).groupBy("key", "more", F.substring("wide", F.col("more") * 4 + 1, F.lit(2)).alias("part"))
-        found = found.union(pairs.mapInArrow(stars, "a long, b long")).union(finer.agg(listed).where(F.size("members") > 1).select("members").mapInArrow(candidates, "a long, b long"))
-    found = written(found.distinct(), "similar-candidates")
-    wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "at"), "node")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash"))).groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "candidate-texts")
-    pairs = found.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
-    links = pairs.select("a", "b", "one", "two").mapInArrow(verified, "a long, b long")
-    return by_doc.select("doc_id", "text_hash", "node"), written(links, "similar-links")
+    def checked(found: DataFrame, name: str) -> DataFrame:
+        wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+        whole = written(shingled(wanted).select("node", "pool"), f"{name}-shingles")
+        pairs = found.join(whole.select(F.col("node").alias("b"), F.col("pool").alias("two")), "b").join(whole.select(F.col("node").alias("a"), F.col("pool").alias("one")), "a")
+        return written(pairs.select("a", "b", "one", "two").mapInArrow(verified, "a long, b long"), f"{name}-links")
+
+    collected = F.collect_list(F.struct("node", "size", "sketch")).alias("members")
+    near = written(sets.groupBy("key").agg(collected).select("members").mapInArrow(forests, "a long, b long").distinct(), "similar-near")
+    links = checked(near, "similar-near")
+    rooted = sets.where(F.col("n") > FEW).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    collected = F.collect_list(F.struct("node", "size", "sketch", "root")).alias("members")
+    rest = rooted.groupBy("key").agg(collected, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rest = written(rest.select("members").mapInArrow(unconnected, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "similar-rest")
+    return by_doc.select("doc_id", "text_hash", "node"), links.union(checked(rest, "similar-rest"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 4096) -> DataFrame:

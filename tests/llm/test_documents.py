@@ -192,6 +192,41 @@ def test_one_of_each(spark, limit):
     assert sorted(r.doc_id for r in kept) == expected and len(kept[0]) == 8
 
 
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_no_link_is_missed(spark, limit):
+    """Every pair of 0.8 or more is connected, pairs on their own too, and under lines that all texts share."""
+    rng = random.Random(31)
+    line = " ".join(f"comune{k}" for k in range(12))
+    rows = []
+    for k in range(240):
+        n = rng.choice([30, 120, 200])
+        text = [f"r{k}x{rng.randint(0, 900)}" for _ in range(n)] + line.split() * (k % 3 > 0)
+        rows.append((4 * k, " ".join(text), "it"))
+        for j in range(1, 2 + k % 3):
+            other = list(text)
+            for at in rng.sample(range(0, n, 6), min(rng.randint(1, 4), (n + 5) // 6)):
+                other[at] = f"altro{j}"
+            rows.append((4 * k + j, " ".join(other), "it"))
+    by_doc, links = simhash.similar(frame(spark, rows), bucket_limit=limit)
+    node = {r.doc_id: r.node for r in by_doc.collect()}
+    sets = {i: _shingles(t) for i, t, _ in rows}
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    links = [(r.a, r.b) for r in links.collect()]
+    of = {n: i for i, n in node.items()}
+    assert all(likeness(of[a], of[b]) >= 0.8 for a, b in links)
+    root = {n: n for n in node.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    alike = [(a, b) for a in sets for b in sets if a < b and likeness(a, b) >= 0.8]
+    assert len(alike) > 100 and all(find(node[a]) == find(node[b]) for a, b in alike)
+
+
 def _groups(nodes, find):
     groups = defaultdict(list)
     for n in nodes:

@@ -49,7 +49,9 @@ def throttle(attempts: DataFrame, seconds: int = WINDOW_SECONDS, failures: int =
     """Adds ``recent`` (failures of the key in the last ``seconds``, since its last success) and ``refused``.
 
     attempts: (key, at in whole seconds, id, failed). A key's attempts are cut into slices of time; each slice also
-    has the attempts just before it, so that a key with very many attempts is dealt over many tasks.
+    has the attempts just before it, so that a key with very many attempts is dealt over many tasks. A failure is
+    followed by a row of its own where it leaves the window, so all is counted by running sums: work doesn't grow with
+    how many attempts a window has.
     """
     size = _WINDOWS_PER_SLICE * seconds
     number = F.floor(F.col("at") / size)
@@ -58,14 +60,16 @@ def throttle(attempts: DataFrame, seconds: int = WINDOW_SECONDS, failures: int =
         F.array(F.struct(number.alias("slice"), F.lit(True).alias("own")))
     )
     rows = attempts.select("*", F.inline(slices))
-    part = Window.partitionBy("key", "slice")
-    running = part.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    near = part.orderBy("at").rangeBetween(-(seconds - 1), 0)
-    rows = rows.withColumn("_failed", F.sum(F.col("failed").cast("int")).over(running))
-    rows = rows.withColumn("_before", F.min(F.col("_failed") - F.col("failed").cast("int")).over(near))
-    rows = rows.withColumn("_cleared", F.max(F.when(~F.col("failed"), F.col("_failed"))).over(part.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)))
-    recent = F.col("_failed") - F.greatest(F.col("_before"), F.coalesce("_cleared", F.lit(0)))
-    return rows.where("own").withColumn("recent", recent).withColumn("refused", F.col("recent") >= failures).drop("slice", "own", "_failed", "_before", "_cleared")
+    failed = F.coalesce(F.col("failed").cast("int"), F.lit(0))
+    ended = F.col("at") + seconds
+    moments = F.array(F.struct(F.col("at").alias("_at"), F.lit(1).alias("_kind")), F.when((failed == 1) & (F.floor(ended / size) <= F.col("slice")), F.struct(ended.alias("_at"), F.lit(0).alias("_kind"))))
+    rows = rows.select("*", F.inline(F.array_compact(moments)))
+    is_attempt = F.col("_kind") == 1
+    running = Window.partitionBy("key", "slice").orderBy("_at", "_kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_failed": F.sum(F.when(is_attempt, failed).otherwise(0)).over(running), "_gone": F.sum(F.when(is_attempt, 0).otherwise(1)).over(running)})
+    rows = rows.withColumn("_cleared", F.max(F.when(is_attempt & ~F.col("failed"), F.col("_failed"))).over(running)).where(is_attempt)
+    recent = F.col("_failed") - F.greatest("_gone", F.coalesce("_cleared", F.lit(0)))
+    return rows.where("own").withColumn("recent", recent).withColumn("refused", F.col("recent") >= failures).drop("slice", "own", "_at", "_kind", "_failed", "_gone", "_cleared")
 
 
 def delete_jobs(tables: dict[str, DataFrame], ids: DataFrame, key: str = "job_id") -> dict[str, DataFrame]:

@@ -1,8 +1,10 @@
 """Bookings, files in and out, grids, and streams."""
 
 import os
+import random
 import shutil
 import tempfile
+import time
 import zipfile
 
 import pytest
@@ -403,6 +405,23 @@ def test_throttle_stream_is_batch(spark, folder):
     assert streamed == {r.id: (r.recent, r.refused) for r in batch(rows).collect()} and len(streamed) == 300
 
 
+def test_throttle_with_dense_windows(spark):
+    """Work that grew with attempts times their window's: a busy key against a plain count, and a size that took minutes."""
+    from tessera.operators.control import throttle as batch
+
+    rng = random.Random(4)
+    rows = [(k, "ab"[k % 2], 1_000_000 + rng.randrange(9000), rng.random() < 0.9) for k in range(400)]
+    found = {r.id: r.recent for r in batch(spark.createDataFrame(rows, "id long, key string, at long, failed boolean"), 100, 3).collect()}
+    for id_, key, at, _ in rows:
+        before = sorted((t, i, f) for i, k, t, f in rows if k == key and (t, i) <= (at, id_))
+        since = max((n for n, (_, _, f) in enumerate(before) if not f), default=-1)
+        assert found[id_] == sum(f and t > at - 100 for t, _, f in before[since + 1 :])
+    many = spark.range(400_000).select("id", F.lit("a").alias("key"), (F.col("id") + 48_000_000).alias("at"), (F.col("id") % 50_000 != 7).alias("failed"))
+    began = time.monotonic()
+    assert batch(many, 1_000_000, 3).where("refused").count() > 390_000
+    assert time.monotonic() - began < 60
+
+
 def test_versions(spark, folder):
     path = f"{folder}/v"
     for k in (1, 2):

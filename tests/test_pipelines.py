@@ -405,6 +405,17 @@ def test_throttle_stream_is_batch(spark, folder):
     assert streamed == {r.id: (r.recent, r.refused) for r in batch(rows).collect()} and len(streamed) == 300
 
 
+def test_report_in_parts(spark, folder, monkeypatch):
+    """Parts give the same bookings as all books at once, and only the bookings stay on disk."""
+    from tessera.sinks import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: f"file://{folder}")
+    pieces = reports._printed(spark, "/root/testdata/sf0.001").where("book < 20")
+    found = [sorted(map(repr, reports.bookings_in_parts(pieces, n).collect())) for n in (1, 3)]
+    assert found[0] == found[1] and len(found[0]) > 100
+    assert {x.rsplit("-", 1)[0] for x in os.listdir(folder)} == {"report-bookings"}
+
+
 def test_throttle_with_dense_windows(spark):
     """Work that grew with attempts times their window's: a busy key against a plain count, and a size that took minutes."""
     from tessera.operators.control import throttle as batch
